@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontaminate
+from .pieces import op6_pieces
 from .token_files import op1_token_files
+from .warc import OP2_SQL, op2_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_files": op1_token_files}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op5_decontaminate": op5_decontaminate, "op6_pieces": op6_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}
