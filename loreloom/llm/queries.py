@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontaminate
 from .pieces import op6_pieces
+from .secrets import op10_secrets
 from .token_files import op1_token_files
 from .warc import OP2_SQL, op2_warc
 
@@ -15,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op5_decontaminate": op5_decontaminate, "op6_pieces": op6_pieces}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op5_decontaminate": op5_decontaminate, "op6_pieces": op6_pieces, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
