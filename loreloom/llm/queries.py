@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontaminate
+from .near_dups import op8_near_dups
 from .pieces import op6_pieces
 from .secrets import op10_secrets
 from .token_files import op1_token_files
@@ -16,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op5_decontaminate": op5_decontaminate, "op6_pieces": op6_pieces, "op10_secrets": op10_secrets}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op5_decontaminate": op5_decontaminate, "op6_pieces": op6_pieces, "op8_near_dups": op8_near_dups, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
