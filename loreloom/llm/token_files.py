@@ -30,17 +30,18 @@ from pyspark.sql import functions as F
 from .staging import discard, shared_dir, staged, tasks
 
 BLOCK_IDS = 1 << 17
-CACHED_PIECES = 400_000
+CACHED_PIECES = 700_000
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _CUT = re.compile(r"(?= \S)")
-_ODD = re.compile(r" (?:\s|$)")
+_TWO = re.compile(r"\s\s")
 
 
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each distinct piece once.
 
     Pre-tokenization never joins what stands before a space with that space if a
-    non-space follows, so a text may be cut there and its pieces encoded apart.
+    non-space follows, and a line break between two non-spaces is a token of its own, so
+    a text may be cut there and its pieces encoded apart.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -50,51 +51,53 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self.breaks = np.zeros(size, bool)
+        self.breaks[self.tokenizer.token_to_id("Ċ")] = True
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.newline = np.array([self.tokenizer.token_to_id("Ċ")], self.dtype).tobytes()
         self.inner: dict[str, bytes] = {}
         self.outer: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Add pieces, given without the space before them, to the cache."""
-        plain = [p for p in pieces if p and len(p) == len(p.strip()) and len(p.split()) == 1]
+    def _learn(self, pieces: set[str], cache: dict[str, bytes], mark: str) -> None:
+        """Add pieces to a cache: those behind a space (mark " "), or those that begin a line (mark "\n")."""
+        lead = mark.strip("\n")
+        plain = [p for p in pieces if len(p.split()) == 1 and p.isprintable()]
+        starts = self.starts if lead else self.breaks
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
-            ids = np.array(self._ids(" " + " ".join(part)), dtype=self.dtype)
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) != len(part):
-                self.inner.update((p, np.array(self._ids(" " + p), self.dtype).tobytes()) for p in part)
+            ids = np.array(self._ids(lead + mark.join(part)), dtype=self.dtype)
+            cuts = np.flatnonzero(starts[ids])
+            if len(cuts) + (not lead) != len(part):
+                cache.update((p, np.array(self._ids(lead + p), self.dtype).tobytes()) for p in part)
                 continue
             raw, step = ids.tobytes(), ids.itemsize
-            ends = [*cuts[1:].tolist(), len(ids)]
-            self.inner.update((p, raw[a * step : b * step]) for p, a, b in zip(part, cuts.tolist(), ends, strict=True))
-        for p in pieces - set(plain):
-            self.inner[p] = np.array(self._ids(" " + p), self.dtype).tobytes()
+            begin = cuts.tolist() if lead else [0, *(cuts + 1).tolist()]
+            end = [*(begin[1:] if lead else cuts.tolist()), len(ids)]
+            cache.update((p, raw[a * step : b * step]) for p, a, b in zip(part, begin, end, strict=True))
+        for p in pieces.difference(plain):
+            cache[p] = np.array(self._ids(lead + p), self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
-        if len(self.inner) > CACHED_PIECES:
-            self.inner.clear()
-        if len(self.outer) > CACHED_PIECES // 10:
-            self.outer.clear()
+        for cache in (self.inner, self.outer):
+            if len(cache) > CACHED_PIECES:
+                cache.clear()
         split = []
         for text in texts:
-            if _ODD.search(text):
+            if _TWO.search(text) or text[:1].isspace() or text[-1:].isspace():
                 first, *rest = _CUT.split(text)
-                rest = [x[1:] for x in rest]
+                split.append([(first, [x[1:] for x in rest])])
             else:
-                first, *rest = text.split(" ")
-            split.append((first, rest))
-        wanted = {p for _, rest in split for p in rest}
-        self._learn(wanted.difference(self.inner))
-        out = []
-        for first, rest in split:
-            if (head := self.outer.get(first)) is None:
-                head = self.outer[first] = np.array(self._ids(first), self.dtype).tobytes()
-            out.append(head + b"".join(map(self.inner.__getitem__, rest)))
-        return out
+                split.append([(words[0], words[1:]) for words in (line.split(" ") for line in text.split("\n"))])
+        inner = set()
+        inner.update(*(rest for lines in split for _, rest in lines))
+        self._learn(inner.difference(self.inner), self.inner, " ")
+        self._learn({first for lines in split for first, _ in lines}.difference(self.outer), self.outer, "\n")
+        known = self.inner.__getitem__
+        return [self.newline.join([self.outer[first] + b"".join(map(known, rest)) for first, rest in lines]) for lines in split]
 
 
 _encoders: dict[str, PieceEncoder] = {}
