@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontaminate
 from .near_dups import op8_near_dups
+from .nearest import op7_nearest
 from .pieces import op6_pieces
 from .quality import op9_quality
 from .secrets import op10_secrets
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_shards": op3_shards, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_pieces": op6_pieces, "op8_near_dups": op8_near_dups, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_shards": op3_shards, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_pieces": op6_pieces, "op7_nearest": op7_nearest, "op8_near_dups": op8_near_dups, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
