@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS, QUERY_BLOCK = 8_192, 32_768
-TABLES, HASHES, SUCCESS, WIDTH = 4, 4, 0.62, 1.0
+TABLES, HASHES, SUCCESS, WIDTH = 4, 4, 0.75, 1.0
 FOUND = "query_id long, vec_id long, score double"
 
 
