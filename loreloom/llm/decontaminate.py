@@ -31,7 +31,7 @@ from .words import ALNUM, Words, words_of
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
 BLOCK_BYTES = 8 << 20
-FOUND = "doc_id long, text string, n_words long, starts array<int>, ends array<int>, items array<long>"
+FOUND = {"n_words": "long", "starts": "array<int>", "ends": "array<int>", "items": "array<long>"}
 
 
 def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -116,19 +116,21 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
                 for doc, (spans, found) in marks.items():
                     old[0][doc], old[1][doc] = _spans([*spans, *zip(old[0][doc], old[1][doc], strict=True)])
                     old[2][doc] = sorted(found.union(old[2][doc]))
-                columns = [pa.array(np.diff(first)), pa.array(old[0], pa.list_(pa.int32())), pa.array(old[1], pa.list_(pa.int32())), pa.array(old[2], pa.list_(pa.int64()))]
-                yield pa.record_batch([batch.column("doc_id"), batch.column("text"), *columns], names=[x.split()[0] for x in FOUND.split(", ")])
+                new = [pa.array(np.diff(first)), pa.array(old[0], pa.list_(pa.int32())), pa.array(old[1], pa.list_(pa.int32())), pa.array(old[2], pa.list_(pa.int64()))]
+                new = dict(zip(FOUND, new, strict=True))
+                yield pa.record_batch([new.get(c, batch.column(c)) for c in names], names=names)
 
-    return docs.mapInArrow(run, FOUND)
+    names = docs.columns
+    return docs.mapInArrow(run, docs.schema)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, starts and ends (word positions of the hit spans), items (ids, ascending)."""
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_words, starts and ends (word positions of the hit spans), items (ids, ascending), kept columns."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // block_bytes))
-    empty = [F.array().cast(t).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<long>"))]
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), *empty)
+    empty = [(F.lit(0) if t == "long" else F.array()).cast(t).alias(c) for c, t in FOUND.items()]
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *empty, *keep)
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
         out = _pass(out, Index([(r.item_id, r.text) for r in rows]))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labels import fold, labelled
 from .staging import chunks
@@ -223,19 +224,18 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and the kept columns of all documents; no exchange."""
+    """doc_id, score and the kept columns (others than these two) of all documents; no exchange."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c != "text"))
-    extra = [c for c in rows.columns if c in keep]
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in extra)
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), *(rows.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text", 2 << 20):
                 score = pa.array(shared.value.score(batch.column("text").to_pylist()))
-                yield pa.record_batch([batch.column("doc_id"), score, *(batch.column(c) for c in extra)], names=["doc_id", "score", *extra])
+                yield pa.record_batch([batch.column("doc_id"), score, *(batch.column(c) for c in keep)], names=["doc_id", "score", *keep])
 
-    return rows.mapInArrow(run, f"doc_id long, score double{', ' * bool(kinds)}{kinds}")
+    return rows.mapInArrow(run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
