@@ -109,8 +109,24 @@ def tag_matches(tag: Column, pattern: str | None) -> Column:
 
 
 def glob(name: Column, pattern: str) -> Column:
-    """An anchored, case-sensitive pattern in which only * is special; LIKE runs in linear time."""
-    return name.like(re.sub(r"([\\%_])", r"\\\1", pattern).replace("*", "%"))
+    """An anchored, case-sensitive pattern in which only * is special.
+
+    Each part between stars is looked for once, behind the part before, so no pattern
+    backtracks (LIKE becomes a regular expression, which would).
+    """
+    first, *rest = pattern.split("*")
+    if not rest:
+        return name == pattern
+    *middle, last = rest
+    at = F.when(name.startswith(first), len(first) + 1).otherwise(0)
+
+    def step(at: Column, part: Column) -> Column:
+        found = F.position(part, name, at)
+        return F.when((at > 0) & (found > 0), found + F.length(part)).otherwise(0)
+
+    if middle := [p for p in middle if p]:
+        at = F.aggregate(F.array(*(F.lit(p) for p in middle)), at, step)
+    return (at > 0) & name.endswith(last) & (F.length(name) - len(last) + 1 >= at)
 
 
 def round3(x: Column) -> Column:
