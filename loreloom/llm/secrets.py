@@ -7,7 +7,8 @@ adjacent characters is ``MIN_RATIO`` or more.
 
 Training: random strings are made by rule (hex, base 64 and base 62 of digests); ordinary
 ones are ``IDENTIFIERS`` and the words of at most ``SAMPLE`` documents, taken by the hash
-of their text, with base matches removed, alone and joined as identifiers are. Counting is a Spark
+of their text, with base matches removed and cased as words are, alone and joined as
+identifiers are. Counting is a Spark
 aggregation; the driver gets one row a pair of characters at most. Scoring looks ratios
 up in a constant array. All documents are scanned, whole.
 
@@ -27,6 +28,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import lowest
+
 #: kind, pattern, group to measure, its least length.
 BASE = (
     ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
@@ -37,10 +40,14 @@ KINDS = (*(k for k, *_ in BASE), "markov")
 MIN_RUN = 20
 RUN = rf"([A-Za-z0-9_+/-]{{{MIN_RUN},}})"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-"
-MIN_RATIO = 35.0
+MIN_RATIO, BACKED = 35.0, 10.0
 SAMPLE = 500
-#: Ordinary identifiers whatever the documents hold: public names, and rules drawn with one character.
-IDENTIFIERS = sorted({*sys.stdlib_module_names, *keyword.kwlist, *dir(builtins), *dir(F), *dir(str)}) + [c * 80 for c in "-_/+xX0"] * 20
+#: Ordinary whatever the documents hold: public names, numbers, and rules drawn with one character.
+IDENTIFIERS = [
+    *sorted({*sys.stdlib_module_names, *keyword.kwlist, *dir(builtins), *dir(F), *dir(str)}),
+    *(str(i * 7919) for i in range(500)),
+    *(c * (800 if c in "-_/+" else 160) for c in ALPHABET),
+]
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -79,11 +86,13 @@ def labelled_strings(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame,
     kinds = [F.substring("h", 1, 40), F.regexp_replace(F.base64(binary).cast("string"), "=", ""), sixty_two, F.translate(F.base64(binary).cast("string"), "+/=", "-_")]
     random = seed.select(F.explode(F.array(*kinds)).alias("s"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    few = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    texts = docs.select(text.alias("text"))
+    few = lowest(texts, F.xxhash64("text"), sample)
     plain = F.col("text")
     for _, pattern, *_ in BASE:
         plain = F.regexp_replace(plain, pattern, " ")
-    words = few.select(F.regexp_extract_all(plain, F.lit("([A-Za-z0-9]{3,})"), F.lit(1)).alias("w")).where(F.size("w") > 1)
+    usual = F.filter(F.regexp_extract_all(plain, F.lit("([A-Za-z0-9]{3,})"), F.lit(1)), lambda x: x.rlike("^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"))
+    words = few.select(usual.alias("w")).where(F.size("w") > 1)
     joined = F.transform(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("x"), F.slice("w", 2, F.size("w") - 1).alias("y")), lambda p: F.element_at(F.array(*(F.concat_ws(j, p["x"], p["y"]) for j in "_-/"), F.concat(p["x"], F.initcap(p["y"])), F.upper(F.concat_ws("_", p["x"], p["y"]))), (F.pmod(F.hash(p["x"]), F.lit(5)) + 1).cast("int")))
     names = spark.createDataFrame([(x,) for x in IDENTIFIERS], "s string").coalesce(1)
     return random, words.select(F.explode(F.concat("w", joined)).alias("s")).unionByName(names)
@@ -97,13 +106,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
 
 
 def ratios(counts: Iterable[tuple[str, str, int]]) -> list[float]:
-    """From counts by label and pair: log P(b | a, random) - log P(b | a, ordinary), with half a count added."""
+    """From counts by label and pair: log P(b | a, random) - log P(b | a, ordinary).
+
+    Rare first characters fall back to how often the second one is with this label at all:
+    BACKED such observations are added to each row, so little training is enough.
+    """
     n, place = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
-    table = {label: [[0.5] * n for _ in range(n)] for label in ("random", "ordinary")}
+    table = {label: [[0.0] * n for _ in range(n)] for label in ("random", "ordinary")}
     for label, pair, count in counts:
         if pair[0] in place and pair[1] in place:
             table[label][place[pair[0]]][place[pair[1]]] += count
-    logs = {label: [[math.log(x / sum(row)) for x in row] for row in rows] for label, rows in table.items()}
+    logs = {}
+    for label, rows in table.items():
+        second = [0.5 + sum(row[b] for row in rows) for b in range(n)]
+        share = [x / sum(second) for x in second]
+        logs[label] = [[math.log((x + BACKED * p) / (sum(row) + BACKED)) for x, p in zip(row, share, strict=True)] for row in rows]
     return [logs["random"][a][b] - logs["ordinary"][a][b] for a in range(n) for b in range(n)]
 
 
