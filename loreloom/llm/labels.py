@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import lowest, staged
 
 
 def fold(doc_id: Column) -> Column:
@@ -21,7 +21,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> Da
     texts are left out; a doc_id with several labels or texts gives a row for each.
     """
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
-    some = some.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    some = lowest(some.where(fold(F.col("doc_id")) != 0), F.xxhash64("doc_id"), sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     joined = texts.join(F.broadcast(some), "doc_id").select("text", "label", fold(F.col("doc_id")).cast("int").alias("fold"))
     return staged(joined, f"labelled-{column}")[0]

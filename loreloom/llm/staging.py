@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -48,6 +49,19 @@ def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def lowest(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the least values of a 64-bit hash, ties in any order.
+
+    A bound on the hash that four times as many rows are expected to pass goes first, so
+    that the sort gets a bounded number of rows however many partitions there are.
+    """
+    share = min(1.0, 4 * n / max(1, rows.count()))
+    few = rows.withColumn("_hash", key)
+    if share < 1:
+        few = few.where(F.col("_hash") < int(-(2**63) + share * 2**64))
+    return few.orderBy("_hash").limit(n).drop("_hash")
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``limit`` bytes of ``column``, one row at least."""
     size, begin = 0, 0
