@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .staging import chunks, shared_dir
 
 MIN_REVISIT = 100
-SPLIT_BYTES = 8 << 20
+SPLIT_BYTES, MAX_TASKS = 8 << 20, 100_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -205,7 +205,8 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("begin")
     ranges = archives.where("bytes > 0").select("file", "bytes", begin).select("file", "begin", F.least(F.col("begin") + split_bytes, "bytes").alias("end"))
-    return ranges.repartition(F.col("file"), F.col("begin")).mapInArrow(run, RECORDS)
+    n = archives.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0))).first()[0]
+    return ranges.repartition(max(1, min(int(n), MAX_TASKS)), "file", "begin").mapInArrow(run, RECORDS)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
