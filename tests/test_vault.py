@@ -187,3 +187,23 @@ def test_refresh(spark, tmp_path):
     query.awaitTermination(60)
     assert [r.text for r in index.chunks().where("file_path = 'c.md'").collect()] == ["# c\n\ngamma two"]
     assert refresh.stats(v2, index.files(), index.chunks()).first().total_chunks == 2
+
+
+def test_tools(spark, notes):
+    from loreloom.api import Vault
+    from loreloom.operators.chunking import note_chunks
+
+    embed = vector.hash_embedder(32)
+    made = note_chunks(notes).withColumn("id", F.xxhash64("path", "chunk_index")).withColumnsRenamed({"path": "file_path", "preview": "content_preview"})
+    v = Vault(notes.select("path", "content", "mtime_ms", "size"), vector.embedded(made, "text", embed).cache(), embedder=embed)
+    assert v.resolve_path("alpha") == "notes/alpha.md" and v.resolve_path("notes/beta") == "notes/beta.md" and v.resolve_folder("OTHER") == "other"
+    with pytest.raises(ValueError, match="ambiguous"):
+        v.resolve_path("index")
+    with pytest.raises(FileNotFoundError):
+        v.resolve_path("absent")
+    assert v.read("beta", tail=1).first().text.endswith("---\n") and v.peek("beta").first().total_chunks == 1
+    assert {r.path: r.depth for r in v.neighborhood("beta", 1).collect()} == {"notes/beta.md": 0, "notes/alpha.md": 1}
+    assert v.semantic_search("links photo gone", 2).count() <= 2 and "combined" in v.semantic_search("links", 3, anchor="alpha").columns
+    assert "notes/beta.md" not in paths(v.suggest_links(path="alpha", limit=10)) and "missing_link" in v.suggest_links(path="alpha", graph_context=True).columns
+    assert set(v.link_health()) == set(links.CHECKS) and v.tags(pattern="t*").count() == 2
+    assert content(v.add_links("notes/index.md", [{"target": "notes/beta"}]), "notes/index.md").endswith("- [[beta]]\n")
