@@ -22,7 +22,7 @@ PROMOTED = ("type", "status", "priority", "created", "due", "project")
 META = T.StructType([*(T.StructField(k, T.StringType()) for k in PROMOTED), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("json", T.StringType())])
 
 
-class JsonSchemaLoader(yaml.SafeLoader):
+class JsonSchemaLoader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """Only null, true and false, numbers; everything else is text. No tags, no dates."""
 
 
@@ -85,6 +85,9 @@ def _parsed(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_row(t) for t in text], columns=[f.name for f in META], index=text.index, dtype=object)
 
 
+_parsed = _parsed.asNondeterministic()  # else filters on it go below the projection, and it runs twice
+
+
 def parsed(content: Column) -> Column:
     """The metadata struct of META; its fields are null where there is no metadata."""
     return _parsed(front_yaml(content))

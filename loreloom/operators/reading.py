@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import with_meta
-from ..functions.text import READ_CAP, READ_CHUNK, READ_REDIRECT, body, front_block, heading_level, level_of, lines, trimmed
+from ..functions.text import READ_CAP, READ_CHUNK, READ_REDIRECT, body, bound, front_block, heading_level, level_of, lines, trimmed
 
 MODES = ("heading", "tail", "tail_sections", "chunk", "lines")
 
@@ -49,12 +49,15 @@ def tail_lines(content: Column, n: int) -> Column:
 
 def tail_sections(content: Column, n: int, level: int = 2) -> Column:
     """Front matter and the body from the n-th last heading of exactly that level; all without such a heading."""
-    parts = lines(body(content))
-    at = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.element_at(parts, i).rlike(rf"^#{{{level}}}\s"))
-    start = F.element_at(at, F.greatest(F.size(at) - n + 1, F.lit(1)))
     front = front_block(content)
-    rest = F.array_join(F.slice(parts, start, F.size(parts)), "\n")
-    return F.when(F.size(at) == 0, content).otherwise(F.concat(front, F.when(F.length(front) > 0, "\n").otherwise(""), rest))
+
+    def cut(parts: Column) -> Column:
+        marked = F.transform(parts, lambda x, i: F.when(x.rlike(rf"^#{{{level}}}\s"), i + 1))
+        at = F.array_compact(marked)
+        return bound(at, lambda at: F.when(F.size(at) > 0, F.array_join(F.slice(parts, F.element_at(at, F.greatest(F.size(at) - n + 1, F.lit(1))), F.size(parts)), "\n")))
+
+    rest = bound(lines(body(content)), cut)
+    return F.coalesce(F.concat(front, F.when(F.length(front) > 0, "\n").otherwise(""), rest), content)
 
 
 def char_chunk(content: Column, k: int, size: int = READ_CHUNK) -> Column:
@@ -94,29 +97,39 @@ def read(notes: DataFrame, heading: str | None = None, tail: int | None = None,
     return notes.select("path", large.alias("redirected"), F.when(~large, text).alias("text"))
 
 
-def outline(content: Column) -> Column:
-    """heading, level, line_no, char_count of the heading lines behind the front matter's closing line."""
-    parts = lines(content)
+def _first_line(content: Column, parts: Column) -> Column:
+    """Number of the line behind the front matter's closing line, which must be the fence alone."""
     close = F.array_position(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), "---")
-    first = F.when(content.startswith("---") & (close > 0), close + 2).otherwise(1)
-    heads = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("heading"), heading_level(x).alias("level"), (i + 1).alias("line_no"))), lambda h: (h["level"] > 0) & (h["line_no"] >= first))
+    return F.when(content.startswith("---") & (close > 0), close + 2).otherwise(1).cast("int")
+
+
+def outline(content: Column) -> Column:
+    """heading, level, line_no, char_count of the heading lines behind the front matter."""
+
+    def found(parts: Column) -> Column:
+        levels = F.transform(parts, lambda x, i: F.when(x.startswith("#"), F.struct(x.alias("heading"), heading_level(x).alias("level"), (i + 1).alias("line_no"))))
+        return bound(_first_line(content, parts), lambda first: F.filter(F.array_compact(levels), lambda h: (h["level"] > 0) & (h["line_no"] >= first)))
 
-    def measured(h: Column) -> Column:
-        later = F.filter(heads, lambda x: (x["line_no"] > h["line_no"]) & (x["level"] <= h["level"]))
-        end = F.coalesce(F.try_element_at(later, F.lit(1))["line_no"], F.size(parts) + 1)
-        size = F.length(F.array_join(F.slice(parts, h["line_no"], end - h["line_no"]), "\n"))
-        return F.struct(h["heading"].alias("heading"), h["level"].alias("level"), h["line_no"].alias("line_no"), size.alias("char_count"))
+    def measured(parts: Column, heads: Column) -> Column:
+        def one(h: Column) -> Column:
+            later = F.filter(heads, lambda x: (x["line_no"] > h["line_no"]) & (x["level"] <= h["level"]))
+            end = F.coalesce(F.try_element_at(later, F.lit(1))["line_no"], F.size(parts) + 1)
+            size = bound(end, lambda e: F.length(F.array_join(F.slice(parts, h["line_no"], e - h["line_no"]), "\n")))
+            return F.struct(h["heading"].alias("heading"), h["level"].alias("level"), h["line_no"].alias("line_no"), size.alias("char_count"))
 
-    return F.transform(heads, measured)
+        return F.transform(heads, one)
+
+    return bound(lines(content), lambda parts: bound(found(parts), lambda heads: measured(parts, heads)))
 
 
 def preview(content: Column) -> Column:
     """The first ten lines of the body that aren't blank, cut to 200 characters."""
-    parts = lines(content)
-    close = F.array_position(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), "---")
-    first = F.when(content.startswith("---") & (close > 0), close + 2).otherwise(1).cast("int")
-    some = F.filter(F.slice(parts, first, F.size(parts)), lambda x: trimmed(x) != "")
-    return F.array_join(F.transform(F.slice(some, 1, 10), lambda x: F.when(F.length(x) > 200, F.concat(F.substring(x, 1, 200), F.lit("..."))).otherwise(x)), "\n")
+
+    def ten(parts: Column) -> Column:
+        some = F.filter(F.slice(parts, _first_line(content, parts), F.size(parts)), lambda x: trimmed(x) != "")
+        return F.transform(F.slice(some, 1, 10), lambda x: F.when(F.length(x) > 200, F.concat(F.substring(x, 1, 200), F.lit("..."))).otherwise(x))
+
+    return F.array_join(bound(lines(content), ten), "\n")
 
 
 def peek(notes: DataFrame) -> DataFrame:
