@@ -305,3 +305,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``, shingles of four words."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, least(len(w), 4) AS n, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + n - 1], ' ') AS g FROM p),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM pairs JOIN size m ON m.doc_id = a JOIN size o ON o.doc_id = b WHERE 100 * common >= 80 * (m.n + o.n - common)),
+either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS c FROM size UNION SELECT e.b, r.c FROM reach r JOIN either e ON e.a = r.v),
+component AS (SELECT v, min(c) AS c FROM reach GROUP BY v)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) IS NOT DISTINCT FROM d.doc_id AS kept
+FROM d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN component ON v = d.doc_id
+"""

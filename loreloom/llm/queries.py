@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import op5_decontaminate
-from .near_dups import op8_near_dups
+from .decontaminate import OP5_SQL, op5_decontaminate
+from .near_dups import OP8_SQL, op8_near_dups
 from .nearest import op7_nearest
 from .pieces import op6_pieces
 from .quality import op9_quality
@@ -25,4 +25,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_near_dups": OP8_SQL}
