@@ -220,7 +220,7 @@ class PieceModel:
             else:
                 split.append(t.split(" "))
         fresh = list({w for words in split for w in words}.difference(self.cache))
-        for part in _by_size(fresh, 1 << 21):
+        for part in _by_size(fresh, 1 << 19):
             self.cache.update(zip(part, self.ids(part), strict=True))
         known = self.cache.__getitem__
         begin, end = (np.array([x], self.dtype).tobytes() for x in (self.begin, self.end))
@@ -268,11 +268,13 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(model_path)
+        own.cache.clear()  # a worker outlives its tasks
         for whole in batches:
             for batch in chunks(whole, "text", 2 << 20):
                 ids = own.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
                 columns = [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
                 yield pa.record_batch([*columns, pa.array([x.decode("utf-8", "replace") for x in own.decode(ids)], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        own.cache.clear()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
