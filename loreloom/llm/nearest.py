@@ -3,12 +3,14 @@
 The largest inner products with a query are the least Euclidean distances once each vector
 has one more coordinate that brings all to the greatest norm. Gaussian projections cut
 into cells of equal width hash those vectors; a bucket of a table is a tuple of cells. The
-rows lie in blocks of about ``BLOCK_ROWS``, each with ``TABLES`` tables of its own. For a
-query, the chance that a neighbour at the block's typical neighbour distance lies in a
-bucket is a product of normal probabilities over its cells; a query visits the occupied
-buckets of each table in the order of that chance until it has ``SUCCESS`` of it, merges
-the tables' candidates and ranks them by exact products. Every row is indexed, and buckets
-have no caps. Only the best of a block leave it.
+rows lie in blocks of about ``BLOCK_ROWS``, each with ``TABLES`` tables of its own. The
+chance that a neighbour at a distance lies in a bucket is a product of normal probabilities
+over its cells. A query first visits the likeliest buckets that hold ``FIRST * k`` rows of
+each table; its k-th candidate there is no nearer than its k-th neighbour, and gives the
+distance, each query's own, at which it visits the occupied buckets of each table in the
+order of their chance until it has ``SUCCESS`` of it. It merges the tables' candidates and
+ranks them by exact products. Every row is indexed, and buckets have no caps. Only the best
+of a block leave it.
 
 A stated set of queries meets all blocks: queries are broadcast ``QUERY_BLOCK`` at a time.
 
@@ -32,11 +34,14 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS, QUERY_BLOCK = 8_192, 32_768
 TABLES, HASHES, SUCCESS, WIDTH = 4, 4, 0.75, 1.0
+#: Rows, as a multiple of k, that a query's first buckets hold in each table.
+FIRST = 4
 FOUND = "query_id long, vec_id long, score double"
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:
     """The normal distribution function (an approximation good to 1e-3 is enough to order buckets)."""
+    x = np.clip(x, -12, 12)
     return 1 / (1 + np.exp(-1.5976 * x - 0.07056 * x**3))
 
 
@@ -59,46 +64,55 @@ class Block:
             cells = np.floor(self.lift @ axes / spread + offset).astype(np.int64)
             low = cells.min(0)
             keys, inverse = np.unique(cells - low, axis=0, return_inverse=True)
-            self.tables.append((axes, offset, spread, low, keys, inverse.ravel()))
-
-    def reach(self, queries: np.ndarray, k: int) -> float:
-        """The typical distance of a k-th neighbour, from the first queries."""
-        few = queries[:32]
-        products = few @ self.vectors.T
-        kth = np.sort(products, axis=1)[:, -min(k, products.shape[1])]
-        return math.sqrt(max(float(np.median(2 * self.norm**2 - 2 * kth)), 1e-12))
-
-    def _visit(self, queries: np.ndarray, distance: float) -> np.ndarray:
-        """Query by row: is the row in a bucket that the query visits? queries: of the greatest norm."""
-        seen = np.zeros((len(queries), len(self.ids)), bool)
-        lifted = np.c_[queries, np.zeros(len(queries))]
-        for axes, offset, spread, low, keys, bucket_of in self.tables:
+            held = np.bincount(inverse.ravel(), minlength=len(keys))
+            self.tables.append((axes, offset, spread, low, keys, inverse.ravel(), held))
+
+    def _probe(self, lifted: np.ndarray, distance: np.ndarray, rows: int = 0) -> np.ndarray:
+        """Query by row: is the row in a bucket that the query visits, at its distance?
+
+        Each table's buckets are visited until they hold ``rows`` rows, or, without rows,
+        until they have SUCCESS of the chance.
+        """
+        seen = np.zeros((len(lifted), len(self.ids)), bool)
+        for axes, offset, spread, low, keys, bucket_of, held in self.tables:
             at = lifted @ axes / spread + offset
-            chance = np.zeros((len(queries), len(keys)))
+            chance = np.zeros((len(lifted), len(keys)))
             for j in range(HASHES):
                 edges = np.arange(keys[:, j].max() + 2) + low[j]
-                p = _cdf((edges[None, :] - at[:, j : j + 1]) * spread / distance)
+                p = _cdf((edges[None, :] - at[:, j : j + 1]) * spread / distance[:, None])
                 chance += np.log(np.maximum(p[:, 1:] - p[:, :-1], 1e-12))[:, keys[:, j]]
             chance = np.exp(chance)
             order = np.argsort(-chance, axis=1)
-            ranked = np.take_along_axis(chance, order, 1)
+            ranked = held[order] if rows else np.take_along_axis(chance, order, 1)
             total = np.cumsum(ranked, axis=1)
-            visits = (total - ranked < SUCCESS * np.minimum(1.0, total[:, -1:])).sum(1)
+            visits = (total - ranked < (rows if rows else SUCCESS * np.minimum(1.0, total[:, -1:]))).sum(1)
             bucket = np.zeros(chance.shape, bool)
             np.put_along_axis(bucket, order, np.arange(len(keys))[None, :] < visits[:, None], 1)
             seen |= bucket[:, bucket_of]
         return seen
 
+    def _visit(self, queries: np.ndarray, products: np.ndarray, k: int) -> np.ndarray:
+        """Query by row: is the row visited? queries: of the greatest norm; products: theirs, -inf for rows that don't count."""
+        lifted = np.c_[queries, np.zeros(len(queries))]
+        seen = self._probe(lifted, np.full(len(queries), self.norm), FIRST * k)
+        found = np.where(seen, products, -np.inf)
+        kth = np.partition(found, -k, axis=1)[:, -k] if k <= found.shape[1] else np.full(len(queries), -np.inf)
+        few = kth == -np.inf  # less than k candidates: nothing is known of the distance
+        distance = np.sqrt(np.maximum(2 * self.norm**2 - 2 * np.where(few, 0, kth), 1e-12 * self.norm**2))
+        seen |= self._probe(lifted, distance)
+        seen[few] = True
+        return seen
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Query, ids and scores of its k best candidates here, best first."""
         norms = np.sqrt((queries**2).sum(1, keepdims=True))
         scaled = queries / norms * self.norm
-        distance = self.reach(scaled, k)
         for a in range(0, len(queries), 128):
-            seen = self._visit(scaled[a : a + 128], distance)
-            products = np.where(seen, queries[a : a + 128] @ self.vectors.T, -np.inf)
-            for i, (own, row) in enumerate(zip(query_ids[a : a + 128].tolist(), products, strict=True)):
-                row[self.ids == own] = -np.inf
+            asked = query_ids[a : a + 128]
+            products = np.where(self.ids[None, :] == asked[:, None], -np.inf, queries[a : a + 128] @ self.vectors.T)
+            seen = self._visit(scaled[a : a + 128], products / norms[a : a + 128] * self.norm, k)
+            products = np.where(seen, products, -np.inf)
+            for i, (own, row) in enumerate(zip(asked.tolist(), products, strict=True)):
                 if k < len(row):
                     least = np.partition(row, len(row) - k)[len(row) - k]
                     near = np.flatnonzero(row >= least - 1e-9 * self.norm * float(norms[a + i, 0]))

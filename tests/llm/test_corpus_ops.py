@@ -114,6 +114,24 @@ def test_nearest(spark):
     assert hits / total >= 0.9 and 2020 not in got and nearest.search(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-3])
+def test_nearest_beside_copies_at_the_lowest_ids(spark, noise):
+    rng = np.random.RandomState(1)
+    base = rng.standard_normal((3000, 32))
+    base[:1000] = base[0] + noise * rng.standard_normal((1000, 32))
+    base /= np.sqrt((base**2).sum(1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = {}
+    for q in range(0, 3000, 20):
+        s = (base * base[q]).sum(1)
+        best = [i for i in np.lexsort((np.arange(3000), -s)).tolist() if i != q][:20]
+        recall.setdefault(q < 1000, []).append(len(got[q] & set(best)) / 20)
+    assert np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9
+
+
 def classes(docs, k):
     word = "[^\x20\x09-\x0d]+"
     sets = []
