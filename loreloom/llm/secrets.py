@@ -13,8 +13,9 @@ aggregation; the driver gets one row a pair of characters at most. Scoring looks
 up in a constant array. All documents are scanned, whole.
 
 Defined results: a null text counts as empty; spans are in code points, end exclusive,
-ordered by start, then kind (assign, access, hex, markov); Markov spans that overlap a
-base span are left out; repeated rows each keep a row; other columns are ignored.
+ordered by start, then kind (assign, access, hex, markov); candidates are cut at the edges
+of base spans, and what is left outside them is scored if it still has ``MIN_RUN``
+characters; repeated rows each keep a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,6 +132,21 @@ def ratio(string: Column, table: Column) -> Column:
     return F.aggregate(pair, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """The parts of a run between the base spans (ordered) that overlap it, as far as they have MIN_RUN characters."""
+    start = F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("parts"))
+
+    def part(begin: Column, end: Column, parts: Column) -> Column:
+        own = F.array(F.struct(begin.alias("start"), run["rank"].alias("rank"), end.alias("end")))
+        return F.when(end - begin >= MIN_RUN, F.concat(parts, own)).otherwise(parts)
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), part(acc["at"], b["start"], acc["parts"]).alias("parts"))
+
+    among = F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
+    return F.aggregate(among, start, step, lambda acc: part(acc["at"], run["end"], acc["parts"]))
+
+
 def find_secrets(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns, text, base (spans) and spans (base and Markov ones), each ordered.
 
@@ -142,7 +158,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] =
         rows = rows.withColumn(kind, _matches(F.col("text"), pattern, group, least, rank))
     rows = rows.withColumn("base", F.array_sort(F.concat(*(kind for kind, *_ in BASE))))
     rows = rows.withColumn("runs", _matches(F.col("text"), RUN, 1, MIN_RUN, len(BASE)))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])))
+    apart = F.flatten(F.transform("runs", lambda r: _outside(r, F.col("base"))))
     added = F.filter(apart, lambda r: ratio(F.substr(F.col("text"), r["start"] + 1, r["end"] - r["start"]), table) >= MIN_RATIO)
     added = F.when(F.size("runs") > 0, added).otherwise(F.array().cast(SPAN))
     return rows.withColumn("spans", F.array_sort(F.concat("base", added))).select("doc_id", *keep, "text", "base", "spans", *(kind for kind, *_ in BASE))
