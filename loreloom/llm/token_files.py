@@ -41,14 +41,15 @@ class PieceEncoder:
 
     Pre-tokenization never joins what stands before a space with that space if a
     non-space follows, and a line break between two non-spaces is a token of its own, so
-    a text may be cut there and its pieces encoded apart.
+    a text may be cut there and its pieces encoded apart. A text that holds an added token
+    (the library finds these before it pre-tokenizes) is encoded whole.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.breaks = np.zeros(size, bool)
@@ -61,6 +62,9 @@ class PieceEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _learn(self, pieces: set[str], cache: dict[str, bytes], mark: str) -> None:
         """Add pieces to a cache: those behind a space (mark " "), or those that begin a line (mark "\n")."""
         lead = mark.strip("\n")
@@ -68,9 +72,10 @@ class PieceEncoder:
         starts = self.starts if lead else self.breaks
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
-            ids = np.array(self._ids(lead + mark.join(part)), dtype=self.dtype)
+            joined = lead + mark.join(part)
+            ids = np.array(self._ids(joined), dtype=self.dtype)
             cuts = np.flatnonzero(starts[ids])
-            if len(cuts) + (not lead) != len(part):
+            if len(cuts) + (not lead) != len(part) or self._holds_added(joined):
                 cache.update((p, np.array(self._ids(lead + p), self.dtype).tobytes()) for p in part)
                 continue
             raw, step = ids.tobytes(), ids.itemsize
@@ -85,9 +90,12 @@ class PieceEncoder:
         for cache in (self.inner, self.outer):
             if len(cache) > CACHED_PIECES:
                 cache.clear()
-        split = []
-        for text in texts:
-            if _TWO.search(text) or text[:1].isspace() or text[-1:].isspace():
+        split, whole = [], {}
+        for i, text in enumerate(texts):
+            if self._holds_added(text):
+                whole[i] = np.array(self._ids(text), self.dtype).tobytes()
+                split.append([])
+            elif _TWO.search(text) or text[:1].isspace() or text[-1:].isspace():
                 first, *rest = _CUT.split(text)
                 split.append([(first, [x[1:] for x in rest])])
             else:
@@ -97,7 +105,7 @@ class PieceEncoder:
         self._learn(inner.difference(self.inner), self.inner, " ")
         self._learn({first for lines in split for first, _ in lines}.difference(self.outer), self.outer, "\n")
         known = self.inner.__getitem__
-        return [self.newline.join([self.outer[first] + b"".join(map(known, rest)) for first, rest in lines]) for lines in split]
+        return [whole[i] if i in whole else self.newline.join([self.outer[first] + b"".join(map(known, rest)) for first, rest in lines]) for i, lines in enumerate(split)]
 
 
 _encoders: dict[str, PieceEncoder] = {}

@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loreloom.llm import decontaminate, pieces, secrets, token_files
 from loreloom.llm.staging import shared_dir
@@ -20,6 +21,7 @@ from loreloom.llm.staging import shared_dir
 from .conftest import words
 
 BPE, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+FRESH = Tokenizer.from_file(BPE)  # as the library loads it
 TEXTS = st.lists(st.text(alphabet="ab 's\n\té　日😀1.▁=\x85\r\xa0", max_size=40), max_size=8)
 
 
@@ -31,6 +33,21 @@ def test_piece_encoder_is_the_tokenizer(texts):
     assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [e.ids for e in expected]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "a", "it's", " ", "\n", "é日"]), max_size=9).map("".join), max_size=6))
+def test_piece_encoder_is_the_library_on_added_tokens(texts):
+    expected = FRESH.encode_batch(texts, add_special_tokens=False)
+    own = token_files.encoder(BPE)
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [e.ids for e in expected]
+
+
+def test_token_files_of_a_literal_added_token(spark):
+    texts, path, lib = ["a <|endoftext|> b", "plain words", None, "x<|endoftext|>\n\n y"], shared_dir(spark, "t"), FRESH
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE, path)
+    got = {r.doc_id: r.ids for r in token_files.read_token_files(spark, path).collect()}
+    assert got == {i: [*lib.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)} and 50256 in got[0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 70_000), max_size=50))
 def test_packed_ids_round_trip(ids):
