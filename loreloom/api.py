@@ -14,6 +14,17 @@ from .operators import catalog, events, graph, mutate, reading, vector
 from .operators import links as link_ops
 
 
+#: Candidates that an error names; the first two decide whether there is only one.
+SHOWN = 20
+
+
+def _only(asked: str, found: list[tuple[str, bool]]) -> str:
+    """The only candidate, or the only better one; better ones come first."""
+    if len(found) == 1 or found[0][1] and not found[1][1]:
+        return found[0][0]
+    raise ValueError(f"{asked} is ambiguous: {', '.join(f for f, _ in found)}{', ...' if len(found) == SHOWN else ''}")
+
+
 class Vault:
     """notes: path, content, mtime_ms, size. chunks and log are optional, as is another embedder."""
 
@@ -26,17 +37,12 @@ class Vault:
         """The path itself, with .md, or the only note of this name (below ``folder``, if several have it)."""
         exact = F.col("path").isin(path, f"{path}.md")
         named = F.lower(basename(F.col("path"))) == path.rsplit("/", 1)[-1].removesuffix(".md").lower()
-        rows = self.notes.where(exact | named).select("path", (F.col("path") == path).alias("same"), exact.alias("exact")).orderBy(F.desc("same"), F.desc("exact"), "path").limit(100).collect()
-        if rows and rows[0].exact:
-            return rows[0].path
-        found = [r.path for r in rows]
-        if folder and len(found) > 1:
-            found = [p for p in found if p.startswith(folder.rstrip("/") + "/")] or found
-        if not found:
+        inside = F.col("path").startswith(folder.rstrip("/") + "/") if folder else F.lit(False)
+        rows = self.notes.where(exact | named).select("path", (F.col("path") == path).alias("same"), exact.alias("exact"), inside.alias("better"))
+        rows = rows.orderBy(F.desc("same"), F.desc("exact"), F.desc("better"), "path").limit(SHOWN).collect()
+        if not rows:
             raise FileNotFoundError(path)
-        if len(found) > 1:
-            raise ValueError(f"{path} is ambiguous: {', '.join(found)}")
-        return found[0]
+        return rows[0].path if rows[0].exact else _only(path, [(r.path, r.better) for r in rows])
 
     def resolve_folder(self, folder: str | None) -> str | None:
         """The folder itself, or the only one whose path contains the text in any case; an ending match settles a tie."""
@@ -46,14 +52,12 @@ class Vault:
         parts = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
         above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
         all_ = self.notes.where(F.col("path").contains("/")).select(F.explode(above).alias("folder")).distinct()
-        found = [r.folder for r in all_.where(F.lower("folder").contains(name)).orderBy("folder").limit(100).collect()]
-        if folder.strip("/") in found:
-            return folder.strip("/")
-        ending = [f for f in found if f.lower().endswith(name)]
-        found = ending if len(found) > 1 and len(ending) == 1 else found
-        if len(found) != 1:
-            raise ValueError(f"{folder} is {'ambiguous: ' + ', '.join(found) if found else 'not a folder'}")
-        return found[0]
+        own = F.col("folder") == folder.strip("/")
+        rows = all_.where(F.lower("folder").contains(name)).select("folder", own.alias("exact"), F.lower("folder").endswith(name).alias("better"))
+        rows = rows.orderBy(F.desc("exact"), F.desc("better"), "folder").limit(SHOWN).collect()
+        if not rows:
+            raise ValueError(f"{folder} is not a folder")
+        return rows[0].folder if rows[0].exact else _only(folder, [(r.folder, r.better) for r in rows])
 
     def _note(self, path: str) -> DataFrame:
         return self.notes.where(F.col("path") == self.resolve_path(path))

@@ -207,3 +207,16 @@ def test_tools(spark, notes):
     assert "notes/beta.md" not in paths(v.suggest_links(path="alpha", limit=10)) and "missing_link" in v.suggest_links(path="alpha", graph_context=True).columns
     assert set(v.link_health()) == set(links.CHECKS) and v.tags(pattern="t*").count() == 2
     assert content(v.add_links("notes/index.md", [{"target": "notes/beta"}]), "notes/index.md").endswith("- [[beta]]\n")
+
+
+def test_resolving_past_many_candidates(spark):
+    from loreloom.api import Vault
+
+    folders = [f"a{i:03}-zoo-x" for i in range(150)] + ["zoo"] + [f"p{i:03}-log-x" for i in range(150)] + ["a-log", "z-log"] + [f"q{i:03}-pen-x" for i in range(150)] + ["z-pen"]
+    v = Vault(spark.createDataFrame([(f"{f}/_index.md", "x", 0, 1) for f in folders], "path string, content string, mtime_ms long, size long"))
+    assert v.resolve_folder("zoo") == "zoo" and v.resolve_folder("pen") == "z-pen"
+    with pytest.raises(ValueError, match="ambiguous"):
+        v.resolve_folder("log")
+    assert v.resolve_path("_index", "zoo") == "zoo/_index.md" and v.resolve_path("_index", "z-pen/") == "z-pen/_index.md"
+    with pytest.raises(ValueError, match="ambiguous"):
+        v.resolve_path("_index")
