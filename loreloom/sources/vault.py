@@ -10,12 +10,14 @@ are skipped. The tree must be on storage that the executors mount.
 
 from __future__ import annotations
 
+import base64
 import json
 import os
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, content string, mtime_ms long, size long"
 FILES_A_TASK = 500
@@ -45,6 +47,12 @@ def _row(root: str, path: str) -> tuple | None:
     return path, content, int(stat.st_mtime_ns // 1_000_000), stat.st_size
 
 
+def _rows(root: str, paths: list[str]) -> Iterator[tuple]:
+    for path in paths:
+        if (row := _row(root, path)) is not None:
+            yield row
+
+
 class VaultSource(DataSource):
     """Options: path, folder (only below it), recursive (true)."""
 
@@ -58,7 +66,7 @@ class VaultSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return VaultReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return VaultStream(self.options)
 
 
@@ -74,32 +82,48 @@ class VaultReader(DataSourceReader):
         return [Files(paths[i : i + FILES_A_TASK]) for i in range(0, len(paths), FILES_A_TASK)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        for path in partition.paths:
-            if (row := _row(self.root, path)) is not None:
-                yield row
+        return _rows(self.root, partition.paths)
+
 
+class VaultStream(DataSourceStreamReader):
+    """New and changed files. The offset is the listing: each path's time and size, compressed.
 
-class VaultStream(SimpleDataSourceStreamReader):
-    """Changed files by modification time; the offset is the newest time read and the paths that have it."""
+    Any difference in time or size counts, so a file that arrives with an old time is read.
+    The driver lists; executors read. Deleted files give no rows. An offset, of which Spark
+    logs one a batch, grows with the number of files.
+    """
 
     def __init__(self, options: dict):
         self.root = options["path"]
 
     def initialOffset(self) -> dict:
-        return {"mtime_ms": -1, "paths": "[]"}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        since, seen = int(start["mtime_ms"]), set(json.loads(start["paths"]))
-        rows = [r for p in listed(self.root) if (r := _row(self.root, p)) is not None and (r[2] > since or r[2] == since and r[0] not in seen)]
-        if not rows:
-            return iter(()), start
-        newest = max(r[2] for r in rows)
-        at_newest = {r[0] for r in rows if r[2] == newest} | (seen if newest == since else set())
-        return iter(rows), {"mtime_ms": newest, "paths": json.dumps(sorted(at_newest))}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        since, until = int(start["mtime_ms"]), int(end["mtime_ms"])
-        return iter([r for p in listed(self.root) if (r := _row(self.root, p)) is not None and since <= r[2] <= until])
+        return {"files": _packed({})}
+
+    def latestOffset(self) -> dict:
+        found = {}
+        for path in listed(self.root):
+            try:
+                stat = os.stat(os.path.join(self.root, path))
+            except FileNotFoundError:
+                continue
+            found[path] = [stat.st_mtime_ns, stat.st_size]
+        return {"files": _packed(found)}
+
+    def partitions(self, start: dict, end: dict) -> list[Files]:
+        before, now = _unpacked(start["files"]), _unpacked(end["files"])
+        paths = [p for p, seen in now.items() if before.get(p) != seen]
+        return [Files(paths[i : i + FILES_A_TASK]) for i in range(0, len(paths), FILES_A_TASK)]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        return _rows(self.root, partition.paths)
+
+
+def _packed(files: dict[str, list[int]]) -> str:
+    return base64.b64encode(zlib.compress(json.dumps(files, sort_keys=True).encode())).decode()
+
+
+def _unpacked(files: str) -> dict[str, list[int]]:
+    return json.loads(zlib.decompress(base64.b64decode(files)))
 
 
 def read_vault(spark: SparkSession, root: str, folder: str = "") -> DataFrame:

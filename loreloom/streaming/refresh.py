@@ -28,11 +28,13 @@ def difference(notes: DataFrame, files: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
-def to_index(notes: DataFrame, files: DataFrame) -> DataFrame:
-    """The notes whose content is new: changed by time and by hash. A changed time alone isn't stored."""
+def to_index(notes: DataFrame, files: DataFrame, by_time: bool = True) -> DataFrame:
+    """The notes whose content is new: changed by time (unless all are known to be changed) and by hash. A changed time alone isn't stored."""
     hashed = notes.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
     known = files.select("path", F.col("mtime_ms").alias("then"), F.col("content_hash").alias("old_hash"))
-    joined = hashed.join(known, "path", "left").where(F.col("then").isNull() | (F.col("then") != F.col("mtime_ms")))
+    joined = hashed.join(known, "path", "left")
+    if by_time:
+        joined = joined.where(F.col("then").isNull() | (F.col("then") != F.col("mtime_ms")))
     return joined.where(F.col("old_hash").isNull() | (F.col("old_hash") != F.col("content_hash"))).drop("then", "old_hash")
 
 
@@ -98,7 +100,7 @@ class Index:
 
         def batch(rows: DataFrame, _: int) -> None:
             latest = rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime_ms")))).where("n = 1").drop("n")
-            fresh = to_index(latest, self.files())
+            fresh = to_index(latest, self.files(), by_time=False)
             if not fresh.isEmpty():
                 self.apply(fresh, self.spark.createDataFrame([], "path string"))
 

@@ -220,3 +220,32 @@ def test_resolving_past_many_candidates(spark):
     assert v.resolve_path("_index", "zoo") == "zoo/_index.md" and v.resolve_path("_index", "z-pen/") == "z-pen/_index.md"
     with pytest.raises(ValueError, match="ambiguous"):
         v.resolve_path("_index")
+
+
+def test_vault_stream_follows_files_whatever_their_time(spark, tmp_path):
+    import os
+
+    from loreloom.sources.vault import VaultSource
+
+    root = tmp_path / "vault"
+    root.mkdir()
+
+    def put(name, text, seconds):
+        (root / name).write_text(text)
+        os.utime(root / name, (seconds, seconds))
+
+    def indexed():
+        query = index.follow(spark.readStream.format("vault").load(str(root)), f"{tmp_path}/vcp", availableNow=True)
+        assert query.awaitTermination(60)
+        return {r.file_path: r.text.split()[-1] for r in index.chunks().collect()}, index.version()
+
+    spark.dataSource.register(VaultSource)
+    index = refresh.Index(spark, f"file://{tmp_path}/vindex")
+    put("a.md", "alpha", 2_000_000)
+    put("b.md", "beta", 2_000_000)
+    assert indexed() == ({"a.md": "alpha", "b.md": "beta"}, 1)
+    put("old.md", "restored", 1_000_000)
+    put("a.md", "older", 1_500_000)
+    put("b.md", "longer", 2_000_000)
+    assert indexed() == ({"a.md": "older", "b.md": "longer", "old.md": "restored"}, 2)
+    assert indexed()[1] == 2
