@@ -41,10 +41,8 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     order = np.argsort(-demand.max(1), kind="stable")
     residual = np.ones((shards, items.shape[1]))
     out = np.zeros(len(items), np.int64)
-    late = np.zeros(len(items), bool)
-    late[order[len(order) // 2 :]] = True
     for i in order.tolist():
-        s = int(np.argmax(residual[:, 0] if late[i] else residual @ (demand[i] * weight)))
+        s = int(np.argmax(residual @ (demand[i] * weight)))
         out[i] = s
         residual[s] -= demand[i]
     return settle(items[:, 0], out, shards)

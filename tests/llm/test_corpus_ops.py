@@ -58,6 +58,17 @@ def test_shards(spark, odd):
     assert shards.assign_shards(odd, 40).count() == odd.count() and shards.assign_shards(odd.limit(0)).count() == 0
 
 
+def test_packing_balances_tokens_and_rows():
+    rng = np.random.RandomState(3)
+    rows = rng.poisson(1.5, 6000) + 1
+    tokens = np.array([rng.lognormal(3, 1, n).sum() for n in rows])
+    items = np.c_[tokens * rng.uniform(4, 8, len(rows)), tokens, rows].round()
+    out = shards.pack(items, 40)
+    load = np.array([np.bincount(out, weights=x, minlength=40) for x in items.T])
+    byte, token, row = (load.max(1) - load.min(1)) / load.mean(1)
+    assert byte < 0.001 and token < 0.02 and row < 0.04, (byte, token, row)
+
+
 def labelled_docs(spark, n=900):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
