@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loreloom.llm import near_dups, nearest, quality, shards, toxicity, warc
@@ -63,12 +65,44 @@ def test_packing_balances_tokens_and_rows():
     rows = rng.poisson(1.5, 6000) + 1
     tokens = np.array([rng.lognormal(3, 1, n).sum() for n in rows])
     items = np.c_[tokens * rng.uniform(4, 8, len(rows)), tokens, rows].round()
-    out = shards.pack(items, 40)
+    out = shards.pack(items, np.tile(items.sum(0) / 40, (40, 1)))
+    out = shards.settle(items[:, 0], out, np.bincount(out, weights=items[:, 0], minlength=40))
     load = np.array([np.bincount(out, weights=x, minlength=40) for x in items.T])
     byte, token, row = (load.max(1) - load.min(1)) / load.mean(1)
     assert byte < 0.001 and token < 0.02 and row < 0.04, (byte, token, row)
 
 
+@given(st.lists(st.tuples(st.integers(16, 900), st.integers(1, 90), st.integers(1, 5)), max_size=30), st.integers(1, 5))
+def test_packing_is_the_rule(items, n):
+    """Each item, largest first, goes where the dot product with what is left is highest."""
+    room = [[sum(x[d] for x in items) / n or 1.0 for d in range(3)] for _ in range(n)]
+    left, expected = [[1.0] * 3 for _ in range(n)], [0] * len(items)
+    share = [[x[d] / room[0][d] for d in range(3)] for x in items]
+    got = shards.pack(np.array(items, float).reshape(-1, 3), np.array(room)).tolist()
+    for i in sorted(range(len(items)), key=lambda i: -max(share[i])):
+        dots = [sum(w * r * x for w, r, x in zip(shards.WEIGHTS, left[s], share[i], strict=True)) for s in range(n)]
+        assert dots[got[i]] >= max(dots) - 1e-9  # equal but for rounding
+        expected[i] = got[i]
+        left[got[i]] = [r - x for r, x in zip(left[got[i]], share[i], strict=True)]
+    assert got == expected
+
+
+def test_shards_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(shards, "PART_GROUPS", 500)
+    monkeypatch.setattr(shards, "LAST", 300)
+    rng = random.Random(8)
+    rows = [(i, "w " * int(rng.lognormvariate(3, 1) + 1) + str(i)) for i in range(4000)] + [(7, "same row")] * 900
+    got = shards.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    text = {(zlib.crc32(t.encode()), len(t.encode()) + 16): t for _, t in rows}
+    load = np.zeros((10, 3))
+    for r in got:
+        load[r.shard] += [r.size, text[r.text_crc32, r.size].count(" ") + 1, 1]
+    byte, token, row = (load.max(0) - load.min(0)) / load.mean(0)
+    assert len(got) == len(rows) and byte < 0.002 and token < 0.05 and row < 0.12, (byte, token, row)
+    for s in range(10):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(int(load[s, 2])))
+
+
 def labelled_docs(spark, n=900):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
