@@ -9,40 +9,101 @@ reads a whole block with one table lookup and no loop over ids.
 Files: a folder with ``ranks`` (rank, token_id) and ``blocks``. A row of ``blocks`` has
 up to ``BLOCK_IDS`` ids of consecutive documents (a longer document has a row to
 itself): shard, block, start (ids before it in its shard), doc_ids and lengths (one
-entry a document), control, data. Shards cover ascending, disjoint ranges of doc_id.
+entry a document), control, data. Shards cover ascending ranges of doc_id; a doc_id that
+many rows share may run over several of them.
 
 Defined results: a null text counts as empty and has the end id only; rows with the
-same doc_id each keep their own entry, ordered by their ids; a null doc_id comes first;
-an empty table gives empty files. Further columns of the input are ignored.
+same doc_id each keep their own entry, ordered by the crc32 of their ids; a null doc_id
+comes first; an empty table gives empty files. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import discard, shared_dir, staged, tasks
+from .staging import chunks, discard, shared_dir, staged, tasks
 
 BLOCK_IDS = 1 << 17
-CACHED_PIECES = 700_000
+#: Pieces and ids that fill a generation of a worker's cache.
+CACHED_PIECES, CACHED_IDS = 300_000, 4_000_000
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
-_CUT = re.compile(r"(?= \S)")
-_TWO = re.compile(r"\s\s")
+#: First bytes of characters that may be white space outside ASCII, and their second bytes.
+_LEADS, _SECONDS = np.zeros(256, bool), np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SECONDS[[0x80, 0x81, 0x85, 0x9A, 0xA0]] = True
+#: ASCII letters, digits and marks; 0 is everything else, the apostrophe too, as it may begin a token with letters.
+_KIND = np.zeros(256, np.int8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27]] = 3
+
+
+def piece_starts(raw: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Where pieces of the texts begin that pre-tokenization keeps apart; docs: where the texts begin.
+
+    A space or line break before what is surely no white space is a cut: the space belongs
+    to what follows, the line break is a token of its own. So is a change between ASCII
+    letters, digits and marks.
+    """
+    edge = np.zeros(len(raw) + 1, bool)
+    first = np.zeros(len(raw) + 1, bool)
+    first[docs] = True
+    at = np.flatnonzero((raw[:-1] == 0x20) | (raw[:-1] == 0x0A)) if len(raw) else np.zeros(0, np.int64)
+    after = raw[at + 1]
+    second = raw[np.minimum(at + 2, len(raw) - 1)]
+    solid = ((after > 0x20) & (after != 0x7F) & ~(_LEADS[after] & _SECONDS[second])) & ~first[at + 1]
+    at = at[solid]
+    edge[at] = True
+    edge[at[raw[at] == 0x0A] + 1] = True
+    kind = _KIND[raw]
+    edge[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    return np.flatnonzero((edge | first)[:-1])
+
+
+def gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The slices of ``values`` with these beginnings and lengths, one after another."""
+    upto = np.cumsum(length)
+    return values[np.repeat(begin - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+class Generation:
+    """Pieces and their ids, in flat arrays."""
+
+    def __init__(self, dtype: np.dtype):
+        self.code: dict[str, int] = {}
+        self.ids, self.end = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def find(self, pieces: np.ndarray) -> np.ndarray:
+        """The number of each piece, or -1."""
+        return np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = self.end[codes + 1] - self.end[codes]
+        return gathered(self.ids, self.end[codes], length), length
+
+    def add(self, pieces: np.ndarray, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Take new pieces in and number them."""
+        n = len(self.end) - 1
+        self.code.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.end = np.r_[self.end, self.end[-1] + np.cumsum(length)]
+        self.ids = np.r_[self.ids, ids]
+        return np.arange(n, n + len(pieces))
 
 
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each distinct piece once.
 
-    Pre-tokenization never joins what stands before a space with that space if a
-    non-space follows, and a line break between two non-spaces is a token of its own, so
-    a text may be cut there and its pieces encoded apart. A text that holds an added token
-    (the library finds these before it pre-tokenizes) is encoded whole.
+    A text that holds an added token (the library finds these before it pre-tokenizes) is
+    encoded whole. The cache has two generations: a piece that occurs again is taken into
+    the newer one, and when that is full the older one goes, so frequent pieces stay.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -54,58 +115,70 @@ class PieceEncoder:
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.breaks = np.zeros(size, bool)
         self.breaks[self.tokenizer.token_to_id("Ċ")] = True
-        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
-        self.newline = np.array([self.tokenizer.token_to_id("Ċ")], self.dtype).tobytes()
-        self.inner: dict[str, bytes] = {}
-        self.outer: dict[str, bytes] = {}
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.new, self.old = Generation(self.dtype), Generation(self.dtype)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _holds_added(self, text: str) -> bool:
         return any(t in text for t in self.added)
 
-    def _learn(self, pieces: set[str], cache: dict[str, bytes], mark: str) -> None:
-        """Add pieces to a cache: those behind a space (mark " "), or those that begin a line (mark "\n")."""
-        lead = mark.strip("\n")
-        plain = [p for p in pieces if len(p.split()) == 1 and p.isprintable()]
-        starts = self.starts if lead else self.breaks
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            joined = lead + mark.join(part)
-            ids = np.array(self._ids(joined), dtype=self.dtype)
-            cuts = np.flatnonzero(starts[ids])
-            if len(cuts) + (not lead) != len(part) or self._holds_added(joined):
-                cache.update((p, np.array(self._ids(lead + p), self.dtype).tobytes()) for p in part)
-                continue
-            raw, step = ids.tobytes(), ids.itemsize
-            begin = cuts.tolist() if lead else [0, *(cuts + 1).tolist()]
-            end = [*(begin[1:] if lead else cuts.tolist()), len(ids)]
-            cache.update((p, raw[a * step : b * step]) for p, a, b in zip(part, begin, end, strict=True))
-        for p in pieces.difference(plain):
-            cache[p] = np.array(self._ids(lead + p), self.dtype).tobytes()
+    def _learn(self, pieces: np.ndarray) -> None:
+        """Take new pieces in. Words go to the library in long lines, whose ids part where words begin."""
+        kinds = pa.array(pieces, pa.string())
+        spaces = pa.compute.count_substring(kinds, " ").to_numpy()
+        led = pa.compute.starts_with(kinds, " ").to_numpy(zero_copy_only=False)
+        plain = pa.compute.utf8_is_printable(kinds).to_numpy(zero_copy_only=False) & (spaces == led) & (pa.compute.binary_length(kinds).to_numpy() > led)
+        for own, mark in ((plain & led, ""), (plain & ~led, "\n")):
+            words = pieces[own]
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                joined = mark.join(part)
+                ids = self._ids(joined)
+                begin = np.r_[0, np.flatnonzero(self.breaks[ids]) + 1] if mark else np.flatnonzero(self.starts[ids])
+                if len(begin) == len(part) and not self._holds_added(joined):
+                    length = np.diff(np.r_[begin, len(ids) + len(mark)]) - len(mark)
+                    self.new.add(part, gathered(ids, begin, length), length)
+                else:
+                    self._learn_each(part)
+        self._learn_each(pieces[~plain])
+
+    def _learn_each(self, pieces: np.ndarray) -> None:
+        ids = [self._ids(p) for p in pieces]
+        self.new.add(pieces, np.concatenate([self.new.ids[:0], *ids]), np.array([len(x) for x in ids], np.int64))
+
+    def _known(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after another, and their numbers."""
+        if len(self.new.code) > CACHED_PIECES or len(self.new.ids) > CACHED_IDS:
+            self.old, self.new = self.new, Generation(self.dtype)
+        codes = self.new.find(pieces)
+        gaps = np.flatnonzero(codes < 0)
+        if len(gaps):
+            before = self.old.find(pieces[gaps])
+            again = gaps[before >= 0]
+            codes[again] = self.new.add(pieces[again], *self.old.ids_of(before[before >= 0]))
+            missing = gaps[before < 0]
+            self._learn(pieces[missing])
+            codes[missing] = self.new.find(pieces[missing])
+        return self.new.ids_of(codes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
-        for cache in (self.inner, self.outer):
-            if len(cache) > CACHED_PIECES:
-                cache.clear()
-        split, whole = [], {}
-        for i, text in enumerate(texts):
-            if self._holds_added(text):
-                whole[i] = np.array(self._ids(text), self.dtype).tobytes()
-                split.append([])
-            elif _TWO.search(text) or text[:1].isspace() or text[-1:].isspace():
-                first, *rest = _CUT.split(text)
-                split.append([(first, [x[1:] for x in rest])])
-            else:
-                split.append([(words[0], words[1:]) for words in (line.split(" ") for line in text.split("\n"))])
-        inner = set()
-        inner.update(*(rest for lines in split for _, rest in lines))
-        self._learn(inner.difference(self.inner), self.inner, " ")
-        self._learn({first for lines in split for first, _ in lines}.difference(self.outer), self.outer, "\n")
-        known = self.inner.__getitem__
-        return [whole[i] if i in whole else self.newline.join([self.outer[first] + b"".join(map(known, rest)) for first, rest in lines]) for i, lines in enumerate(split)]
+        whole = {i: self._ids(t).tobytes() for i, t in enumerate(texts) if self._holds_added(t)}
+        plain = ["" if i in whole else t for i, t in enumerate(texts)]
+        data = "".join(plain).encode()
+        size = np.array([len(t) if t.isascii() else len(t.encode()) for t in plain], np.int64)
+        docs = np.cumsum(size) - size
+        begin = piece_starts(np.frombuffer(data, np.uint8), docs[size > 0])
+        pieces = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.r_[begin, len(data)].astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        table, length = self._known(pieces.dictionary.to_numpy(zero_copy_only=False))
+        code = pieces.indices.to_numpy()
+        n = length[code]
+        ids = gathered(table, (np.cumsum(length) - length)[code], n)
+        edge = np.r_[0, np.cumsum(n)][np.searchsorted(begin, np.r_[docs, len(data)])].tolist()
+        raw, step = ids.tobytes(), ids.itemsize
+        return [whole.get(i, raw[a * step : b * step]) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -118,49 +191,40 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+TOKENS = "doc_id long, ids binary, crc long, place long, counts array<struct<token_id:int,n:long>>"
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, ids (little-endian; 2 bytes each where the vocabulary allows, else 4), with the end id."""
-    schema = "doc_id long, ids binary"
+    """A row a document: doc_id, ids (with the end id, little-endian; 2 bytes each where the vocabulary allows, else 4, compressed), crc, place.
+
+    place tells rows apart. The last row of a task has the counts of its ids and nothing else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from pyspark import TaskContext
 
         own = encoder(tokenizer_path)
         end = np.array([end_id], own.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=1).compress
+        place, total = TaskContext.get().partitionId() << 40, np.zeros(0, np.int64)
+        pair = pa.list_(pa.struct([("token_id", pa.int32()), ("n", pa.int64())]))
+        names = ["doc_id", "ids", "crc", "place", "counts"]
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-                yield pa.record_batch([batch.column("doc_id"), pa.array([pack(x + end) for x in own.encode(texts)], pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
-
-
-def _dtype(path: str) -> str:
-    return encoder(path).dtype
-
-
-def id_counts(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
-    """token_id, n over the whole corpus; each task sends at most one row an id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack, dtype, total = zstandard.ZstdDecompressor().decompress, _dtype(tokenizer_path), np.zeros(0, np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                ids = np.frombuffer(b"".join(map(unpack, batch.column("ids").slice(i, 512).to_pylist())), dtype)
-                n = np.bincount(ids)
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+            for batch in chunks(whole, "text"):
+                ids = [x + end for x in own.encode(["" if t is None else t for t in batch.column("text").to_pylist()])]
+                n = np.bincount(np.frombuffer(b"".join(ids), own.dtype), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                columns = [pa.array(map(pack, ids), pa.binary()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(np.arange(place, place + len(ids)))]
+                place += len(ids)
+                yield pa.record_batch([batch.column("doc_id"), *columns, pa.nulls(len(ids), pair)], names=names)
         used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["token_id", "n"])
+        if len(used):
+            counts = [{"token_id": i, "n": x} for i, x in zip(used.tolist(), total[used].tolist(), strict=True)]
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts], pair)], names=names)
 
-    return tokens.select("ids").mapInArrow(run, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
 
 
 def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -194,12 +258,14 @@ BLOCKS = "shard int, block int, start long, doc_ids array<long>, lengths array<l
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> None:
     """Encode all of ``docs`` into token files below ``path``.
 
-    One pass tokenizes; a second counts ids (the counts, one row an id of the vocabulary,
-    are all that reaches the driver); a range exchange on doc_id then orders the files.
+    One pass tokenizes and counts ids (the sums, one row an id of the vocabulary, are all
+    that reaches the driver); a range exchange on doc_id then orders the files.
     """
     spark = docs.sparkSession
-    tokens, temporary = staged(tokenize(docs, tokenizer_path, end_id), "tokens", compression="none")
-    ranked = [r.token_id for r in id_counts(tokens, tokenizer_path).orderBy(F.desc("n"), "token_id").collect()]
+    rows, temporary = staged(tokenize(docs, tokenizer_path, end_id), "tokens", compression="none")
+    counts = rows.where("counts IS NOT NULL").select(F.explode("counts").alias("c")).groupBy("c.token_id").agg(F.sum("c.n").alias("n"))
+    ranked = [r.token_id for r in counts.orderBy(F.desc("n"), "token_id").collect()]
+    tokens = rows.where("place IS NOT NULL").select("doc_id", "ids", "crc", "place")
     spark.createDataFrame([(i, t) for i, t in enumerate(ranked)], "rank int, token_id int").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
@@ -209,7 +275,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         import zstandard
         from pyspark import TaskContext
 
-        unpack, dtype, rank = zstandard.ZstdDecompressor().decompress, np.dtype(_dtype(tokenizer_path)), shared.value
+        unpack, dtype, rank = zstandard.ZstdDecompressor().decompress, encoder(tokenizer_path).dtype, shared.value
         shard, block, start, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -231,7 +297,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         if held:
             yield flush()
 
-    ordered = tokens.repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    key = ["doc_id", "crc", "place"]  # place only parts rows that are alike, so that none can be a hot key
+    ordered = tokens.repartitionByRange(tasks(spark), *key).sortWithinPartitions(*key).select("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(spark, temporary)
 
