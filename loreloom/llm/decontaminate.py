@@ -2,14 +2,16 @@
 
 Hashes of ``K`` consecutive words; of every ``WINDOW`` consecutive ones the least is a
 fingerprint. Any shared span of K + WINDOW - 1 = 10 words has the same fingerprint in a
-document and in an item, so joining fingerprints misses none. A document's fingerprints
-are looked up, in the task that reads it, in the sorted fingerprints of the items; each
-hit is extended to the ten-word windows around it, which are then compared in full, word
-by word. Items shorter than ten words are one window each and their own fingerprint.
+document and in an item, so joining fingerprints misses none. Each hit is extended to the
+ten-word windows around it, which are then compared in full, word by word. Items shorter
+than ten words are one window each and their own fingerprint.
 
-The items come in blocks of about ``BLOCK_BYTES`` of text, so what is broadcast has a
-bound however large the benchmark is; documents pass the blocks one after another,
-without an exchange, and carry what they have found.
+A benchmark of up to ``BLOCK_BYTES`` of text is indexed once and broadcast (an index takes
+about six times its text), and documents are joined with it where they are read, without
+an exchange. A larger one is dealt to blocks of that size. Then fingerprints of documents
+and items are joined by an exchange, hot ones split ``SALTS`` ways, which gives the blocks
+that each document must meet; items and documents meet there, a block and up to
+``MEETING`` documents in a task at a time, and what a document's blocks find is merged.
 
 Defined results: a null or empty text has no words and is not contaminated; items
 without words or without item_id match nothing; an item_id that occurs repeatedly counts
@@ -22,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .staging import chunks, staged
+from .staging import chunks, staged, tasks
 from .words import ALNUM, Words, words_of
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
-BLOCK_BYTES = 8 << 20
-FOUND = {"n_words": "long", "starts": "array<int>", "ends": "array<int>", "items": "array<long>"}
+BLOCK_BYTES, SALTS, MEETING = 4 << 20, 16, 20_000
+TEXT = 1 << 20
+HITS = "starts array<int>, ends array<int>, items array<long>"
 
 
 def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +53,16 @@ def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Windows of some items by length: hash, item and words, and the fingerprints that lead to them."""
+    """Windows of some items by length: their hashes in order and first words, and the fingerprints that lead to them.
+
+    Words stay where they are in the items' text, so an index is a few flat arrays.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         words = words_of([t for _, t in items], ALNUM)
         ids = np.array([i for i, _ in items], np.int64)
         self.prints = np.unique(fingerprints(words)[0])
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, list[list[bytes]]]] = {}
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         counts = words.counts()
         for k in sorted({SPAN, *np.unique(counts[(counts > 0) & (counts < SPAN)]).tolist()}):
             hashes, at = words.grams(k)
@@ -64,12 +71,14 @@ class Index:
                 hashes, at = hashes[own], at[own]
             if len(hashes):
                 order = np.argsort(hashes, kind="stable")
-                self.windows[k] = hashes[order], ids[words.doc[at[order]]], [words.text(a, k) for a in at[order].tolist()]
+                self.windows[k] = hashes[order], at[order].astype(np.int32)
+        self.item = ids[words.doc]
+        self.words = Words(words.data, words.begin.astype(np.int32), words.end.astype(np.int32), words.doc[:0], words.hash[:0], len(items))
 
     def hits(self, words: Words) -> list[tuple[int, int, int, list[int]]]:
         """Text, first word, length and items of each window that an item has."""
         out = []
-        for k, (keys, items, content) in self.windows.items():
+        for k, (keys, places) in self.windows.items():
             hashes, at = words.grams(k)
             if k == SPAN:
                 prints, begin = fingerprints(words)
@@ -79,11 +88,22 @@ class Index:
             right = np.searchsorted(keys, hashes, "right")
             for i in np.flatnonzero(right > left).tolist():
                 own = words.text(int(at[i]), k)
-                same = {int(items[j]) for j in range(left[i], right[i]) if content[j] == own}
+                same = {int(self.item[p]) for p in places[left[i] : right[i]].tolist() if self.words.text(p, k) == own}
                 if same:
                     out.append((int(words.doc[at[i]]), int(at[i]), k, sorted(same)))
         return out
 
+    def found(self, words: Words) -> list[tuple[list[int], list[int], list[int]]]:
+        """Starts and ends of the hit spans (word positions in their text) and the items, of each text."""
+        first = np.searchsorted(words.doc, np.arange(words.n_docs)).tolist()
+        marks: dict[int, tuple[list, set]] = {}
+        for doc, at, k, items in self.hits(words):
+            spans, found = marks.setdefault(doc, ([], set()))
+            spans.append((at - first[doc], at - first[doc] + k))
+            found.update(items)
+        empty: tuple[list[int], list[int], list[int]] = ([], [], [])
+        return [(*_spans(marks[d][0]), sorted(marks[d][1])) if d in marks else empty for d in range(words.n_docs)]
+
 
 def _spans(marks: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of the union of intervals."""
@@ -97,46 +117,133 @@ def _spans(marks: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _pass(docs: DataFrame, index: Index) -> DataFrame:
-    """Add what a block of items finds."""
+def _columns(found: list[tuple]) -> list[pa.Array]:
+    kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return [pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]
+
+
+def _schema(docs: DataFrame, more: str) -> T.StructType:
+    return T.StructType([*docs.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def _by_broadcast(docs: DataFrame, index: Index) -> DataFrame:
+    """docs with n_words and HITS, where the index is small."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for whole in batches:
-            for batch in chunks(whole, "text", 2 << 20):
+            for batch in chunks(whole, "text", TEXT):
                 words = words_of(batch.column("text").to_pylist(), ALNUM)
-                first = np.searchsorted(words.doc, np.arange(batch.num_rows + 1))
-                marks: dict[int, list] = {}
-                for doc, at, k, items in index.hits(words):
-                    spans, found = marks.setdefault(doc, [[], set()])
-                    spans.append((at - int(first[doc]), at - int(first[doc]) + k))
-                    found.update(items)
-                old = [batch.column(c).to_pylist() for c in ("starts", "ends", "items")]
-                for doc, (spans, found) in marks.items():
-                    old[0][doc], old[1][doc] = _spans([*spans, *zip(old[0][doc], old[1][doc], strict=True)])
-                    old[2][doc] = sorted(found.union(old[2][doc]))
-                new = [pa.array(np.diff(first)), pa.array(old[0], pa.list_(pa.int32())), pa.array(old[1], pa.list_(pa.int32())), pa.array(old[2], pa.list_(pa.int64()))]
-                new = dict(zip(FOUND, new, strict=True))
-                yield pa.record_batch([new.get(c, batch.column(c)) for c in names], names=names)
-
-    names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+                yield pa.record_batch([*batch.columns, pa.array(words.counts()), *_columns(shared.value.found(words))], names=names)
+
+    schema = _schema(docs, f"n_words long, {HITS}")
+    names = schema.fieldNames()
+    return docs.mapInArrow(run, schema)
+
+
+def _fingerprinted(rows: DataFrame, short: list[int]) -> DataFrame:
+    """rows with n_words and prints: the distinct fingerprints of their texts, those of windows of the short lengths too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text", TEXT):
+                words = words_of(batch.column("text").to_pylist(), ALNUM)
+                parts = [fingerprints(words), *(words.grams(k) for k in short)]
+                h, doc = np.concatenate([p for p, _ in parts]), np.concatenate([words.doc[at] for _, at in parts])
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+                ends = np.searchsorted(doc[new], np.arange(batch.num_rows + 1)).astype(np.int32)
+                yield pa.record_batch([*batch.columns, pa.array(words.counts()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[new].view(np.int64)))], names=names)
+
+    schema = _schema(rows, "n_words long, prints array<long>")
+    names = schema.fieldNames()
+    return rows.mapInArrow(run, schema)
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """serial and HITS of documents in the block they meet.
+
+    rows: block, chunk, guest (0: item, 1: document), id, text. A task holds a block's index;
+    documents stream past it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, items, index = None, [], None
+        for whole in batches:
+            for batch in chunks(whole, "text", TEXT):
+                held: list[tuple[int, str]] = []
+
+                def flush() -> Iterator[pa.RecordBatch]:
+                    if held and index is not None:
+                        found = [(i, *f) for (i, _), f in zip(held, index.found(words_of([t for _, t in held], ALNUM)), strict=True) if f[0]]
+                        yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), *_columns([f[1:] for f in found])], names=["serial", "starts", "ends", "items"])
+                    held.clear()
+
+                for block, chunk, guest, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (block, chunk) != key:
+                        yield from flush()
+                        key, items, index = (block, chunk), [], None
+                    if not guest:
+                        items.append((i, text))
+                        continue
+                    if index is None:
+                        index, items = Index(items), []
+                    held.append((i, text))
+                yield from flush()
+
+    n = tasks(rows.sparkSession)
+    return rows.select("block", "chunk", "guest", "id", "text").repartition(n, "block", "chunk").sortWithinPartitions("block", "chunk", "guest").mapInArrow(run, f"serial long, {HITS}")
+
+
+def _merged(starts: Column, ends: Column) -> Column:
+    """The union of intervals, as an ordered array of structs (a, b)."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
+        joins = (F.size(acc) > 0) & (x["a"] <= F.try_element_at(acc, F.lit(-1))["b"])
+        return F.when(joins, grown).otherwise(F.concat(acc, F.array(x)))
+
+    pairs = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.aggregate(F.array_sort(pairs), none, step)
+
+
+def _by_exchange(docs: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
+    """docs with n_words and HITS, for a benchmark of any size."""
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    items, _ = staged(_fingerprinted(items, list(range(1, SPAN))), "benchmark")
+    short = [r.n_words for r in items.where((F.col("n_words") > 0) & (F.col("n_words") < SPAN)).select("n_words").distinct().collect()]  # nine at most
+    # A short item's own fingerprint is its whole window's hash, the only one of its own length.
+    rows, _ = staged(_fingerprinted(docs.withColumn("serial", F.monotonically_increasing_id()), [int(k) for k in sorted(short)]), "documents")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    known = items.select("block", F.explode("prints").alias("print")).distinct().select("block", "print", salts)
+    asked = rows.select("serial", F.explode("prints").alias("print")).withColumn("salt", F.pmod("serial", F.lit(SALTS)).cast("int"))
+    pairs, _ = staged(asked.join(known, ["print", "salt"]).select("serial", "block").distinct(), "meetings")
+    parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("parts"))
+    chunk = F.pmod(F.xxhash64("serial"), F.col("parts")).cast("int").alias("chunk")
+    guests = pairs.join(parts, "block").join(rows.select("serial", "text"), "serial").select("block", chunk, F.lit(1).alias("guest"), F.col("serial").alias("id"), "text")
+    hosts = items.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.lit(0).alias("guest"), F.col("item_id").alias("id"), "text")
+    found = _meeting(guests.unionByName(hosts)).groupBy("serial").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))  # of one document
+    spans = _merged(F.col("starts"), F.col("ends"))
+    found = found.select("serial", spans.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    out = rows.join(found, "serial", "left")
+    return out.select(*docs.columns, "n_words", none(F.col("spans.a"), "array<int>").alias("starts"), none(F.col("spans.b"), "array<int>").alias("ends"), none(F.col("items"), "array<long>").alias("items"))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, n_words, starts and ends (word positions of the hit spans), items (ids, ascending), kept columns."""
+    """doc_id, text, kept columns, n_words, starts and ends (word positions of the hit spans), items (ids, ascending)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // block_bytes))
-    empty = [(F.lit(0) if t == "long" else F.array()).cast(t).alias(c) for c, t in FOUND.items()]
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *empty, *keep)
-    for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        out = _pass(out, Index([(r.item_id, r.text) for r in rows]))
-        if b % 4 == 3 and b + 1 < n:  # as many Python workers a task at most
-            out, _ = staged(out, "overlaps")
-    return out
+    names = {c: f"kept_{i}" for i, c in enumerate(keep)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(n) for c, n in names.items()))
+    if total <= block_bytes:
+        found = _by_broadcast(rows, Index([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]))
+    else:
+        found = _by_exchange(rows, items, -(-int(total) // block_bytes))
+    return found.withColumnsRenamed({n: c for c, n in names.items()})
 
 
 def with_counts(found: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -175,3 +176,9 @@ def test_secrets_joined_to_base_spans(spark):
         spans = [(s.start, s.end) for s in r.spans if s.rank == len(secrets.BASE)]
         assert all(e <= b.start or s >= b.end for s, e in spans for b in r.base)
         assert len(spans) == (0 if r.doc_id in (6, 7) else 1 if r.doc_id != 5 else 3)
+
+
+def test_an_index_of_items_is_a_few_times_their_text():
+    rng = random.Random(4)
+    items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(100))) for i in range(1000)]
+    assert len(pickle.dumps(decontaminate.Index(items))) < 8 * sum(len(t) for _, t in items)
