@@ -1,7 +1,8 @@
 """Operator 8: near-duplicate classes by a chosen-path set similarity join.
 
-Documents with equal shingle sets are one class from the start; its smallest doc_id
-stands for it. In each of ``TREES`` independent trees a class descends to the node of its
+Documents with the same words in the same order (by SHA-256) have equal shingle sets and are
+one class from the start; its smallest doc_id stands for it. All other links, those of equal
+sets too, come from comparing full sets. In each of ``TREES`` independent trees a class descends to the node of its
 minwise shingle. A node small enough to compare exhaustively ends there; a larger one
 branches: each member goes on by ``BRANCHES`` further minwise shingles, so that members
 that only share a passage part, while similar ones meet again in at least one child. Two
@@ -27,6 +28,7 @@ share its links. Empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .staging import chunks, staged, tasks
-from .words import SPACED, mix, words_of
+from .words import SPACED, words_of
 
 TREES, BRANCHES, LEVELS = 8, 2, 3
 #: Members of a node, and members times shingles, that a task compares at once.
@@ -64,28 +66,27 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(docs: DataFrame, k: int, seed: int = 8) -> DataFrame:
-    """doc_id, n_shingles, key (two hashes of the whole set), minwise (TREES * WIDTH values); no exchange."""
-    schema = "doc_id long, n_shingles long, key_a long, key_b long, minwise array<long>"
+    """doc_id, n_shingles, key (a digest of the words in order), minwise (TREES * WIDTH values); no exchange."""
+    schema = "doc_id long, n_shingles long, key binary, minwise array<long>"
     factors = np.random.RandomState(seed).randint(1, 1 << 62, TREES * WIDTH, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text", 2 << 20):
-                n = batch.num_rows
-                doc, h = shingle_sets(batch.column("text").to_pylist(), k)
+            for batch in chunks(whole, "text", 1 << 20):
+                n, texts = batch.num_rows, batch.column("text").to_pylist()
+                doc, h = shingle_sets(texts, k)
                 size = np.bincount(doc, minlength=n)
                 some = np.flatnonzero(size)
                 start = (np.cumsum(size) - size)[some]
-                keys, least = np.zeros((2, n), np.uint64), np.zeros((n, len(factors)), np.int64)
+                keys = [hashlib.sha256(b" ".join((t or "").encode().lower().split())).digest() for t in texts]
+                least = np.zeros((n, len(factors)), np.int64)
                 if len(some):
-                    keys[0, some] = np.add.reduceat(mix(h + np.uint64(1)), start)
-                    keys[1, some] = np.add.reduceat(mix(h ^ np.uint64(0x5DEECE66D)), start)
                     for i, f in enumerate(factors):
                         v = h * f
                         v ^= v >> np.uint64(31)
                         least[some, i] = np.minimum.reduceat(v, start).view(np.int64)
                 values = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(factors), pa.array(least.ravel()))
-                yield pa.record_batch([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), values], names=["doc_id", "n_shingles", "key_a", "key_b", "minwise"])
+                yield pa.record_batch([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(keys, pa.binary()), values], names=["doc_id", "n_shingles", "key", "minwise"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     sketch, _ = staged(sketches(docs, k), "sketches")
-    classes = sketch.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise")).where("rep IS NOT NULL")
+    classes = sketch.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise")).where("rep IS NOT NULL")
     classes, _ = staged(classes, "classes")
 
     def value(tree, i: int):
@@ -297,7 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     found = found if links is None else found.unionByName(links)
     found, _ = staged(found, "links")
     parts = components(found)
-    mine = sketch.join(classes.select("key_a", "key_b", "rep"), ["key_a", "key_b"], "left").join(parts.withColumnRenamed("vertex", "rep"), "rep", "left")
+    mine = sketch.join(classes.select("key", "rep"), "key", "left").join(parts.withColumnRenamed("vertex", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     return mine.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

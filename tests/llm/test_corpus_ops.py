@@ -214,6 +214,7 @@ def test_near_duplicates(spark, monkeypatch, members, levels):
             for _ in range(rng.choice([0, 0, 1, 2, 4])):
                 own[rng.randrange(n)] = rng.choice("pqrstuv")
             texts.append(" ".join(own))
+    texts += ["a b c d e a b c d e a", "a b c d e a b c d e a b c d"]  # one set in two texts
     passage = text(40)
     texts += [text(8) + " " + passage + " " + text(8) for _ in range(30)]
     docs = [(7 * i % 1009, t) for i, t in enumerate(texts)]
