@@ -237,13 +237,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     """doc_id, text, kept columns, n_words, starts and ends (word positions of the hit spans), items (ids, ascending)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    names = {c: f"kept_{i}" for i, c in enumerate(keep)}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(n) for c, n in names.items()))
+    names = {f"_own_{i}": c for i, c in enumerate(keep)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(n) for n, c in names.items()))
     if total <= block_bytes:
         found = _by_broadcast(rows, Index([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]))
     else:
         found = _by_exchange(rows, items, -(-int(total) // block_bytes))
-    return found.withColumnsRenamed({n: c for c, n in names.items()})
+    return found.toDF(*(names.get(c, c) for c in found.columns))
 
 
 def with_counts(found: DataFrame) -> DataFrame:
