@@ -252,3 +252,22 @@ def test_pipeline_stages(spark, odd, tmp_path):
     assert 9001 not in ids and 9002 in ids and len(ids & {20_008, 20_009}) == 1
     toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
     assert len(ids & toxic) < 0.1 * len(toxic) and None in ids
+
+
+def test_pipeline_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = ("one two three four five six seven", "red green blue white black grey pink", "some other text of eight words in all")
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "x"), (2, b, "z"), (None, c, "n"), (3, c, "m"), (4, None, "o"), (4, None, "p"), (5, "", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string")
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs.coalesce(1), "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a, "x"), (1, b, "y"), (3, c, "m"), (4, None, "o"), (4, None, "p"), (5, "", "q")], key=repr)
+
+
+def test_pipeline_of_nothing(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", None), ("labels", "doc_id long, toxic int, quality int"), ("benchmark", "item_id long, text string")):
+        (odd.limit(0) if schema is None else spark.createDataFrame([], schema)).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
