@@ -2,8 +2,14 @@
 
 Each stage takes what its predecessor kept, as rows of ``documents`` with whatever columns
 it has, and its decisions take effect. Columns besides doc_id and text get neutral names
-inside a stage, so none can clash with an operator's. Rows without text pass every stage;
-rows without doc_id pass the near-duplicate stage as they are.
+inside a stage, so none can clash with an operator's.
+
+Defined results: rows without text, or with an empty one, pass every stage. Rows are told
+apart by their place, not by doc_id: rows that share a doc_id each count as a document, so
+different texts both stay and repeated rows are duplicates like any. Of a near-duplicate
+group the row with the smallest doc_id stays (rows without one come last), and of several
+with that doc_id the first. A score equal to TOXIC is rejected. An empty ``documents``
+gives an empty result; empty labels or an empty benchmark reject nothing of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.llm import decontaminate, near_dups, pieces, secrets, toxicity
-from loreloom.llm.staging import shared_dir
+from loreloom.llm.staging import shared_dir, staged
 
 TOXIC = 0.5
 
@@ -37,11 +43,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group keep the document with the smallest doc_id, once."""
+    """Of each near-duplicate group keep one row: that with the smallest doc_id, then the first."""
     rows, _ = _neutral(docs)
-    kept = near_dups.near_duplicates(rows).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _restored(one.unionByName(rows.where("doc_id IS NULL")), docs)
+    rows, _ = staged(rows.withColumn("place", F.monotonically_increasing_id()), "placed")
+    groups = near_dups.near_duplicates(rows.select(F.col("place").alias("doc_id"), "text")).select(F.col("doc_id").alias("place"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
+    first = rows.select("place", "doc_id").join(groups, "place").groupBy("component_id").agg(F.min(order).alias("first")).select("first.place")
+    return _restored(rows.join(first, "place", "left_semi").drop("place"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
