@@ -31,17 +31,17 @@ from pyspark.sql import functions as F
 
 from .staging import lowest
 
-#: kind, pattern, group to measure, its least length.
+#: kind, pattern, group to measure (1: the whole match), its least length.
 BASE = (
-    ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     ("access", r"(AKIA[A-Z0-9]{16,})", 1, 20),
     ("hex", r"([0-9a-f]{24,})", 1, 24),
 )
 KINDS = (*(k for k, *_ in BASE), "markov")
-MIN_RUN = 20
+MIN_RUN = 12
 RUN = rf"([A-Za-z0-9_+/-]{{{MIN_RUN},}})"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-"
-MIN_RATIO, BACKED = 35.0, 10.0
+MIN_RATIO, BACKED = 20.0, 10.0
 SAMPLE = 500
 #: Ordinary whatever the documents hold: public names, numbers, and rules drawn with one character.
 IDENTIFIERS = [
@@ -52,14 +52,16 @@ IDENTIFIERS = [
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _matches(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
+def _matches(text: Column, pattern: str, group: int, least: int, rank: int, rare: bool = True) -> Column:
     """Spans of the leftmost, non-overlapping matches whose group is long enough.
 
     What splitting by the pattern leaves and what it matches alternate, so their lengths
-    add up to the places.
+    add up to the places. A text without a match is read once if matches are rare; the
+    group is measured in the match alone.
     """
-    left, whole, part = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.transform(F.arrays_zip(F.slice(left, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("n"), F.length(x["part"]).alias("part")))
+    left, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = (lambda w: F.length(w)) if group == 1 else (lambda w: F.length(F.regexp_extract(w, pattern, group)))
+    steps = F.zip_with(F.slice(left, 1, F.size(left) - 1), whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("n"), part(w).alias("part")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -69,7 +71,7 @@ def _matches(text: Column, pattern: str, group: int, least: int, rank: int) -> C
         return F.struct(end.alias("at"), F.when(x["part"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     found = F.aggregate(steps, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN)) if rare else found
 
 
 def _pairs(strings: DataFrame, label: str) -> DataFrame:
@@ -157,7 +159,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] =
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         rows = rows.withColumn(kind, _matches(F.col("text"), pattern, group, least, rank))
     rows = rows.withColumn("base", F.array_sort(F.concat(*(kind for kind, *_ in BASE))))
-    rows = rows.withColumn("runs", _matches(F.col("text"), RUN, 1, MIN_RUN, len(BASE)))
+    rows = rows.withColumn("runs", _matches(F.col("text"), RUN, 1, MIN_RUN, len(BASE), rare=False))
     apart = F.flatten(F.transform("runs", lambda r: _outside(r, F.col("base"))))
     added = F.filter(apart, lambda r: ratio(F.substr(F.col("text"), r["start"] + 1, r["end"] - r["start"]), table) >= MIN_RATIO)
     added = F.when(F.size("runs") > 0, added).otherwise(F.array().cast(SPAN))

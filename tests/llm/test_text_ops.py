@@ -182,3 +182,36 @@ def test_an_index_of_items_is_a_few_times_their_text():
     rng = random.Random(4)
     items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(100))) for i in range(1000)]
     assert len(pickle.dumps(decontaminate.Index(items))) < 8 * sum(len(t) for _, t in items)
+
+
+def test_markov_spans_of_planted_strings(spark):
+    """Recall by length of random strings without a keyword, and precision among ordinary words and identifiers."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = {"base 62": letters + letters.upper() + "0123456789", "base 64": letters + letters.upper() + "0123456789+/", "digits and letters": letters + "0123456789"}
+    syllables = "ba co di fu la mi no re sa te vo an er in on ur".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    ordinary = [word() + rng.choice("_-/") + word() + rng.choice("_-/") + word() for _ in range(300)] + ["getElementsByTagName", "MAX_BUFFER_SIZE_BYTES", "user/local/share/docs", "2024-01-15-000000"]
+    rows, planted = [], {}
+    for i in range(1200):
+        text = [word() for _ in range(12)]
+        if i % 2:
+            n, kind = rng.choice([12, 14, 16, 20, 30, 45, 60]), rng.choice(list(alphabets))
+            secret = rng.choice("xyz") + "".join(rng.choice(alphabets[kind]) for _ in range(n - 2)) + "Q7"[rng.randrange(2)]
+            planted[i] = (n, secret)
+            text.insert(5, secret)
+        else:
+            text.insert(5, rng.choice(ordinary))
+        rows.append((i, " ".join(text)))
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    caught, wrong = {}, 0
+    for r in found:
+        spans = [r.text[s.start : s.end] for s in r.spans]
+        if r.doc_id in planted:
+            n, secret = planted[r.doc_id]
+            caught.setdefault(n, []).append(any(x in secret and len(x) >= 0.8 * len(secret) for x in spans))
+            wrong += any(x not in secret for x in spans)
+        else:
+            wrong += bool(spans)
+    recall = {n: sum(x) / len(x) for n, x in sorted(caught.items())}
+    assert wrong == 0 and all(x >= (0.9 if n < 16 else 0.97) for n, x in recall.items()), (wrong, recall)
