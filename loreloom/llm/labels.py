@@ -14,7 +14,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
-    """text, label (0 or 1) and fold of at most ``sample`` labelled documents that aren't held out.
+    """doc_id, text, label (0 or 1) and fold of at most ``sample`` labelled documents that aren't held out.
 
     The labels with the least hashes of doc_id are taken first, so the side that the join
     broadcasts has ``sample`` rows at most, whatever the tables hold. Null labels, ids and
@@ -23,5 +23,5 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> Da
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     some = lowest(some.where(fold(F.col("doc_id")) != 0), F.xxhash64("doc_id"), sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    joined = texts.join(F.broadcast(some), "doc_id").select("text", "label", fold(F.col("doc_id")).cast("int").alias("fold"))
+    joined = texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "label", fold(F.col("doc_id")).cast("int").alias("fold"))
     return staged(joined, f"labelled-{column}")[0]

@@ -1,15 +1,17 @@
 """Operator 9: quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are adjacent pairs of byte classes (letters, digits, spaces, each mark),
-words equal to the one before, words seen before in the text, and words seen first. Term
-weights are log counts times inverse document frequency; a singular value decomposition
-of at most ``SAMPLE`` labelled documents gives the latent space. Their vectors, a bounded
-number, are broadcast; every document's vector is compared with all of them in blocks of
-exact cosine products, and the ``NEIGHBOURS`` nearest vote with their similarity.
+A text's terms are its words (lower-cased and hashed to ``WORDS`` columns), adjacent pairs
+of byte classes (letters, digits, spaces, each mark), words equal to the one before, words
+seen before in the text, and words seen first. Term weights are log counts times inverse
+document frequency; a singular value decomposition of at most ``SAMPLE`` labelled documents
+gives the latent space. Their vectors, a bounded number, are broadcast; every document's
+vector is compared with all of them in blocks of exact cosine products, and the
+``NEIGHBOURS`` nearest vote with their similarity.
 
 Defined results: a text without terms (empty or null) has no similarity with any and gets
-the labelled share of 1; ties of similarity go to the earlier labelled vector; without
-labels every score is 1; repeated rows score alike; other columns are ignored.
+the labelled share of 1; similarities are compared to five decimals, and ties go to the
+labelled document with the smaller doc_id, then the smaller text; without labels every
+score is 1; repeated rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from .labels import fold, labelled
 from .staging import chunks
 from .words import SPACED, words_of
 
-SAMPLE, RANK, NEIGHBOURS = 4_000, 32, 15
+SAMPLE, RANK, NEIGHBOURS, WORDS = 4_000, 48, 15, 1_024
 _CLASS = np.zeros(256, np.int64)
 for _b in range(256):
     _c = chr(_b)
     _CLASS[_b] = 0 if "a" <= _c <= "z" or _b >= 0x80 else 1 if "A" <= _c <= "Z" else 2 if "0" <= _c <= "9" else 3 if _c == " " else 4 if _b < 0x20 or _b == 0x7F else 5 + sum(1 for x in range(0x21, _b) if not chr(x).isalnum())
 CLASSES = int(_CLASS.max()) + 1
-TERMS = CLASSES * CLASSES + 3
+TERMS = CLASSES * CLASSES + 3 + WORDS
 
 
 def counts(texts: list[str | None]) -> np.ndarray:
@@ -53,7 +55,8 @@ def counts(texts: list[str | None]) -> np.ndarray:
         repeat[1:] = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
     kind = np.where(repeat, 0, np.where(again, 1, 2))
     extra = words.doc * TERMS + CLASSES * CLASSES + kind
-    return np.bincount(np.r_[pair, extra], minlength=n * TERMS).reshape(n, TERMS)
+    column = words.doc * TERMS + (TERMS - WORDS) + (words.hash % np.uint64(WORDS)).astype(np.int64)
+    return np.bincount(np.r_[pair, extra, column], minlength=n * TERMS).reshape(n, TERMS)
 
 
 class Model:
@@ -87,12 +90,14 @@ class Model:
         for i in range(0, len(texts), block):
             x = counts(texts[i : i + block])
             own = self._unit(self._weights(x) @ self.axes)
-            cosine = own @ self.vectors.T
-            near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if k == len(self.labels) else np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 4
+            cosine = np.round(own @ self.vectors.T, 5)
+            least = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+            near, tied = cosine > least, cosine == least
+            near |= tied & (np.cumsum(tied, axis=1) <= k - near.sum(1, keepdims=True))
+            vote = np.where(near, np.maximum(cosine, 0), 0).astype(np.float64) ** 4
             total = vote.sum(1)
             some = (total > 0) & (x.sum(1) > 0)
-            out[i : i + block][some] = np.clip((vote * self.labels[near]).sum(1)[some] / total[some], 0, 1)
+            out[i : i + block][some] = np.clip((vote @ self.labels)[some] / total[some], 0, 1)
         return out
 
 
@@ -101,11 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text", 2 << 20):
+            for batch in chunks(whole, "text", 1 << 20):
                 rows = [x.astype("<i4").tobytes() for x in counts(batch.column("text").to_pylist())]
-                yield pa.record_batch([pa.array(rows, pa.binary()), batch.column("label")], names=["x", "label"])
+                yield pa.record_batch([batch.column("doc_id"), pa.array(rows, pa.binary()), batch.column("label")], names=["doc_id", "x", "label"])
 
-    got = labelled(docs, labels, column, sample).select("text", "label").mapInArrow(run, "x binary, label int").collect()
+    got = labelled(docs, labels, column, sample).orderBy("doc_id", "text", "label").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, x binary, label int").collect()
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), "<i4").reshape(len(got), TERMS)
     return Model(x, np.array([r.label for r in got], np.float64))
 
@@ -116,7 +121,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text", 2 << 20):
+            for batch in chunks(whole, "text", 1 << 20):
                 yield pa.record_batch([batch.column("doc_id"), pa.array(shared.value.score(batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -271,3 +271,26 @@ def test_pipeline_of_nothing(spark, odd, tmp_path):
     for name, schema in (("documents", None), ("labels", "doc_id long, toxic int, quality int"), ("benchmark", "item_id long, text string")):
         (odd.limit(0) if schema is None else spark.createDataFrame([], schema)).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_votes_are_the_nearest_by_brute_force():
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma!", "7", "Delta", "e e"]) for _ in range(rng.randint(1, 30)))
+    texts, labels = [text() for _ in range(60)], np.array([rng.randrange(2) for _ in range(60)], float)
+    model = quality.Model(quality.counts(texts), labels)
+    asked = [text() for _ in range(40)] + texts[:5] + ["", None]
+    for got, t in zip(model.score(asked), asked, strict=True):
+        own = model._unit(model._weights(quality.counts([t])) @ model.axes)[0].astype(float)
+        cosine = [round(float(sum(a * b for a, b in zip(own, v.astype(float), strict=True))), 5) for v in model.vectors]
+        best = sorted(range(60), key=lambda i: (-cosine[i], i))[: quality.NEIGHBOURS]
+        votes = [(max(cosine[i], 0) ** 4, labels[i]) for i in best]
+        expected = sum(v * y for v, y in votes) / sum(v for v, _ in votes) if t else labels.mean()
+        assert abs(got - expected) < 1e-2, (t, got, expected)
+
+
+def test_ties_go_to_the_smaller_doc_id(spark):
+    rows = [(i, "same words in every one of them") for i in range(1, 200)]
+    ids = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i not in ids[:20])) for i in ids], "doc_id long, quality int")
+    assert {r.score for r in quality.score_quality(docs, quality.train(docs, labels)).collect()} == {0.0}
