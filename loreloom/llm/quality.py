@@ -11,7 +11,7 @@ vector is compared with all of them in blocks of exact cosine products, and the
 Defined results: a text without terms (empty or null) has no similarity with any and gets
 the labelled share of 1; similarities are compared to five decimals, and ties go to the
 labelled document with the smaller doc_id, then the smaller text; without labels every
-score is 1; repeated rows score alike; other columns are ignored.
+score is 1; repeated rows score alike; a null doc_id is not held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,4 +131,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -134,7 +134,8 @@ def test_classifiers_on_held_out_rows(spark, odd, module, column, score):
 
 def test_grammar_scores_clauses():
     lexicon, machine = toxicity.Lexicon([]), toxicity.grammar()
-    total = lambda t: np.expm1(toxicity.features([t], lexicon, machine)[0, 0])
+    first = np.array(list(toxicity.FACTORS.values()))
+    total = lambda t: np.expm1(toxicity.features(toxicity.matched([t], lexicon, machine), first)[0, 0])
     plain, target, negated, said = (total(t) for t in ("an idiot", "you idiot", "not an idiot", "said an idiot"))
     assert target > plain > said > negated > 0 and total("they say. an idiot") == plain
     assert total("kill the lights") < total("you will be hurt, so kill you") and total("nothing here") == 0
@@ -294,3 +295,68 @@ def test_ties_go_to_the_smaller_doc_id(spark):
     docs = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i not in ids[:20])) for i in ids], "doc_id long, quality int")
     assert {r.score for r in quality.score_quality(docs, quality.train(docs, labels)).collect()} == {0.0}
+
+
+def plain_factors(kinds):
+    """The factors of a clause's insults and threats, by looking around each word."""
+    kinds, out = list(kinds), []
+    for i, k in enumerate(kinds):
+        if k not in (toxicity.INSULT, toxicity.THREAT):
+            continue
+        back = lambda kind, n, i=i: kind in kinds[max(0, i - n) : i]
+        own = {"negated"} if back(toxicity.NEGATION, 3) else set()
+        if k == toxicity.INSULT:
+            own |= ({"repeated"} if back(toxicity.INSULT, 1) else set()) | ({"targeted"} if back(toxicity.TARGET, 4) else set())
+            own |= {"reported insult"} if toxicity.REPORT in kinds[:i] else set()
+        else:
+            own |= ({"reported threat"} if toxicity.REPORT in kinds[:i] else set()) | (set() if back(toxicity.TARGET, 4) else {"untargeted threat"})
+        out.append(own)
+    return out
+
+
+@given(st.lists(st.integers(0, 5), max_size=14))
+def test_composed_machine_is_the_plain_rules(kinds):
+    moves, masks = toxicity.grammar()
+    names, state, got = list(toxicity.FACTORS), 0, []
+    for k in kinds:
+        if k in (toxicity.INSULT, toxicity.THREAT):
+            got.append({n for i, n in enumerate(names) if masks[state, k] >> i & 1})
+        state = moves[state, k]
+    assert got == plain_factors(kinds)
+
+
+@given(st.lists(st.lists(st.sampled_from("idiot kill you not said the zzz".split() + [".", "\n"]), max_size=12), max_size=5))
+def test_features_are_sums_over_clauses(texts):
+    lexicon, machine, factors = toxicity.Lexicon([]), toxicity.grammar(), np.array(list(toxicity.FACTORS.values()))
+    kind = dict(idiot=toxicity.INSULT, kill=toxicity.THREAT, you=toxicity.TARGET, said=toxicity.REPORT) | {"not": toxicity.NEGATION}
+    got = toxicity.features(toxicity.matched([" ".join(t) for t in texts], lexicon, machine), factors)
+    for row, t in zip(got, texts, strict=True):
+        clauses, scores = [[]], []
+        for w in t:
+            clauses.append([]) if w in ".\n" else clauses[-1].append(kind.get(w, toxicity.OTHER))
+        for c in clauses:
+            each = [2.0 * np.prod([toxicity.FACTORS[n] for n in own]) for own in plain_factors(c)]
+            scores += [sum(each)] if each else []
+        n = sum(map(len, clauses))
+        expected = [np.log1p(sum(scores)), min(max(scores, default=0), 20) / 4, np.log1p(len(scores)), np.sqrt(sum(scores) / max(n, 20)), 1]
+        assert np.allclose(row, expected)
+
+
+def test_factors_are_fitted_and_threats_learned(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(3000):
+        toxic = rng.random() < 0.4
+        text = [rng.choice("abcdefgh") * rng.randint(2, 5) for _ in range(12)]
+        if toxic:
+            text[3:3] = rng.choice([["gronk", "you"], ["you", "splurf"]])
+        elif rng.random() < 0.12:
+            text[3:3] = rng.choice([["said", "splurf"], ["said", "gronk"]])
+        rows.append((i, " ".join(text), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    fitted = dict(zip(toxicity.FACTORS, model.factors.tolist(), strict=True))
+    kinds = model.lexicon.find(toxicity._words(["gronk splurf"]).hash)[0].tolist()
+    assert kinds == [toxicity.THREAT, toxicity.INSULT] and fitted["reported insult"] <= 0.4
+    score = dict(zip("abcd", model.score(["x gronk you", "you splurf", "said splurf", "said gronk"]), strict=True))
+    assert min(score["a"], score["b"]) > 0.5 > max(score["c"], score["d"])
