@@ -5,15 +5,19 @@ are equal and at least ``MIN_REVISIT`` bytes long, those with the smallest page_
 response records; the others are revisit records that name it and hold no payload.
 
 Reading is splittable: a task gets a byte range of a file, looks for the gzip magic,
-takes a candidate as a record only if its first bytes decode to a WARC version line, and
-owns the records that start inside its range, reading past the end to finish the last.
-Inside a record nothing is searched, so a payload that looks like a record is not one,
+takes a candidate as a record only if it decodes to a WARC version line and header lines
+that name a type and a length, and owns the records that start inside its range, reading
+past the end to finish the last. Archives of other programs are read too: records of every
+type, with whatever identifiers. Inside a record nothing is searched, so a payload that looks like a record is not one,
 unless a range begins in the middle of it and it is stored uncompressed.
 
 Defined results: a null payload counts as empty; a null url is left out; payloads
 shorter than the limit are always responses; rows that share the smallest page_id are
 all responses; pages without page_id never count as the smallest, and refer to it if
 there is one; an empty table gives no archive and no rows. Further columns are ignored.
+Reading gives page_id and refers_to only for identifiers that this writer makes; the
+payload of a response or request is what follows its HTTP header, that of other types the
+whole block, and null for revisits; header lines without a colon are passed over.
 """
 
 from __future__ import annotations
@@ -30,7 +34,10 @@ from pyspark.sql import functions as F
 from .staging import chunks, shared_dir
 
 MIN_REVISIT = 100
+#: Ways that the pages of one digest are split when they look up its first page.
+SALTS = 16
 SPLIT_BYTES, MAX_TASKS = 8 << 20, 100_000
+MAX_HEAD = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -38,14 +45,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def with_record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for responses).
 
-    Equal payloads meet by digest in a join whose one side has a row a digest; a hot
-    digest's pages may be split over tasks. Short payloads have keys of their own.
+    Equal payloads meet by digest in a join whose one side has ``SALTS`` rows for each
+    digest that pages share, so that a hot digest's pages are split over as many keys. Short
+    payloads have keys of their own.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    firsts = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("key")).agg(F.min("page_id").alias("first"))
+    firsts = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("key")).agg(F.min("page_id").alias("first"), F.count("*").alias("pages"))
+    firsts = firsts.where("pages > 1").select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     key = F.when(F.col("payload_bytes") >= min_bytes, F.col("payload_digest")).otherwise(F.concat(F.lit("short-"), F.coalesce(F.col("page_id"), F.lit(-1)).cast("string")))
-    joined = rows.withColumn("key", key).join(firsts, "key", "left")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    joined = rows.withColumns({"key": key, "salt": salt}).join(firsts, ["key", "salt"], "left")
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
@@ -103,7 +113,7 @@ class _Window:
     """A sliding view of a file from some offset."""
 
     def __init__(self, file, at: int, step: int = 1 << 18):
-        self.file, self.start, self.data, self.step, self.ended = file, at, b"", step, False
+        self.file, self.start, self.data, self.step, self.ended = file, at, bytearray(), step, False
         file.seek(at)
 
     def more(self) -> bool:
@@ -113,29 +123,38 @@ class _Window:
         return bool(got)
 
     def drop(self, to: int) -> None:
-        self.data = self.data[to - self.start :]
+        del self.data[: to - self.start]
         self.start = to
 
 
+def _fields(head: bytes) -> dict[str, str] | None:
+    """Header fields by lower-case name; None if this is no WARC header."""
+    version, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not version.startswith("WARC/"):
+        return None
+    fields = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+    return fields if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
+
+
 def _member(view: _Window, at: int) -> tuple[bytes, int] | None:
     """The record whose gzip member starts at this offset and where it ends; None if there is none."""
-    gz, out, begin, fed = zlib.decompressobj(31), [], at, 0
+    gz, out, begin = zlib.decompressobj(31), bytearray(), at
     checked = False
     try:
         while not gz.eof:
-            part = view.data[begin - view.start :]
+            part = bytes(view.data[begin - view.start :])
             if not part and not view.more():
                 return None
-            part = view.data[begin - view.start :]
-            out.append(gz.decompress(part))
-            fed, begin = fed + len(part), begin + len(part)
-            if not checked and sum(map(len, out)) >= 7:
-                if not b"".join(out).startswith(b"WARC/1."):
+            out += gz.decompress(part)
+            begin += len(part)
+            if not checked and len(out) >= 5:
+                end = out.find(b"\r\n\r\n", 0, MAX_HEAD)
+                if not out.startswith(b"WARC/") or (end < 0 and len(out) > MAX_HEAD) or (end >= 0 and _fields(bytes(out[:end])) is None):
                     return None
-                checked = True
+                checked = end >= 0
     except zlib.error:
         return None
-    return (b"".join(out), begin - len(gz.unused_data)) if checked else None
+    return (bytes(out), begin - len(gz.unused_data)) if checked else None
 
 
 def records_in_range(file, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -161,29 +180,30 @@ def records_in_range(file, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
             view.drop(at)
 
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, at long"
+RECORDS = "page_id long, record_id string, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, at long"
 
 
 def _parse(record: bytes) -> tuple:
     head, _, block = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = block[: int(fields["Content-Length"])]
+    fields = _fields(head) or {}
+    block = block[: int(fields["content-length"])]
 
     def page(key: str) -> int | None:
-        tail = fields.get(key, "<urn:page:null>").rpartition(":")[2].rstrip(">")
-        return None if tail == "null" else int(tail)
+        name = fields.get(key, "").removeprefix("<urn:page:").removesuffix(">")
+        return int(name) if name.isascii() and name.isdigit() or name[:1] == "-" and name[1:].isdigit() else None
 
-    kind = fields["WARC-Type"]
-    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-    size = len(payload) if payload is not None else int(fields["X-Payload-Length"])
-    return page("WARC-Record-ID"), fields.get("WARC-Target-URI"), kind, page("WARC-Refers-To"), size, fields["WARC-Payload-Digest"].partition(":")[2], payload
+    kind, length = fields["warc-type"].lower(), fields.get("x-payload-length", "")
+    http = kind in ("response", "request") and fields.get("content-type", "application/http").lower().startswith("application/http")
+    payload = None if kind == "revisit" else block.partition(b"\r\n\r\n")[2] if http else block
+    size = len(payload) if payload is not None else int(length) if length.isdigit() else None
+    return page("warc-record-id"), fields.get("warc-record-id"), fields.get("warc-target-uri"), kind, page("warc-refers-to"), size, fields.get("warc-payload-digest", "").removeprefix("sha256:") or None, payload
 
 
 def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """All records of archives given by ``file`` and ``bytes``; payload is null for revisits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
         names = [x.split()[0] for x in RECORDS.split(", ")]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:

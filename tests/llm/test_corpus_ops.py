@@ -20,19 +20,51 @@ from .conftest import words
 
 
 def test_warc(spark):
-    long = "x" * 150
-    rows = [(1, "u", long), (0, None, long), (2, "a\nb", long), (3, "k", None), (None, "k", long), (5, "", "y"), (6, "", "y")]
+    long, huge = "x" * 150, "é<p>" * 1_000_000
+    rows = [(1, "u", long), (0, None, long), (7, "h", huge), (8, "h", huge), (2, "a\nb", long), (3, "k", None), (None, "k", long), (5, "", "y"), (6, "", "y")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, file string")
     archives = warc.write_warc(pages, shared_dir(spark, "w"))
     for split in (37, 8 << 20):
         got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.payload) for r in warc.read_warc(archives, split).collect()}
         assert got[0] == ("response", None, 150, long.encode()) and got[1] == ("revisit", 0, 150, None) and got[None][0] == "revisit"
+        assert got[7] == ("response", None, 5_000_000, huge.encode()) and got[8][:3] == ("revisit", 7, 5_000_000)
         assert got[3] == ("response", None, 0, b"") and got[6][0] == "response" and len(got) == len(rows)
     listed = warc.list_archives(spark, archives.first().file.rpartition("/")[0])
     assert sorted(map(tuple, listed.select("bytes").collect())) == sorted(map(tuple, archives.select("bytes").collect()))
     assert warc.read_warc(warc.write_warc(pages.limit(0), shared_dir(spark, "w"))).count() == 0
 
 
+def test_warc_of_other_programs(spark, tmp_path):
+    def record(*fields, block=b""):
+        return "\r\n".join(["WARC/1.0", *fields, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<html>" + b"a" * 3_000_000
+    records = [
+        record("WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1-a>", block=b"software: x\r\n"),
+        record("warc-type:request", "WARC-Record-ID: <urn:uuid:2-b>", "no colon here", "WARC-Target-URI: http://e.org/?a: b", block=b"GET / HTTP/1.1\r\n\r\n"),
+        record("WARC-Type: response", "WARC-Record-ID: <urn:uuid:3-c>", "WARC-Payload-Digest: sha1:ABC", "Content-Type: application/http; msgtype=response", block=http),
+        record("WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:4-d>", "WARC-Refers-To: <urn:uuid:3-c>"),
+        record("WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:5-e>", block=b"k: v"),
+    ]
+    data = b"".join(map(_gz, records)) + _gz(b"no record at all")
+    (tmp_path / "other.warc.gz").write_bytes(data)
+    archives = warc.list_archives(spark, f"file://{tmp_path}")
+    for split in (300, 8 << 20):
+        got = {r.record_id: (r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.url) for r in warc.read_warc(archives, split).collect()}
+        assert got == {
+            "<urn:uuid:1-a>": (None, "warcinfo", 13, None, None),
+            "<urn:uuid:2-b>": (None, "request", 0, None, "http://e.org/?a: b"),
+            "<urn:uuid:3-c>": (None, "response", 3_000_006, "sha1:ABC", None),
+            "<urn:uuid:4-d>": (None, "revisit", None, None, None),
+            "<urn:uuid:5-e>": (None, "metadata", 4, None, None),
+        }
+
+
+def _gz(data):
+    gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return gz.compress(data) + gz.flush()
+
+
 def test_ranges_own_each_record_once():
     rng = random.Random(1)
     records = [warc._record(i, "u", rng.randbytes(rng.randint(0, 900)), 0, "d", None, "t") for i in range(40)]
