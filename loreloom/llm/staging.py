@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder (tests on one machine) a temporary
-    one is made and set.
+    Where a local session names no such folder a temporary one is made and set; on a
+    cluster that is an error, as executors couldn't share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name storage that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
