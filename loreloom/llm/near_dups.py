@@ -206,25 +206,31 @@ def _end_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     return rows.repartition(4 * tasks(spark), "path").sortWithinPartitions("path", "rep").mapInArrow(run, EDGES)
 
 
-def _chunk_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) of guests with members.
+def _chunk_links(rows: DataFrame, k: int, percent: int, every: bool = False) -> DataFrame:
+    """Links (a, b) of guests with members: every one, or as many as join a chunk's groups.
 
     rows: path, chunk, guest (0: member, 1: guest), rep, text. A task holds a chunk's
     members; the guests stream past them in blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, guests, size = None, [], [], 0
+        key, held, guests, size, group = None, [], [], 0, np.zeros(0, np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal guests, size
+            """Links that join two groups; the members' groups so far are kept."""
+            nonlocal guests, size, group
             if held and guests:
                 doc, h = shingle_sets([r[4] for r in [*held, *guests]], k)
-                out = []
-                m, sets = len(held), _Sets(doc, h, 0, len(held) + len(guests))
+                out, m = [], len(held)
+                sets = _Sets(doc, h, 0, m + len(guests))
+                group = group if len(group) else np.arange(m)
                 for p in range(m, m + len(guests)):
                     both, either = sets.shared(p)
-                    out += [(guests[p - m][3], held[q][3]) for q in np.flatnonzero(100 * both[:m] >= percent * either[:m]).tolist()]
+                    near = np.flatnonzero(100 * both[:m] >= percent * either[:m])
+                    met, one = np.unique(group[near], return_index=True)
+                    out += [(guests[p - m][3], held[q][3]) for q in (near if every else near[one]).tolist()]
+                    if len(met) > 1:
+                        group[np.isin(group, met)] = met[0]
                 if out:
                     yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
             guests, size = [], 0
@@ -233,7 +239,7 @@ def _chunk_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:2] != key:
                     yield from flush()
-                    key, held = row[:2], []
+                    key, held, group = row[:2], [], group[:0]
                 if row[2] == 0:
                     held.append(row)
                 else:
@@ -259,7 +265,7 @@ def _big_links(rows: DataFrame, big: DataFrame, docs: DataFrame, k: int, percent
         return of.join(docs, "rep").select("path", everywhere, F.lit(1).alias("guest"), "rep", "text")
 
     pivots = members.groupBy("path", "parts").agg(F.min("rep").alias("rep"))
-    first, _ = staged(_chunk_links(dealt.unionByName(guests(pivots)), k, percent), "pivot-links")
+    first, _ = staged(_chunk_links(dealt.unionByName(guests(pivots)), k, percent, every=True), "pivot-links")
     covered = first.select(F.col("a").alias("pivot"), F.col("b").alias("rep")).distinct()
     tied = members.join(pivots.select("path", F.col("rep").alias("pivot")), "path")
     rest = tied.where("rep <> pivot").join(covered, ["pivot", "rep"], "left_anti").select("path", "parts", "rep")
