@@ -29,7 +29,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import lowest
+from .staging import lowest, tasks
 
 #: kind, pattern, group to measure (1: the whole match), its least length.
 BASE = (
@@ -39,7 +39,7 @@ BASE = (
 )
 KINDS = (*(k for k, *_ in BASE), "markov")
 MIN_RUN = 12
-RUN = rf"([A-Za-z0-9_+/-]{{{MIN_RUN},}})"
+RUN = rf"((?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{MIN_RUN},}})"  # looking back first, each run is tried once
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-"
 MIN_RATIO, BACKED = 20.0, 10.0
 SAMPLE = 500
@@ -50,28 +50,31 @@ IDENTIFIERS = [
     *(c * (800 if c in "-_/+" else 160) for c in ALPHABET),
 ]
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: Spans with their text.
+RUNS = "array<struct<start:int,rank:int,end:int,s:string>>"
 
 
-def _matches(text: Column, pattern: str, group: int, least: int, rank: int, rare: bool = True) -> Column:
+def _matches(text: Column, pattern: str, group: int, least: int, rank: int, texts: bool = False) -> Column:
     """Spans of the leftmost, non-overlapping matches whose group is long enough.
 
     What splitting by the pattern leaves and what it matches alternate, so their lengths
-    add up to the places. A text without a match is read once if matches are rare; the
-    group is measured in the match alone.
+    add up to the places. The group is measured in the match alone. With texts, for matches
+    that most texts have, the spans carry theirs; else a text without a match is read once.
     """
     left, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = (lambda w: F.length(w)) if group == 1 else (lambda w: F.length(F.regexp_extract(w, pattern, group)))
-    steps = F.zip_with(F.slice(left, 1, F.size(left) - 1), whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("n"), part(w).alias("part")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    steps = F.zip_with(F.slice(left, 1, F.size(left) - 1), whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("n"), part(w).alias("part"), w.alias("s")))
+    none = F.array().cast(RUNS if texts else SPAN)
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + x["n"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
+        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), *([x["s"].alias("s")] if texts else [])))
         return F.struct(end.alias("at"), F.when(x["part"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     found = F.aggregate(steps, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN)) if rare else found
+    return found if texts else F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def _pairs(strings: DataFrame, label: str) -> DataFrame:
@@ -90,7 +93,7 @@ def labelled_strings(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame,
     random = seed.select(F.explode(F.array(*kinds)).alias("s"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text"))
-    few = lowest(texts, F.xxhash64("text"), sample)
+    few = lowest(texts, F.xxhash64("text"), sample).repartition(tasks(spark))
     plain = F.col("text")
     for _, pattern, *_ in BASE:
         plain = F.regexp_replace(plain, pattern, " ")
@@ -136,10 +139,10 @@ def ratio(string: Column, table: Column) -> Column:
 
 def _outside(run: Column, base: Column) -> Column:
     """The parts of a run between the base spans (ordered) that overlap it, as far as they have MIN_RUN characters."""
-    start = F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("parts"))
+    start = F.struct(run["start"].alias("at"), F.array().cast(RUNS).alias("parts"))
 
     def part(begin: Column, end: Column, parts: Column) -> Column:
-        own = F.array(F.struct(begin.alias("start"), run["rank"].alias("rank"), end.alias("end")))
+        own = F.array(F.struct(begin.alias("start"), run["rank"].alias("rank"), end.alias("end"), F.substr(run["s"], begin - run["start"] + 1, end - begin).alias("s")))
         return F.when(end - begin >= MIN_RUN, F.concat(parts, own)).otherwise(parts)
 
     def step(acc: Column, b: Column) -> Column:
@@ -159,10 +162,11 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] =
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         rows = rows.withColumn(kind, _matches(F.col("text"), pattern, group, least, rank))
     rows = rows.withColumn("base", F.array_sort(F.concat(*(kind for kind, *_ in BASE))))
-    rows = rows.withColumn("runs", _matches(F.col("text"), RUN, 1, MIN_RUN, len(BASE), rare=False))
-    apart = F.flatten(F.transform("runs", lambda r: _outside(r, F.col("base"))))
-    added = F.filter(apart, lambda r: ratio(F.substr(F.col("text"), r["start"] + 1, r["end"] - r["start"]), table) >= MIN_RATIO)
-    added = F.when(F.size("runs") > 0, added).otherwise(F.array().cast(SPAN))
+    # Runs need places only where one is a secret, or a base span may cut one.
+    secret = F.exists(F.regexp_extract_all("text", F.lit(RUN), F.lit(1)), lambda r: ratio(r, table) >= MIN_RATIO)
+    rows = rows.withColumn("runs", F.when((F.size("base") > 0) | secret, _matches(F.col("text"), RUN, 1, MIN_RUN, len(BASE), texts=True)).otherwise(F.array().cast(RUNS)))
+    apart = F.when(F.size("base") > 0, F.flatten(F.transform("runs", lambda r: _outside(r, F.col("base"))))).otherwise(F.col("runs"))
+    added = F.transform(F.filter(apart, lambda r: ratio(r["s"], table) >= MIN_RATIO), lambda r: F.struct(r["start"], r["rank"], r["end"]))
     return rows.withColumn("spans", F.array_sort(F.concat("base", added))).select("doc_id", *keep, "text", "base", "spans", *(kind for kind, *_ in BASE))
 
 
