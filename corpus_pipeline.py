@@ -45,7 +45,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group keep one row: that with the smallest doc_id, then the first."""
     rows, _ = _neutral(docs)
-    rows, _ = staged(rows.withColumn("place", F.monotonically_increasing_id()), "placed")
+    rows, _ = staged(rows.withColumn("place", F.monotonically_increasing_id()), "placed", compression="zstd")
     groups = near_dups.near_duplicates(rows.select(F.col("place").alias("doc_id"), "text")).select(F.col("doc_id").alias("place"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
     first = rows.select("place", "doc_id").join(groups, "place").groupBy("component_id").agg(F.min(order).alias("first")).select("first.place")
