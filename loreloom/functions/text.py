@@ -98,41 +98,54 @@ def occurrences(text: Column, part: str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def tag_pattern(pattern: str) -> tuple[str, str]:
+    """What a pattern asks of a tag (below, part, start, end, whole) and its literal, lower-case.
+
+    A star at either end leaves that end open; ``p/*`` also means ``p`` itself.
+    """
+    low = pattern.lower()
+    if low.endswith("/*"):
+        return "below", low[:-2]
+    ends = (low.startswith("*") and low != "**", low.endswith("*"))
+    kind = {(True, True): "part", (False, True): "start", (True, False): "end", (False, False): "whole"}[ends]
+    return kind, low[ends[0] : len(low) - ends[1]]
+
+
+TAG_TESTS: dict[str, Callable[[Column, str], Column]] = {
+    "below": lambda t, x: F.concat(t, F.lit("/")).startswith(f"{x}/"),
+    "part": lambda t, x: t.contains(x),
+    "start": lambda t, x: t.startswith(x),
+    "end": lambda t, x: t.endswith(x),
+    "whole": lambda t, x: t == x,
+}
+
+
 def tag_matches(tag: Column, pattern: str | None) -> Column:
-    """The five pattern forms, in their order of precedence: p/*, *x*, x*, *x, x."""
+    """Does a tag match, without regard to case? No pattern matches all."""
     if not pattern:
         return F.lit(True)
-    t, p = F.lower(tag), pattern.lower()
-    if p.endswith("/*"):
-        return (t == p[:-2]) | t.startswith(p[:-1])
-    if p.startswith("*") and p.endswith("*") and len(p) > 2:
-        return t.contains(p[1:-1])
-    if p.endswith("*"):
-        return t.startswith(p[:-1])
-    if p.startswith("*"):
-        return t.endswith(p[1:])
-    return t == p
+    kind, literal = tag_pattern(pattern)
+    return TAG_TESTS[kind](F.lower(tag), literal)
 
 
 def glob(name: Column, pattern: str) -> Column:
     """An anchored, case-sensitive pattern in which only * is special.
 
-    Each part between stars is looked for once, behind the part before, so no pattern
-    backtracks (LIKE becomes a regular expression, which would).
+    What is left of the name shrinks part by part: cut after the first place of each part
+    between stars, null once one is missing. Nothing backtracks, as LIKE would.
     """
-    first, *rest = pattern.split("*")
-    if not rest:
+    parts = pattern.split("*")
+    if len(parts) == 1:
         return name == pattern
-    *middle, last = rest
-    at = F.when(name.startswith(first), len(first) + 1).otherwise(0)
 
-    def step(at: Column, part: Column) -> Column:
-        found = F.position(part, name, at)
-        return F.when((at > 0) & (found > 0), found + F.length(part)).otherwise(0)
+    def behind(rest: Column, part: Column) -> Column:
+        place = F.position(part, rest)
+        return F.when(place > 0, F.substr(rest, place + F.length(part)))
 
-    if middle := [p for p in middle if p]:
-        at = F.aggregate(F.array(*(F.lit(p) for p in middle)), at, step)
-    return (at > 0) & name.endswith(last) & (F.length(name) - len(last) + 1 >= at)
+    rest = F.when(name.startswith(parts[0]), F.substr(name, F.lit(len(parts[0]) + 1)))
+    inner = [F.lit(p) for p in parts[1:-1] if p]
+    rest = F.aggregate(F.array(*inner), rest, behind) if inner else rest
+    return F.coalesce(rest.endswith(parts[-1]), F.lit(False))
 
 
 def round3(x: Column) -> Column:

@@ -145,13 +145,13 @@ def validation(notes: DataFrame) -> DataFrame:
     left = F.size(F.regexp_extract_all("content", F.lit(r"(<%[^%]+%>)"), F.lit(1))) > 0
     task = F.coalesce(meta["type"] == "task", F.lit(False))
     checks = [
-        (meta.isNull(), "No frontmatter found"),
-        (meta.isNotNull() & blank(meta["fields"]["type"]), "Missing required field: type"),
-        (meta.isNotNull() & blank(meta["created"]), "Missing required field: created"),
-        (meta.isNotNull() & (F.coalesce(F.size(meta["tags"]), F.lit(0)) == 0), "Missing required field: tags"),
-        (task & ~F.coalesce(meta["status"].isin(*TASK_STATUS), F.lit(True)), "Invalid status"),
-        (task & ~F.coalesce(meta["priority"].isin(*PRIORITY), F.lit(True)), "Invalid priority"),
-        (left, "Unsubstituted template variables"),
+        (meta.isNull(), "no front matter"),
+        (meta.isNotNull() & blank(meta["fields"]["type"]), "type is missing"),
+        (meta.isNotNull() & blank(meta["created"]), "created is missing"),
+        (meta.isNotNull() & (F.coalesce(F.size(meta["tags"]), F.lit(0)) == 0), "tags are missing"),
+        (task & ~F.coalesce(meta["status"].isin(*TASK_STATUS), F.lit(True)), "unknown status"),
+        (task & ~F.coalesce(meta["priority"].isin(*PRIORITY), F.lit(True)), "unknown priority"),
+        (left, "template variables left"),
     ]
     errors = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for c, m in checks)))
     return with_meta(notes).select("path", errors.alias("errors")).withColumn("valid", F.size("errors") == 0)

@@ -44,9 +44,9 @@ def inserted(content: Column, text: str, place: Column) -> Column:
 def appended(content: Column, text: str, heading: str | None = None, position: str | None = None) -> Column:
     """The content with the text added; null where a position asks for a heading that isn't there."""
     if not text:
-        raise ValueError("content must be a non-empty string")
+        raise ValueError("nothing to append")
     if position and not heading:
-        raise ValueError("'heading' is required when 'position' is given")
+        raise ValueError("a position needs a heading")
     if position and position not in POSITIONS:
         raise ValueError(f"position: {position}")
     plain = F.concat(content, F.lit("\n" + text))
@@ -71,7 +71,7 @@ def append(notes: DataFrame, path: str, text: str, heading: str | None = None, p
     if row is None:
         raise FileNotFoundError(path)
     if row.missing:
-        raise ValueError(f"Heading not found in {path}: {heading}")
+        raise ValueError(f"{path} has no heading that begins with {heading!r}")
     return _at(notes, path, new)
 
 
@@ -82,7 +82,7 @@ def edited(content: Column, old: str, new: str) -> Column:
 
 def edit(notes: DataFrame, path: str, old: str, new: str) -> DataFrame:
     if not old:
-        raise ValueError("old_string must be a non-empty string")
+        raise ValueError("nothing to look for")
     row = notes.where(F.col("path") == path).select(occurrences(F.col("content"), old).alias("n")).first()
     if row is None:
         raise FileNotFoundError(path)
@@ -94,25 +94,25 @@ def edit(notes: DataFrame, path: str, old: str, new: str) -> DataFrame:
 def check_enum(key: str, value: object, type_: str | None) -> None:
     allowed = {"status": TASK_STATUS, "priority": tuple(PRIORITY)}.get(key)
     if type_ == "task" and allowed and value not in allowed:
-        raise ValueError(f"Invalid {key}: {value!r}. Allowed: {', '.join(allowed)}")
+        raise ValueError(f"{value!r} is no {key} of a task; one of {', '.join(allowed)} is")
 
 
 def checked_fields(fields: dict) -> None:
     """Refuse keys and deletions that no front matter may have."""
     for key, value in fields.items():
         if key in DANGEROUS or not KEY.fullmatch(key):
-            raise ValueError(f"Invalid frontmatter key: {key!r}")
+            raise ValueError(f"{key!r} can't be a front matter key")
         if value is None and key in PROTECTED:
-            raise ValueError(f"Cannot remove required field: {key!r}")
+            raise ValueError(f"{key!r} has to stay")
         if key == "tags" and value is not None and not (isinstance(value, list) and any(value)):
-            raise ValueError("tags must be a non-empty array")
+            raise ValueError("tags: a list with at least one tag is needed")
 
 
 def updated(content: str, fields: dict) -> str:
     """The content with front matter fields set, or removed where the value is None; the body stays as it is."""
     end = content.find("\n---", 3) if content.startswith("---") else -1
     if end < 0:
-        raise ValueError("No frontmatter found in file")
+        raise ValueError("the note has no front matter")
     own = fm.load(content[4:end]) or {}
     type_ = fields.get("type") or own.get("type")
     for key, value in fields.items():
@@ -255,7 +255,7 @@ def write(notes: DataFrame, path: str, content: str) -> DataFrame:
     if missing:
         raise ValueError(f"{path}: missing or unsubstituted: {', '.join(missing)}")
     if not isinstance(own["tags"], list) or not any(own["tags"]):
-        raise ValueError(f"{path}: tags must be a non-empty array")
+        raise ValueError(f"{path}: tags: a list with at least one tag is needed")
     check_enum("status", own.get("status", "pending"), own["type"])
     check_enum("priority", own.get("priority", "normal"), own["type"])
     if not notes.where(F.col("path") == path).isEmpty():

@@ -17,14 +17,14 @@ def front(type_, tags, created="2026-01-01", **more):
 
 
 FILES = {
-    "notes/alpha.md": front("research", ["dev", "mcp"], "2026-01-15", status="active") + "\n[[beta]] and [[gamma|G]]\n",
-    "notes/beta.md": front("adr", ["decision"], "2026-02-01") + "\n[[alpha]]\n",
-    "notes/gamma.md": front("permanent", ["Knowledge"], "2025-12-01") + "\nno links, [[#Here]] ![[photo.png]] [[gone]] [[release v1.2]]\n",
-    "notes/index.md": front("fleeting", ["test"]) + "x\n",
-    "other/index.md": front("fleeting", ["test"]) + "[[index]] [[wrong/dir/ALPHA]]\n",
-    "tasks/a.md": front("task", ["task"], status="pending", priority="high", due="2026-03-01"),
-    "tasks/b.md": front("task", ["task"], status="done", priority="low", due="2026-02-15"),
-    "tasks/c.md": front("task", ["task"], status="pending", priority="urgent", due="null"),
+    "garden/soil.md": front("permanent", ["Ground", "care"], "2024-03-02") + "\nFed with [[compost]]; see [[beds/raised|the bed]] and [[raised#Filling]].\n",
+    "garden/compost.md": front("research", ["care", "heap"], "2024-03-05", status="active") + "\n[[SOIL]] likes it. [[weather]] [[no such note]] [[#Heat]] ![[heap.jpg]]\n",
+    "beds/raised.md": front("adr", ["wood"], "2024-01-20") + "\n## Filling\n\nBottom up, then [[away/soil]].\n",
+    "beds/weather.md": front("fleeting", ["sky"], "2024-02-01") + "\nA shelf with no links\n",
+    "log/weather.md": front("devlog", ["sky", "log"], "2024-02-02") + "\n[[compost]] steams in frost\n",
+    "todo/dig.md": front("task", ["work"], "2024-03-09", status="active", priority="urgent", due="2024-04-01"),
+    "todo/water.md": front("task", ["work"], "2024-03-10", status="pending", priority="low", due="~"),
+    "todo/rest.md": front("task", ["leisure"], "2024-03-11", status="done", priority="normal", due="2024-02-11"),
     "_index.md": "plain",
     "_sub/q.md": "---\ntags: scalar\n---\n",
     ".hidden.md": "hidden",
@@ -39,7 +39,7 @@ def notes(spark, tmp_path_factory):
     for path, content in FILES.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(content)
-    (root / "link.md").symlink_to(root / "notes/alpha.md")
+    (root / "link.md").symlink_to(root / "garden/soil.md")
     return read_vault(spark, str(root)).cache()
 
 
@@ -53,47 +53,49 @@ def test_scan(spark, notes):
 
 def test_listing(notes):
     got = {(r.entry, r.is_dir) for r in catalog.list_directory(notes).collect()}
-    assert got == {("_index.md", False), ("notes", True), ("other", True), ("tasks", True), ("_sub", True)}
-    assert {r.entry for r in catalog.list_directory(notes, "notes", pattern="*a.md").collect()} == {"notes/alpha.md", "notes/beta.md", "notes/gamma.md"}
-    assert {r.entry for r in catalog.list_directory(notes, "", True, "no*").collect()} >= {"tasks/a.md", "notes/beta.md"}
+    assert got == {("_index.md", False), ("_sub", True)} | {(d, True) for d in ("garden", "beds", "log", "todo")}
+    assert {r.entry for r in catalog.list_directory(notes, "garden", pattern="*so*.md").collect()} == {"garden/soil.md"}
+    assert {r.entry for r in catalog.list_directory(notes, "", True, "none*").collect()} >= {"todo/dig.md", "garden", "log/weather.md"}
 
 
 def test_queries(notes):
     q = lambda **k: paths(catalog.query(notes, **k))
-    assert q(type="task", sort_by="due") == ["tasks/b.md", "tasks/a.md", "tasks/c.md"]
-    assert q(type="task", sort_by="due", sort_order="desc") == ["tasks/c.md", "tasks/a.md", "tasks/b.md"]
-    assert q(type="task", sort_by="due", sort_order="desc", nulls_last=True)[-1] == "tasks/c.md"
-    assert q(type="task", sort_by="priority", sort_order="desc", limit=2) == ["tasks/c.md", "tasks/a.md"]
-    assert q(tags=["DEV", "mcp"]) == ["notes/alpha.md"] and set(q(tags_any=["mcp", "decision"])) == {"notes/alpha.md", "notes/beta.md"}
-    assert "_sub/q.md" in q(created_before="2026-01-01") and "_sub/q.md" not in q(created_after="2000")
-    assert q(custom_fields={"due": None}, type="task") == ["tasks/c.md"] and "_index.md" not in q(custom_fields={"due": ""})
-    assert q(custom_fields={"__proto__": "x"}, type="adr") == ["notes/beta.md"]
+    assert q(type="task", sort_by="due") == ["todo/rest.md", "todo/dig.md", "todo/water.md"]
+    assert q(type="task", sort_by="due", sort_order="desc") == ["todo/water.md", "todo/dig.md", "todo/rest.md"]
+    assert q(type="task", sort_by="due", sort_order="desc", nulls_last=True)[-1] == "todo/water.md"
+    assert q(type="task", sort_by="priority", limit=2) == ["todo/water.md", "todo/rest.md"]
+    assert q(tags=["GROUND", "care"]) == ["garden/soil.md"] and set(q(tags_any=["heap", "wood"])) == {"garden/compost.md", "beds/raised.md"}
+    assert set(q(created_before="2024-01-31")) == {"beds/raised.md", "_sub/q.md"} and "_sub/q.md" not in q(created_after="1999")
+    assert q(custom_fields={"due": None}, type="task") == ["todo/water.md"] and "_index.md" not in q(custom_fields={"due": ""})
+    assert q(custom_fields={"constructor": "x"}, type="adr") == ["beds/raised.md"]
 
 
 def test_search(notes):
-    rows = catalog.search(notes, "NO LINKS").collect()
-    assert [(r.path, r.line_no) for r in rows] == [("notes/gamma.md", 7)] and len(catalog.search(notes, "type: task", limit=2).collect()) == 2
+    rows = catalog.search(notes, "WITH NO").collect()
+    assert [(r.path, r.line_no, r.line) for r in rows] == [("beds/weather.md", 7, "A shelf with no links")] and len(catalog.search(notes, "priority:", limit=2).collect()) == 2
 
 
 def test_tags(notes):
     counts = {r.tag: r.n_notes for r in catalog.tag_counts(notes).collect()}
-    assert counts["task"] == 3 and counts["knowledge"] == 1 and "scalar" not in counts
-    assert catalog.tag_counts(notes).first().tag == "task"
+    assert counts == {"ground": 1, "care": 2, "heap": 1, "wood": 1, "sky": 2, "log": 1, "work": 2, "leisure": 1}
+    assert [r.tag for r in catalog.tag_counts(notes, pattern="*r*").collect()] == ["care", "work", "ground", "leisure"]
 
 
 def test_link_graph(spark, notes):
     resolved = links.edges(notes).cache()
-    to = {(r.src, r.raw): sorted(x.dst or "" for x in resolved.collect() if (x.src, x.raw) == (r.src, r.raw)) for r in resolved.collect()}
-    assert to["other/index.md", "index"] == ["notes/index.md", "other/index.md"] and to["other/index.md", "wrong/dir/ALPHA"] == ["notes/alpha.md"]
+    found = resolved.collect()
+    to = lambda raw: sorted({x.dst or "" for x in found if x.raw == raw})
+    assert to("weather") == ["beds/weather.md", "log/weather.md"] and to("away/soil") == to("SOIL") == ["garden/soil.md"] and to("raised#Filling") == ["beds/raised.md"]
     degree = {r.path: (r.outgoing, r.incoming) for r in links.degrees(notes).collect()}
-    assert degree["notes/alpha.md"] == (2, 2) and degree["notes/beta.md"] == (1, 1) and degree["other/index.md"] == (2, 0)
-    assert {r.raw for r in links.broken(resolved).collect()} == {"#Here", "gone"}
-    assert [(r.raw, r.n_candidates) for r in links.ambiguous(resolved).collect()] == [("index", 2)]
-    start = spark.createDataFrame([("notes/beta.md",)], "path string")
+    assert degree["garden/soil.md"] == (3, 2) and degree["garden/compost.md"] == (2, 2) and degree["beds/weather.md"] == (0, 1)
+    assert {r.raw for r in links.broken(resolved).collect()} == {"#Heat", "no such note"}
+    assert [(r.raw, r.n_candidates) for r in links.ambiguous(resolved).collect()] == [("weather", 2)]
+    assert paths(links.weak(links.degrees(notes))) == ["beds/weather.md"]
+    start = spark.createDataFrame([("beds/raised.md",)], "path string")
     around = {r.path: r.depth for r in graph.neighborhood(resolved, start, 2).collect()}
-    assert around == {"notes/beta.md": 0, "notes/alpha.md": 1, "notes/gamma.md": 2, "other/index.md": 2}
-    assert graph.neighborhood(resolved, start, 1, "incoming").count() == 2
-    assert "notes/index.md" not in paths(links.orphans(links.degrees(notes))) and "tasks/a.md" in paths(links.orphans(links.degrees(notes)))
+    assert around == {"beds/raised.md": 0, "garden/soil.md": 1, "garden/compost.md": 2}
+    assert {r.path for r in graph.neighborhood(resolved, start, 9, "outgoing").collect()} == {"beds/raised.md", "garden/soil.md", "garden/compost.md", "beds/weather.md", "log/weather.md"}
+    assert {"todo/dig.md", "todo/rest.md", "todo/water.md"} <= set(paths(links.orphans(links.degrees(notes))))
 
 
 def test_blend(spark):
@@ -130,35 +132,36 @@ def content(df, path):
 
 def test_mutations(spark, notes):
     n = notes.select("path", "content", "mtime_ms", "size")
-    assert content(mutate.append(n, "notes/index.md", "new"), "notes/index.md").endswith("x\n\nnew")
-    with pytest.raises(ValueError, match="Heading not found"):
-        mutate.append(n, "notes/index.md", "new", "## No", "end_of_section")
+    assert content(mutate.append(n, "beds/weather.md", "new"), "beds/weather.md").endswith("links\n\nnew")
+    assert content(mutate.append(n, "beds/raised.md", "first", "## Filling", "before_heading"), "beds/raised.md").count("first\n## Filling") == 1
+    with pytest.raises(ValueError, match="no heading"):
+        mutate.append(n, "beds/weather.md", "new", "## No", "end_of_section")
     with pytest.raises(ValueError, match="exactly one"):
-        mutate.edit(n, "notes/alpha.md", "[[", "x")
-    assert "$& [[gamma|G]]" in content(mutate.edit(n, "notes/alpha.md", "[[beta]] and", "$&"), "notes/alpha.md")
-    new = content(mutate.update_frontmatter(n, "tasks/a.md", {"status": "active", "due": None}), "tasks/a.md")
-    assert "status: active" in new and "due" not in new and new.index("type") < new.index("created")
-    for bad in ({"status": "nope"}, {"created": None}, {"__proto__": "x"}, {"1a": "x"}, {"tags": []}):
+        mutate.edit(n, "garden/soil.md", "[[", "x")
+    assert "Fed by $& [[compost]]" in content(mutate.edit(n, "garden/soil.md", "Fed with", "Fed by $&"), "garden/soil.md")
+    new = content(mutate.update_frontmatter(n, "todo/dig.md", {"status": "done", "due": None}), "todo/dig.md")
+    assert "status: done" in new and "due" not in new and new.index("type") < new.index("created")
+    for bad in ({"status": "nope"}, {"created": None}, {"prototype": "x"}, {"1a": "x"}, {"tags": []}):
         with pytest.raises(ValueError, match="."):
-            mutate.update_frontmatter(n, "tasks/a.md", bad)
-    moved = mutate.move(n, "notes/alpha.md", "archive/first.md")
-    assert content(moved, "notes/beta.md").endswith("[[first]]\n") and content(moved, "archive/first.md") == FILES["notes/alpha.md"]
-    left, gone, broke = mutate.trash(n, "notes/gamma.md")
-    assert left.count() == n.count() - 1 and paths(gone) == [".trash/notes/gamma.md"] and paths(broke) == ["notes/alpha.md"]
-    wanted = spark.createDataFrame([("notes/gamma.md", 0, "notes/alpha", "why"), ("notes/gamma.md", 1, "nope", ""), ("notes/gamma.md", 2, "other/index.md", None)], "path string, pos int, target string, annotation string")
-    assert content(mutate.add_links(n, wanted), "notes/gamma.md").endswith("\n\n## Related\n- [[alpha]] — why\n- [[other/index]]\n")
+            mutate.update_frontmatter(n, "todo/dig.md", bad)
+    moved = mutate.move(n, "garden/compost.md", "attic/humus.md")
+    assert "[[humus]]; see" in content(moved, "garden/soil.md") and content(moved, "attic/humus.md") == FILES["garden/compost.md"]
+    left, gone, broke = mutate.trash(n, "garden/compost.md")
+    assert left.count() == n.count() - 1 and paths(gone) == [".trash/garden/compost.md"] and sorted(paths(broke)) == ["garden/soil.md", "log/weather.md"]
+    wanted = spark.createDataFrame([("beds/weather.md", 0, "garden/soil", "why"), ("beds/weather.md", 1, "nope", ""), ("beds/weather.md", 2, "log/weather.md", None)], "path string, pos int, target string, annotation string")
+    assert content(mutate.add_links(n, wanted), "beds/weather.md").endswith("\n\n## Related\n- [[soil]] — why\n- [[log/weather]]\n")
     template = "---\ntype: task\ncreated: <% tp.date.now(\"YYYY-MM-DD\") %>\ntags: []\n---\n# <% tp.file.title %>\n<% who %>"
     text = mutate.rendered(template, "T", {"who": "me $1"}, {"tags": ["a"], "status": "pending"})
     assert "- a" in text and text.endswith("# T\nme $1") and mutate.write(n, "new.md", text).count() == n.count() + 1
     with pytest.raises(FileExistsError):
-        mutate.write(n, "tasks/a.md", text)
+        mutate.write(n, "todo/dig.md", text)
     with pytest.raises(ValueError, match="unsubstituted"):
         mutate.write(n, "other.md", template)
 
 
 def test_validation(notes):
     got = {r.path: r.errors for r in catalog.validation(notes).collect()}
-    assert got["tasks/a.md"] == [] and got["_index.md"] == ["No frontmatter found"] and "Missing required field: tags" in got["_sub/q.md"]
+    assert got["todo/dig.md"] == [] and got["_index.md"] == ["no front matter"] and "tags are missing" in got["_sub/q.md"]
 
 
 def test_project_context(spark):
@@ -196,17 +199,17 @@ def test_tools(spark, notes):
     embed = vector.hash_embedder(32)
     made = note_chunks(notes).withColumn("id", F.xxhash64("path", "chunk_index")).withColumnsRenamed({"path": "file_path", "preview": "content_preview"})
     v = Vault(notes.select("path", "content", "mtime_ms", "size"), vector.embedded(made, "text", embed).cache(), embedder=embed)
-    assert v.resolve_path("alpha") == "notes/alpha.md" and v.resolve_path("notes/beta") == "notes/beta.md" and v.resolve_folder("OTHER") == "other"
+    assert v.resolve_path("Compost") == "garden/compost.md" and v.resolve_path("beds/raised") == "beds/raised.md" and v.resolve_folder("GARD") == "garden"
     with pytest.raises(ValueError, match="ambiguous"):
-        v.resolve_path("index")
+        v.resolve_path("weather")
     with pytest.raises(FileNotFoundError):
         v.resolve_path("absent")
-    assert v.read("beta", tail=1).first().text.endswith("---\n") and v.peek("beta").first().total_chunks == 1
-    assert {r.path: r.depth for r in v.neighborhood("beta", 1).collect()} == {"notes/beta.md": 0, "notes/alpha.md": 1}
-    assert v.semantic_search("links photo gone", 2).count() <= 2 and "combined" in v.semantic_search("links", 3, anchor="alpha").columns
-    assert "notes/beta.md" not in paths(v.suggest_links(path="alpha", limit=10)) and "missing_link" in v.suggest_links(path="alpha", graph_context=True).columns
-    assert set(v.link_health()) == set(links.CHECKS) and v.tags(pattern="t*").count() == 2
-    assert content(v.add_links("notes/index.md", [{"target": "notes/beta"}]), "notes/index.md").endswith("- [[beta]]\n")
+    assert v.read("raised", tail=1).first().text.endswith("---\n") and v.peek("raised").first().total_chunks == 1
+    assert {r.path: r.depth for r in v.neighborhood("raised", 1).collect()} == {"beds/raised.md": 0, "garden/soil.md": 1}
+    assert v.semantic_search("a shelf with no links", 2).first().path == "beds/weather.md" and "combined" in v.semantic_search("frost", 3, anchor="soil").columns
+    assert "garden/compost.md" not in paths(v.suggest_links(path="soil", limit=10)) and "missing_link" in v.suggest_links(path="soil", graph_context=True).columns
+    assert set(v.link_health()) == set(links.CHECKS) and v.tags(pattern="l*").count() == 2
+    assert content(v.add_links("beds/weather.md", [{"target": "beds/raised"}]), "beds/weather.md").endswith("- [[raised]]\n")
 
 
 def test_resolving_past_many_candidates(spark):
