@@ -101,9 +101,16 @@ class Vault:
     def links(self, path: str, direction: str = "both") -> DataFrame:
         return link_ops.note_links(self.notes, self.resolve_path(path), direction)
 
-    def neighborhood(self, path: str, depth: object = 2, direction: str = "both") -> DataFrame:
+    def neighborhood(self, path: str, depth: object = 2, direction: str = "both", include_semantic: bool = False, semantic_limit: int = 5) -> DataFrame:
+        """path, depth, ambiguous, meta; with include_semantic also score, of near notes outside (their depth is null)."""
         nodes = self._around(path, depth, direction)
-        return catalog.with_meta(nodes.join(self.notes.select("path", "content"), "path")).drop("content")
+        found = catalog.with_meta(nodes.join(self.notes.select("path", "content"), "path")).drop("content")
+        if not include_semantic:
+            return found
+        return found.unionByName(self.semantic_neighbors(path, nodes, semantic_limit).drop("preview"), allowMissingColumns=True)
+
+    def templates(self) -> DataFrame:
+        return catalog.templates(self.notes)
 
     def semantic_neighbors(self, path: str, nodes: DataFrame, semantic_limit: int = 5) -> DataFrame:
         """Notes near in meaning and outside a neighbourhood, with their metadata."""

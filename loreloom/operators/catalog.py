@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import with_meta
-from ..functions.text import glob, inline_tags, lines, tag_matches
+from ..functions.text import basename, body, front_yaml, glob, inline_tags, lines, tag_matches
 
 DANGEROUS = frozenset({"__proto__", "constructor", "prototype"})
 PRIORITY = {"low": 0, "normal": 1, "high": 2, "urgent": 3}
@@ -106,12 +106,24 @@ def sort_keys(field: str, descending: bool = False, nulls_last: bool | None = No
     return [*keys, text.desc() if descending else text.asc(), F.col("path").asc()]
 
 
+def _likely(notes: DataFrame, filters: dict) -> DataFrame:
+    """Without notes whose front matter can't have a wanted type or status, so that YAML is parsed of fewer.
+
+    A value without white space stands in the front matter as it is, unless by an escape.
+    """
+    front = front_yaml(F.col("content"))
+    for value in (filters.get("type"), filters.get("status")):
+        if value and not any(c.isspace() for c in value):
+            notes = notes.where(front.contains(value) | front.contains("\\"))
+    return notes
+
+
 def query(notes: DataFrame, folder: str | None = None, limit: object = 50, sort_by: str | None = None, sort_order: str = "asc", nulls_last: bool | None = None, **filters) -> DataFrame:
     """path and meta of the notes that match; the limit comes after the sort, or in path order without one.
 
     limit=None returns all of them, without an exchange unless sorted.
     """
-    found = with_meta(inside(notes, folder)).where(matches(**filters)).select("path", "meta")
+    found = with_meta(_likely(inside(notes, folder), filters)).where(matches(**filters)).select("path", "meta")
     if limit is None and not sort_by:
         return found
     keys = sort_keys(sort_by, sort_order == "desc", nulls_last) if sort_by else [F.col("path").asc()]
@@ -138,6 +150,40 @@ def notes_with_tags(notes: DataFrame, folder: str | None = None, include_inline:
     return note_tags(inside(notes, folder), include_inline).agg(F.count_distinct("path").alias("n_notes"))
 
 
+def folder_size(notes: DataFrame, folder: str | None = None) -> DataFrame:
+    """One row: notes and their bytes in a folder."""
+    return inside(notes, folder).agg(F.count("*").alias("n_notes"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+TEMPLATES, SHOWN = "05-Templates/", 80
+
+
+def templates(notes: DataFrame) -> DataFrame:
+    """name, path, description, meta of the notes right below 05-Templates.
+
+    The description is that of the front matter, else the first heading or other line
+    behind it that isn't a comment, else what the type says.
+    """
+    rest = F.substr(F.col("path"), F.lit(len(TEMPLATES) + 1))
+    own = with_meta(notes.where(F.col("path").startswith(TEMPLATES) & ~rest.contains("/")))
+    text = F.filter(F.transform(lines(body(F.substr(F.col("content"), F.lit(1)))), F.trim), lambda x: (x != "") & (x != "---") & ~x.startswith("<!--"))
+    first = F.try_element_at(text, F.lit(1))
+    heading = F.regexp_replace(F.regexp_replace(first, r"^#+\s*", ""), "<%[^%]+%>", "{title}")
+    line = F.substring(F.when(first.startswith("#"), heading).otherwise(first), 1, SHOWN)
+    usual = F.concat(F.lit("Template for "), F.coalesce(F.col("meta")["type"], F.lit("notes")))
+    given = F.try_element_at(F.col("meta")["fields"], F.lit("description"))
+    return own.select(basename(F.col("path")).alias("name"), "path", F.coalesce(F.nullif(given, F.lit("")), line, usual).alias("description"), "meta")
+
+
+def light_fields(content: Column) -> Column:
+    """Front matter as a map of its ``key: value`` lines, with no YAML: enough for flat fields, and native."""
+    flat = F.filter(lines(front_yaml(content)), lambda x: x.rlike(r"^\w+:\s*\S"))
+    pair = F.transform(flat, lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1), F.trim(F.regexp_extract(x, r"^\w+:\s*(.+)$", 1))))
+    keys = F.transform(pair, lambda p: p["col1"])
+    last = F.filter(pair, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), p["col1"]) == 0)  # of a repeated key
+    return F.map_from_entries(last)
+
+
 def validation(notes: DataFrame) -> DataFrame:
     """path, valid and the errors of each note: required fields, task enumerations, template variables left."""
     meta = F.col("meta")

@@ -42,6 +42,16 @@ def kept_after_clear(log: DataFrame, tool: str | None = None, session: str | Non
     return log.where(~conditions(tool, session, None, before, before_inclusive=False))
 
 
+def record(spark: SparkSession, folder: str, tool: str, args: dict, session: str | None = None) -> None:
+    """Append one entry to the log in a folder of shared storage."""
+    entry(spark, tool, args, session).coalesce(1).write.mode("append").parquet(folder)
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The log in a folder."""
+    return spark.read.schema(SCHEMA).parquet(folder)
+
+
 def entry(spark: SparkSession, tool: str, args: dict, session: str | None = None) -> DataFrame:
     """One log entry, to be appended with ``df.write.mode("append")``."""
     now = datetime.now(UTC)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, link_target, wikilinks
+from ..sources.shared import cut
 from .catalog import inside
 
 
@@ -60,9 +61,9 @@ def note_links(notes: DataFrame, path: str, direction: str = "both") -> DataFram
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def degrees(notes: DataFrame, folder: str | None = None) -> DataFrame:
-    """path, outgoing (link occurrences that lead somewhere), incoming (distinct other notes)."""
-    resolved = edges(notes)
+def degrees(notes: DataFrame, folder: str | None = None, resolved: DataFrame | None = None) -> DataFrame:
+    """path, outgoing (link occurrences that lead somewhere), incoming (distinct other notes); resolved: all edges, if known."""
+    resolved = edges(notes) if resolved is None else resolved
     out = resolved.where(F.col("dst").isNotNull()).select("src", "pos").distinct().groupBy("src").agg(F.count("*").alias("outgoing")).withColumnRenamed("src", "path")
     back = incoming(resolved).groupBy("dst").agg(F.count("*").alias("incoming")).withColumnRenamed("dst", "path")
     all_ = inside(notes, folder).select("path").join(out, "path", "left").join(back, "path", "left")
@@ -98,7 +99,8 @@ CHECKS = ("orphans", "broken", "weak", "ambiguous")
 def health(notes: DataFrame, folder: str | None = None, checks: tuple[str, ...] = CHECKS, limit: int = 20) -> dict[str, DataFrame]:
     """The chosen checks of the notes in a folder, each with at most ``limit`` rows; links from anywhere count."""
     scope = inside(notes, folder)
-    degree, resolved = degrees(notes, folder), edges(notes, scope)
+    every = cut(edges(notes))  # resolved once for all checks
+    degree, resolved = degrees(notes, folder, every), every.join(scope.select(F.col("path").alias("src")), "src", "left_semi")
     made = {
         "orphans": lambda: orphans(degree).orderBy("path"),
         "broken": lambda: broken(resolved).orderBy("src", "pos"),

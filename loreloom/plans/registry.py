@@ -537,9 +537,47 @@ def open_tasks(spark, d):
     return reports.open_tasks(_notes(spark, d)).select("path", "title", "status", "priority")
 
 
-@query(f", log AS (SELECT event_type AS tool_name, count(*) AS calls, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_call FROM events GROUP BY 1), t AS (SELECT path, status, coalesce(priority, 'normal') AS priority, CASE WHEN status = 'active' THEN 'click' ELSE 'view' END AS tool_name FROM vault WHERE type = 'task' AND status IN ('active', 'pending')) SELECT path, status, priority, {_RANK} AS rank, calls, last_call FROM t LEFT JOIN log ON log.tool_name = t.tool_name")
+_TOOLS = ("vault_update_frontmatter", "vault_edit", "vault_append", "vault_read")
+_TOUCHED = ", log AS (SELECT v.path, e.ts, ['vault_update_frontmatter', 'vault_edit', 'vault_append', 'vault_read'][1 + CAST(event_id % 4 AS INTEGER)] AS tool FROM events e JOIN vault v ON v.doc_id = e.event_id % (SELECT count(*) FROM documents))"
+_CHANGES = ", c AS (SELECT path, count(*) AS changes, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_change FROM log WHERE tool <> 'vault_read' AND strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') >= '2024-01-05' GROUP BY path)"
+
+
+def _touched(spark, d):
+    """The activity table as calls of tools on the vault's notes."""
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
+    paths = _notes(spark, d).select("path", F.regexp_extract("content", r"\n# Doc (\d+)\n", 1).cast("long").alias("doc"))
+    log = derived.activity(spark, d).withColumn("doc", F.col("id") % n).join(paths, "doc")
+    tool = F.element_at(F.array(*(F.lit(t) for t in _TOOLS)), (1 + F.col("id") % 4).cast("int"))
+    return log.select("id", "timestamp", "session_id", tool.alias("tool_name"), F.to_json(F.struct("path")).alias("args_json"))
+
+
+@query(_TOUCHED + _CHANGES + f" SELECT v.path, 'Doc ' || doc_id AS title, status, coalesce(priority, 'normal') AS priority, coalesce({_RANK}, 1) AS rank, coalesce(changes, 0) AS changes, last_change, CASE WHEN changes > 0 THEN 'recently updated' END AS hint FROM vault v LEFT JOIN c ON c.path = v.path WHERE type = 'task' AND status IN ('active', 'pending')")
 def triage_hints(spark, d):
-    return reports.triage(_notes(spark, d), derived.activity(spark, d))
+    return reports.triage(_notes(spark, d), _touched(spark, d), "2024-01-05")
+
+
+@query(" SELECT 'doc-' || doc_id AS name, '05-Templates/doc-' || doc_id || '.md' AS path, 'Doc ' || doc_id AS description, type FROM vault WHERE type = 'adr'")
+def template_scan(spark, d):
+    adr = F.col("content").contains("\ntype: adr\n")
+    name = F.concat(F.lit("05-Templates/doc-"), F.regexp_extract("content", r"\n# Doc (\d+)\n", 1), F.lit(".md"))
+    made = _notes(spark, d).withColumn("path", F.when(adr, name).otherwise(F.col("path")))
+    return catalog.templates(made).select("name", "path", "description", "meta.type")
+
+
+@query(" SELECT path, type, status, priority, created, due FROM vault")
+def light_frontmatter(spark, d):
+    m = catalog.light_fields(F.col("content"))
+    return _notes(spark, d).select("path", *(F.try_element_at(m, F.lit(k)).alias(k) for k in ("type", "status", "priority", "created", "due")))
+
+
+@query(" SELECT count(*) AS n_notes, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM vault WHERE starts_with(path, '03-Resources/')")
+def folder_size(spark, d):
+    return catalog.folder_size(_notes(spark, d), "03-Resources")
+
+
+@query(" SELECT path, 'Doc ' || doc_id AS title, doc_id = 30 AS likely FROM vault WHERE contains(lower(content), 'doc 30') ORDER BY path LIMIT 10")
+def duplicate_check_by_text(spark, d):
+    return reports.duplicates_by_text(_notes(spark, d), "DOC 30")
 
 
 def _project_notes(spark, d):

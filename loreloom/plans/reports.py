@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import with_meta
 from ..functions.text import basename, body, lines, trimmed
 from ..operators import links
-from ..operators.catalog import PRIORITY
+from ..operators.catalog import PRIORITY, inside
 from ..operators.reading import tail_sections
+from ..sources.shared import cut
 
 OPEN = ("active", "pending")
 PROJECTS = "01-Projects/"
 
 
-def resolve_project(notes: DataFrame, name: str) -> DataFrame:
-    """project: the folders below 01-Projects with this name, in any case."""
+#: Tools that change a note.
+WRITERS = ("vault_update_frontmatter", "vault_edit", "vault_append")
+
+
+def annotated_project(text: str) -> str | None:
+    """The vault folder that a line ``# PKM: folder`` of a project's notes names."""
+    found = re.search(r"^#\s+PKM:[^\S\n]*(\S.*)$", text, re.M)
+    if found is None:
+        return None
+    folder = found[1].strip().strip("/")
+    if ".." in folder.split("/"):
+        raise ValueError(f"outside the vault: {folder}")
+    return folder
+
+
+def resolve_project(notes: DataFrame, name: str, annotations: str = "") -> DataFrame:
+    """project: the folders below 01-Projects with this name, in any case; without any, the annotated folder if it has notes."""
+    own = _named_project(notes, name)
+    folder = annotated_project(annotations)
+    if folder is None or not own.isEmpty():
+        return own
+    return notes.where(F.col("path").startswith(folder + "/")).select(F.lit(folder).alias("project")).distinct()
+
+
+def _named_project(notes: DataFrame, name: str) -> DataFrame:
     folder = F.split("path", "/")[1]
     inside = notes.where(F.col("path").startswith(PROJECTS) & (F.size(F.split("path", "/")) > 2))
     return inside.where(F.lower(folder) == name.lower()).select(F.concat(F.lit(PROJECTS), folder).alias("project")).distinct()
@@ -57,12 +83,17 @@ def session_summary(context: DataFrame, files: DataFrame, notes: DataFrame) -> D
     return one.crossJoin(F.broadcast(files.agg(F.count("*").alias("indexed")))).crossJoin(F.broadcast(notes.agg(F.count("*").alias("notes"))))  # single rows
 
 
-def triage(notes: DataFrame, log: DataFrame) -> DataFrame:
-    """Open tasks, active before pending, urgent first, with how often the log's tool calls name each priority."""
+def triage(notes: DataFrame, log: DataFrame, since: str = "") -> DataFrame:
+    """Open tasks, active before pending, urgent first, with the changes that the log has of their paths since then.
+
+    path, title, status, priority, rank, changes, last_change, hint (recently updated, or null).
+    """
     rank = F.coalesce(*(F.when(F.col("priority") == k, v) for k, v in PRIORITY.items()))
-    calls = log.groupBy("tool_name").agg(F.count("*").alias("calls"), F.max("timestamp").alias("last_call"))
-    rows = open_tasks(notes).withColumn("rank", rank).withColumn("tool_name", F.when(F.col("status") == "active", "click").otherwise("view"))
-    return rows.join(calls, "tool_name", "left").select("path", "status", "priority", "rank", "calls", "last_call").orderBy((F.col("status") == "pending").asc(), F.desc("rank"), "path")
+    own = log.where(F.col("tool_name").isin(*WRITERS) & (F.col("timestamp") >= since)).select(F.get_json_object("args_json", "$.path").alias("path"), "timestamp")
+    changes = own.where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("changes"), F.max("timestamp").alias("last_change"))
+    rows = open_tasks(notes).withColumn("rank", rank).join(changes, "path", "left")
+    hint = F.when(F.col("changes") > 0, "recently updated").alias("hint")
+    return rows.select("path", "title", "status", "priority", "rank", F.coalesce("changes", F.lit(0)).alias("changes"), "last_change", hint).orderBy((F.col("status") == "pending").asc(), F.desc("rank"), "path")
 
 
 def gap_analysis(hits: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -77,9 +108,17 @@ def duplicates(hits: DataFrame, flag: float = 0.8) -> DataFrame:
     return hits.withColumn("likely", F.col("score") > flag)
 
 
+def duplicates_by_text(notes: DataFrame, text: str, folder: str | None = None, limit: int = 10) -> DataFrame:
+    """Where there is no index: the first notes that contain a title, and whether it is theirs (likely)."""
+    found = inside(notes, folder).where(F.lower("content").contains(text.lower())).orderBy("path").limit(limit)
+    own = title(F.col("content"), F.col("path"))
+    return found.select("path", own.alias("title"), (F.lower(own) == text.lower()).alias("likely"))
+
+
 def link_audit(notes: DataFrame, folder: str | None = None) -> DataFrame:
     """check and its number of findings."""
-    degree, resolved = links.degrees(notes, folder), links.edges(notes)
+    resolved = cut(links.edges(notes))  # read, extracted and resolved once
+    degree = links.degrees(notes, folder, resolved)
     found = {"orphans": links.orphans(degree), "weak": links.weak(degree), "broken": links.broken(resolved), "ambiguous": links.ambiguous(resolved)}
     rows = [df.agg(F.count("*").alias("findings")).select(F.lit(c).alias("check"), "findings") for c, df in found.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])

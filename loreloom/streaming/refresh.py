@@ -1,13 +1,15 @@
 """Keeping an index of chunks up to date with the notes: snapshot differences and a stream of changes.
 
 State tables: files (path, mtime_ms, content_hash, chunk_count, updated_at) and chunks
-(file_path, chunk_index, heading, text, preview). Every refresh writes whole new versions
+(id, file_path, chunk_index, heading, text, content_preview, embedding), which semantic search
+reads as they are. Every refresh writes whole new versions
 beside the old ones and then names the new version, so a reader or a lost executor never
 meets a half-written index, and repeating a batch changes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import note_chunks
+from ..operators.vector import Embedder, embedded, hash_embedder
 from ..sources.vault import SCHEMA as NOTES
 
 FILES = "path string, mtime_ms long, content_hash string, chunk_count long, updated_at string"
-CHUNKS = "file_path string, chunk_index int, heading string, text string, preview string"
+CHUNKS = "id long, file_path string, chunk_index int, heading string, text string, content_preview string, embedding array<float>"
 
 
 def difference(notes: DataFrame, files: DataFrame) -> DataFrame:
@@ -38,12 +41,13 @@ def to_index(notes: DataFrame, files: DataFrame, by_time: bool = True) -> DataFr
     return joined.where(F.col("old_hash").isNull() | (F.col("old_hash") != F.col("content_hash"))).drop("then", "old_hash")
 
 
-def upserted(fresh: DataFrame, removed: DataFrame, files: DataFrame, chunks: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+def upserted(fresh: DataFrame, removed: DataFrame, files: DataFrame, chunks: DataFrame, now: str, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """New versions of both tables: fresh notes (with content_hash) replace their rows, removed paths lose theirs.
 
-    A note without chunks (an empty one) is removed.
+    A note without chunks (an empty one) is removed. Only fresh notes are embedded.
     """
-    made = note_chunks(fresh).withColumnRenamed("path", "file_path")
+    made = note_chunks(fresh).withColumnsRenamed({"path": "file_path", "preview": "content_preview"}).withColumn("id", F.xxhash64("file_path", "chunk_index"))
+    made = embedded(made, "text", embedder or hash_embedder())
     counts = made.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
     rows = fresh.join(counts, "path").select("path", "mtime_ms", "content_hash", "chunk_count", F.lit(now).alias("updated_at"))
     gone = fresh.select("path").unionByName(removed.select("path")).distinct()
@@ -59,8 +63,8 @@ def stats(notes: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
 class Index:
     """An index in a folder of shared storage; ``version`` names the pair of tables that holds."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None):
+        self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder
 
     def _versions(self) -> DataFrame:
         return self.spark.read.schema("version long, done timestamp").json(f"{self.folder}/versions")
@@ -84,7 +88,7 @@ class Index:
     def apply(self, fresh: DataFrame, removed: DataFrame) -> int:
         """Write the next version and then its number."""
         v = self.version() + 1
-        files, chunks = upserted(fresh, removed, self.files(), self.chunks(), datetime.now(UTC).isoformat())
+        files, chunks = upserted(fresh, removed, self.files(), self.chunks(), datetime.now(UTC).isoformat(), self.embedder)
         files.write.mode("overwrite").parquet(f"{self.folder}/files-{v}")
         chunks.write.mode("overwrite").parquet(f"{self.folder}/chunks-{v}")
         self.spark.range(1).select(F.lit(v).cast("long").alias("version"), F.current_timestamp().alias("done")).coalesce(1).write.mode("append").json(f"{self.folder}/versions")
@@ -95,14 +99,21 @@ class Index:
         deleted = difference(notes, self.files()).where("change = 'deleted'").select("path")
         return self.apply(to_index(notes, self.files()), deleted)
 
-    def follow(self, changes: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Index a stream of notes; the trigger's interval is the debounce, and the latest row of a path counts."""
+    def follow(self, changes: DataFrame, checkpoint: str, present: Callable[[], DataFrame] | None = None, **trigger) -> StreamingQuery:
+        """Index a stream of notes; the trigger's interval is the debounce, and the latest row of a path counts.
+
+        A stream doesn't tell of deleted files: with ``present``, which lists the paths there
+        are now, each batch also drops those that are gone.
+        """
 
         def batch(rows: DataFrame, _: int) -> None:
             latest = rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime_ms")))).where("n = 1").drop("n")
             fresh = to_index(latest, self.files(), by_time=False)
-            if not fresh.isEmpty():
-                self.apply(fresh, self.spark.createDataFrame([], "path string"))
+            gone = self.spark.createDataFrame([], "path string")
+            if present is not None:
+                gone = self.files().select("path").join(present().select("path"), "path", "left_anti")
+            if not (fresh.isEmpty() and gone.isEmpty()):
+                self.apply(fresh, gone)
 
         return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

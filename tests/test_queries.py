@@ -11,7 +11,7 @@ from loreloom.plans import registry
 
 from .conftest import DATA
 
-SOME = ["query_sort_priority_desc", "query_created_before", "tags_pattern", "peek_metrics", "link_resolution", "degree", "neighborhood_out", "anchor_blend", "activity_filtered", "index_diff", "move_rewrite", "add_links_decisions", "update_frontmatter"]
+SOME = ["triage_hints", "template_scan", "light_frontmatter", "folder_size", "duplicate_check_by_text", "link_audit", "query_sort_priority_desc", "query_created_before", "tags_pattern", "peek_metrics", "link_resolution", "degree", "neighborhood_out", "anchor_blend", "activity_filtered", "index_diff", "move_rewrite", "add_links_decisions", "update_frontmatter"]
 
 
 @pytest.fixture(scope="module")

@@ -252,3 +252,65 @@ def test_vault_stream_follows_files_whatever_their_time(spark, tmp_path):
     put("b.md", "longer", 2_000_000)
     assert indexed() == ({"a.md": "older", "b.md": "longer", "old.md": "restored"}, 2)
     assert indexed()[1] == 2
+
+
+def test_index_feeds_search_and_follows_deletes(spark, tmp_path):
+    from loreloom.api import Vault
+
+    schema = "path string, content string, mtime_ms long, size long"
+    embed = vector.hash_embedder(64)
+    index = refresh.Index(spark, f"file://{tmp_path}/ix", embed)
+    notes = spark.createDataFrame([("a.md", "red fish swim", 1, 1), ("b.md", "blue birds sing", 1, 1), ("c.md", "old stones", 1, 1)], schema)
+    index.sync(notes)
+    assert sorted(index.chunks().columns) == sorted(["id", "file_path", "chunk_index", "heading", "text", "content_preview", "embedding"])
+    v = Vault(notes, index.chunks(), embedder=embed)
+    hits = v.semantic_search("# a red fish swim", 3).collect()
+    chunks = index.chunks().collect()
+    own = embed(["# a red fish swim"])[0]
+    best = sorted(chunks, key=lambda c: sum((x - y) ** 2 for x, y in zip(c.embedding, own, strict=True)))
+    assert [h.path for h in hits] == [c.file_path for c in best] and hits[0].path == "a.md" and hits[0].preview == "red fish swim"
+    near = {r.path: (r.depth, r.score is not None) for r in v.neighborhood("a", include_semantic=True).collect()}
+    assert near == {"a.md": (0, False), "b.md": (None, True), "c.md": (None, True)}
+    left = notes.where("path <> 'c.md'")
+    spark.createDataFrame([("b.md", "blue birds rest", 2, 1)], schema).write.parquet(f"{tmp_path}/changes")
+    assert index.follow(refresh.change_stream(spark, f"{tmp_path}/changes"), f"{tmp_path}/dcp", lambda: left).awaitTermination(60)
+    assert {r.file_path: r.text.split()[-1] for r in index.chunks().collect()} == {"a.md": "swim", "b.md": "rest"}
+
+
+def test_activity_is_stored(spark, tmp_path):
+    folder = f"file://{tmp_path}/log"
+    for tool in ("vault_read", "vault_edit"):
+        events.record(spark, folder, tool, {"path": "todo/dig.md"}, "s1")
+    assert sorted(r.tool_name for r in events.query(events.stored(spark, folder), path="DIG").collect()) == ["vault_edit", "vault_read"]
+
+
+def test_triage_counts_changes_of_the_task(spark, notes):
+    log = spark.createDataFrame([(i, f"2024-05-0{i}T", "s", t, a) for i, (t, a) in enumerate([("vault_edit", '{"path": "todo/dig.md"}'), ("vault_read", '{"path": "todo/water.md"}'), ("vault_append", '{"path": "todo/dig.md"}'), ("vault_edit", None)], 1)], events.SCHEMA)
+    rows = reports.triage(notes, log, "2024-05-02").collect()
+    assert [(r.path, r.changes, r.hint) for r in rows] == [("todo/dig.md", 1, "recently updated"), ("todo/water.md", 0, None)]
+
+
+def test_annotated_projects(spark):
+    n = spark.createDataFrame([("01-Projects/App/x.md", ""), ("areas/Home Lab/y.md", "")], "path string, content string")
+    names = lambda *a: [r.project for r in reports.resolve_project(n, *a).collect()]
+    assert names("app", "# PKM: areas/Home Lab\n") == ["01-Projects/App"] and names("lab", "text\n# PKM: areas/Home Lab \n") == ["areas/Home Lab"]
+    assert names("lab") == names("lab", "# PKM: none/such") == []
+    with pytest.raises(ValueError, match="outside"):
+        names("lab", "# PKM: ../etc")
+
+
+def test_templates_and_light_fields(spark):
+    rows = [("05-Templates/t.md", "---\ntype: task\n---\n<!-- c -->\n## For <% tp.file.title %>\nx"), ("05-Templates/d.md", "---\ntype: adr\ndescription: Own words\n---\n# H"), ("05-Templates/e.md", "---\ntype: log\n---\n"), ("05-Templates/sub/n.md", "no")]
+    n = spark.createDataFrame(rows, "path string, content string")
+    assert {r.name: r.description for r in catalog.templates(n).collect()} == {"t": "For {title}", "d": "Own words", "e": "Template for log"}
+    light = {r[0]: r[1] for r in n.select("path", catalog.light_fields(F.col("content"))).collect()}
+    assert light["05-Templates/d.md"] == {"type": "adr", "description": "Own words"} and light["05-Templates/sub/n.md"] is None
+    twice = spark.createDataFrame([("---\na: 1\nb: x y \na: 2\n  c: 3\n---",)], "content string")
+    assert twice.select(catalog.light_fields(F.col("content"))).first()[0] == {"a": "2", "b": "x y"}
+
+
+def test_tag_patterns():
+    from loreloom.functions.text import tag_pattern
+
+    cases = {"P/*": ("below", "p"), "*x*": ("part", "x"), "X*": ("start", "x"), "*x": ("end", "x"), "x": ("whole", "x"), "*": ("part", ""), "**": ("start", "*"), "*a*b*": ("part", "a*b")}
+    assert {p: tag_pattern(p) for p in cases} == cases
