@@ -12,23 +12,24 @@ MAX_DEPTH = 5
 
 
 def adjacency(resolved: DataFrame, direction: str = "both") -> DataFrame:
-    """a, b, ambiguous: steps along (outgoing), against (incoming) or either way of the links."""
+    """a, b, ambiguous: steps along (outgoing), against (incoming) or either way of the links, one for each link."""
     links = resolved.where(F.col("dst").isNotNull())
     out = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "ambiguous")
     back = links.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("ambiguous"))
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError(f"direction: {direction}")
     steps = {"outgoing": out, "incoming": back}.get(direction)
-    return (out.unionByName(back) if steps is None else steps).groupBy("a", "b").agg(F.min("ambiguous").alias("ambiguous"))
+    return out.unionByName(back) if steps is None else steps
 
 
 def neighborhood(resolved: DataFrame, starts: DataFrame, depth: object = 2, direction: str = "both") -> DataFrame:
     """path, depth, ambiguous: each note within reach of ``starts`` (path), by its least depth.
 
-    Each level joins the frontier with the adjacency, once written to shared storage, and
-    drops what was seen before; levels are written too, so that plans don't nest.
+    The links are written to shared storage once. Each level joins its frontier with them
+    before anything is aggregated (a small one is broadcast by its written size) and drops
+    what was seen before; levels are written too, so that plans don't nest.
     """
-    steps = cut(adjacency(resolved, direction))
+    steps = adjacency(cut(resolved.where(F.col("dst").isNotNull()).select("src", "dst", "ambiguous")), direction)
     seen = starts.select("path", F.lit(0).alias("depth"), F.lit(False).alias("ambiguous")).distinct()
     frontier = seen
     for level in range(1, min(positive(depth, 2), MAX_DEPTH) + 1):

@@ -190,6 +190,15 @@ def tags_pattern(spark, d):
     return catalog.tag_counts(_notes(spark, d), pattern="SRC/*")
 
 
+_FORMS = ("*RC3*", "f*", "*5", "EN")
+
+
+@query(" , t AS (SELECT unnest([tag1, tag2]) AS tag FROM vault), m AS (SELECT unnest(['*RC3*', 'f*', '*5', 'EN']) AS pattern, unnest([contains(tag, 'rc3'), starts_with(tag, 'f'), suffix(tag, '5'), tag = 'en']) AS hit, tag FROM t) SELECT pattern, tag, count(*) AS n_notes FROM m WHERE hit GROUP BY pattern, tag")
+def tags_pattern_forms(spark, d):
+    forms = F.array_compact(F.array(*(F.when(tx.tag_matches(F.col("tag"), p), F.lit(p)) for p in _FORMS)))
+    return catalog.note_tags(_notes(spark, d)).select("tag", F.explode(forms).alias("pattern")).groupBy("pattern", "tag").agg(F.count("*").alias("n_notes"))
+
+
 @query(" SELECT tag, count(*) AS n_notes FROM (SELECT unnest([tag1, tag2, inline_tag]) AS tag FROM vault) WHERE tag IS NOT NULL GROUP BY tag")
 def inline_tags(spark, d):
     return catalog.tag_counts(_notes(spark, d), include_inline=True)
@@ -313,6 +322,14 @@ def health_folder_orphans(spark, d):
     return links.health(_notes(spark, d), "01-Projects", ("orphans",))["orphans"]
 
 
+@query(LINKS + DEGREES + ", inner_links AS (SELECT * FROM resolved WHERE starts_with(src, '01-Projects/')), w AS (SELECT * FROM degree WHERE outgoing + incoming = 1 AND starts_with(path, '01-Projects/') ORDER BY path LIMIT 20), b AS (SELECT src, raw FROM inner_links WHERE dst IS NULL AND NOT contains(raw, '.') ORDER BY src, pos LIMIT 20), a AS (SELECT raw, min(src) AS src, max(n_candidates) AS n FROM inner_links WHERE n_candidates > 1 GROUP BY raw ORDER BY src, raw LIMIT 20) SELECT 'weak' AS \"check\", path, outgoing || ' ' || incoming AS detail FROM w UNION ALL SELECT 'broken', src, raw FROM b UNION ALL SELECT 'ambiguous', src, raw || ' ' || n FROM a")
+def health_folder_checks(spark, d):
+    h = links.health(_notes(spark, d), "01-Projects", ("broken", "weak", "ambiguous"))
+    shown = {"weak": ("path", F.concat_ws(" ", "outgoing", "incoming")), "broken": ("src", F.col("raw")), "ambiguous": ("src", F.concat_ws(" ", "raw", "n_candidates"))}
+    parts = [h[c].select(F.lit(c).alias("check"), F.col(at).alias("path"), detail.alias("detail")) for c, (at, detail) in shown.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(LINKS + DEGREES + " SELECT 'orphans' AS \"check\", count(*) AS findings FROM degree WHERE outgoing + incoming = 0 UNION ALL SELECT 'weak', count(*) FROM degree WHERE outgoing + incoming = 1 UNION ALL SELECT 'broken', count(*) FROM resolved WHERE dst IS NULL AND NOT contains(raw, '.') UNION ALL SELECT 'ambiguous', count(DISTINCT raw) FROM resolved WHERE n_candidates > 1")
 def link_audit(spark, d):
     return reports.link_audit(_notes(spark, d))
@@ -467,10 +484,27 @@ def note_chunks(spark, d):
     return chunking.note_chunks(_notes(spark, d))
 
 
-@query(_SPLIT + ", b AS (SELECT path, trim(body, chr(10)) AS body FROM body) SELECT path, 0 AS chunk_index, sha256(encode('# ' || regexp_extract(path, '([^/]+)\\.md$', 1) || chr(10) || chr(10) || body)) AS digest FROM b WHERE length(body) <= 8000")
+#: White space of both engines' regular expressions.
+_SPACE = r"[\p{Z}\x09-\x0D\x1C-\x1F\x{85}]"
+
+
+@query(_SPLIT + f", b AS (SELECT path, trim(body, chr(10)) AS body FROM body) SELECT path, CASE WHEN length(body) <= 8000 THEN sha256(encode('# ' || regexp_extract(path, '([^/]+)\\.md$', 1) || chr(10) || chr(10) || body)) END AS only_chunk, sha256(encode(regexp_replace(body, '{_SPACE}', '', 'g'))) AS letters FROM b")
 def short_note_chunks(spark, d):
-    short = _notes(spark, d).where(F.length(tx.trimmed(tx.body(F.col("content")))) <= chunking.LIMIT)
-    return chunking.note_chunks(short).select("path", "chunk_index", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    """Every note's chunk where it has one alone, and what its chunks hold besides white space."""
+    name = F.concat(F.lit("# "), tx.basename(F.col("path")), F.lit("\n\n"))
+    own = F.transform("c", lambda x: F.substr(x["text"], F.length(name) + 1))
+    letters = F.regexp_replace(F.array_join(own, ""), _SPACE, "")
+    chunks = _notes(spark, d).select("path", chunking.chunks_of(F.col("content"), F.col("path")).alias("c"))
+    only = F.when(F.size("c") == 1, F.sha2(F.col("c")[0]["text"].cast("binary"), 256))
+    return chunks.select("path", only.alias("only_chunk"), F.sha2(letters.cast("binary"), 256).alias("letters"))
+
+
+@query()
+def index_search(spark, d):
+    """From notes through the index's tables to the notes nearest to a text."""
+    files, none = spark.createDataFrame([], refresh.FILES), spark.createDataFrame([], "path string")
+    _, chunks = refresh.upserted(refresh.to_index(_notes(spark, d), files), none, files, spark.createDataFrame([], refresh.CHUNKS), "2025-01-01")
+    return vector.search_raw(chunks, [float(x) for x in vector.hash_embedder()(["## Links ### Topics"])[0]], 10).select("path", "score")
 
 
 def _hashed(notes: DataFrame) -> DataFrame:
@@ -487,6 +521,16 @@ def append_end_of_section(spark, d):
     return _hashed(_notes(spark, d).withColumn("content", mutate.appended(F.col("content"), "more", "## Text", "end_of_section")))
 
 
+@query(f" SELECT path, {_HASH.format('''replace(content, '### Topics' || chr(10), 'early' || chr(10) || '### Topics' || chr(10))''')} AS digest FROM vault")
+def append_before_heading(spark, d):
+    return _hashed(_notes(spark, d).withColumn("content", mutate.appended(F.col("content"), "early", "### Topics", "before_heading")))
+
+
+@query(f" SELECT path, {_HASH.format('content || chr(10) || chr(35) || 1')} AS digest FROM vault")
+def append_plain(spark, d):
+    return _hashed(_notes(spark, d).withColumn("content", mutate.appended(F.col("content"), "#1", "## No such heading")))
+
+
 @query(f" SELECT path, {_HASH.format('''replace(content, '### Topics', '### Themes $1')''')} AS digest FROM vault")
 def edit_once(spark, d):
     return _hashed(_notes(spark, d).withColumn("content", mutate.edited(F.col("content"), "### Topics", "### Themes $1")))
@@ -581,21 +625,43 @@ def duplicate_check_by_text(spark, d):
 
 
 def _project_notes(spark, d):
-    """The notes of one source laid out as a project."""
-    n = with_meta(_notes(spark, d)).where(F.col("path").startswith("01-Projects/src3/"))
+    """The notes of two sources (one has the logs, the other the tasks) laid out as a project."""
+    n = with_meta(_notes(spark, d)).where(F.col("path").rlike("^01-Projects/src[35]/"))
     name = tx.basename(F.col("path"))
     doc = F.regexp_extract(name, r"(\d+)", 1).cast("long")
     first = n.agg(F.min(doc)).first()[0]
-    place = F.when(doc == first, "_index.md").when(F.col("meta.type") == "task", F.concat(F.lit("tasks/"), name, F.lit(".md"))).otherwise(F.concat(F.lit("notes/"), name, F.lit(".md")))
+    log = n.where((F.col("meta.type") == "devlog") & (doc != first)).agg(F.min(doc)).first()[0]
+    place = F.when(doc == first, "_index.md").when(doc == log, "development/devlog.md").when(F.col("meta.type") == "task", F.concat(F.lit("tasks/"), name, F.lit(".md"))).otherwise(F.concat(F.lit("notes/"), name, F.lit(".md")))
     return n.withColumn("path", F.concat(F.lit("01-Projects/src3/"), place)).select("path", "content", "mtime_ms", "size")
 
 
-@query(" , p AS (SELECT *, min(doc_id) OVER () AS first FROM vault WHERE starts_with(path, '01-Projects/src3/')) SELECT 'index' AS part, '01-Projects/src3/_index.md' AS path, length(content) AS n FROM p WHERE doc_id = first UNION ALL SELECT 'task', '01-Projects/src3/tasks/doc-' || doc_id || '.md', NULL FROM p WHERE doc_id <> first AND type = 'task' AND status IN ('active', 'pending')")
+@query(" , p AS (SELECT *, min(doc_id) OVER () AS first FROM vault WHERE regexp_matches(path, '^01-Projects/src[35]/')) SELECT 'index' AS part, '01-Projects/src3/_index.md' AS path, length(content) AS n FROM p WHERE doc_id = first UNION ALL SELECT 'devlog', '01-Projects/src3/development/devlog.md', NULL FROM p WHERE doc_id = (SELECT min(doc_id) FROM p WHERE type = 'devlog' AND doc_id <> first) UNION ALL SELECT 'task', '01-Projects/src3/tasks/doc-' || doc_id || '.md', NULL FROM p WHERE doc_id <> first AND type = 'task' AND status IN ('active', 'pending')")
 def project_context(spark, d):
     c = reports.project_context(_project_notes(spark, d), "01-Projects/src3")
     return c.select("part", "path", F.when(F.col("part") == "index", F.length("text")).cast("long").alias("n"))
 
 
+_BRIEF = _SPLIT + r""" , p AS (SELECT b.*, v.type, v.status, v.priority, min(b.doc_id) OVER () AS first FROM body b JOIN vault v ON v.path = b.path WHERE regexp_matches(b.path, '^01-Projects/src[35]/'))
+, l AS (SELECT *, list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(x, '#')) AS told FROM p WHERE doc_id <> first AND type = 'task' AND status IN ('active', 'pending'))
+, c AS (SELECT 'index' AS part, content AS words FROM p WHERE doc_id = first UNION ALL SELECT 'devlog', front || chr(10) || substr(body, strpos(body, '## Text' || chr(10))) FROM p WHERE doc_id = (SELECT min(doc_id) FROM p WHERE type = 'devlog' AND doc_id <> first)
+  UNION ALL SELECT 'task', '- Doc ' || doc_id || ' (status: ' || status || ', priority: ' || coalesce(priority, 'normal') || ')' || chr(10) || array_to_string(list_transform(told[1:2], lambda x: trim(x)), chr(10)) FROM l)
+"""
+
+
+def _brief(spark, d):
+    return reports.project_context(_project_notes(spark, d), "01-Projects/src3")
+
+
+@query(_BRIEF + " SELECT part, sha256(encode(words)) AS digest FROM c")
+def project_context_texts(spark, d):
+    return _brief(spark, d).select("part", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query(_BRIEF + _FILES + " SELECT bool_or(part = 'index') AS has_index, bool_or(part = 'devlog') AS has_devlog, count(*) FILTER (part = 'task') AS tasks, CAST(sum(length(words)) AS BIGINT) AS n_chars, (SELECT count(*) FROM files) AS indexed, (SELECT count(*) FROM vault) AS notes FROM c")
+def session_summary(spark, d):
+    return reports.session_summary(_brief(spark, d), _files(spark, d), _notes(spark, d))
+
+
 @query(" SELECT DISTINCT '01-Projects/' || split_part(path, '/', 2) AS project FROM vault WHERE lower(split_part(path, '/', 2)) = 'src3' AND starts_with(path, '01-Projects/')")
 def resolve_project(spark, d):
     return reports.resolve_project(_notes(spark, d), "SRC3")
