@@ -17,8 +17,9 @@ twice the linking distance of the pivot could still reach them, so these, and al
 no pivot covers, become pivots too. No pair is emitted but links that join two groups.
 
 End nodes that are still too large are dealt into chunks. One pass compares every member
-with one pivot; a second one streams what that pivot doesn't cover past every chunk. So
-no task holds more than a chunk, and no link is lost.
+with one pivot; a second one streams what that pivot doesn't cover past every chunk, dealt
+into lanes of about as many guests as a chunk has members. So no task holds more than a
+chunk or reads more than one lane of guests, and no link is lost.
 
 Defined results: words are what white space parts, A-Z lower-cased; a document with fewer
 words than a shingle has its whole sequence as one; null, empty and blank texts have no
@@ -209,8 +210,8 @@ def _end_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
 def _chunk_links(rows: DataFrame, k: int, percent: int, every: bool = False) -> DataFrame:
     """Links (a, b) of guests with members: every one, or as many as join a chunk's groups.
 
-    rows: path, chunk, guest (0: member, 1: guest), rep, text. A task holds a chunk's
-    members; the guests stream past them in blocks.
+    rows: path, chunk, lane, guest (0: member, 1: guest), rep, text. A task holds a chunk's
+    members; the guests of one lane stream past them in blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def _chunk_links(rows: DataFrame, k: int, percent: int, every: bool = False) ->
             """Links that join two groups; the members' groups so far are kept."""
             nonlocal guests, size, group
             if held and guests:
-                doc, h = shingle_sets([r[4] for r in [*held, *guests]], k)
+                doc, h = shingle_sets([r[5] for r in [*held, *guests]], k)
                 out, m = [], len(held)
                 sets = _Sets(doc, h, 0, m + len(guests))
                 group = group if len(group) else np.arange(m)
@@ -228,7 +229,7 @@ def _chunk_links(rows: DataFrame, k: int, percent: int, every: bool = False) ->
                     both, either = sets.shared(p)
                     near = np.flatnonzero(100 * both[:m] >= percent * either[:m])
                     met, one = np.unique(group[near], return_index=True)
-                    out += [(guests[p - m][3], held[q][3]) for q in (near if every else near[one]).tolist()]
+                    out += [(guests[p - m][4], held[q][4]) for q in (near if every else near[one]).tolist()]
                     if len(met) > 1:
                         group[np.isin(group, met)] = met[0]
                 if out:
@@ -237,39 +238,46 @@ def _chunk_links(rows: DataFrame, k: int, percent: int, every: bool = False) ->
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != key:
+                if row[:3] != key:
                     yield from flush()
-                    key, held, group = row[:2], [], group[:0]
-                if row[2] == 0:
+                    key, held, group = row[:3], [], group[:0]
+                if row[3] == 0:
                     held.append(row)
                 else:
                     guests.append(row)
-                    size += len(row[4] or "")
+                    size += len(row[5] or "")
                     if size > 2 << 20 or len(guests) >= 200:
                         yield from flush()
         yield from flush()
 
     n = 4 * tasks(rows.sparkSession)
-    return rows.select("path", "chunk", "guest", "rep", "text").repartition(n, "path", "chunk").sortWithinPartitions("path", "chunk", "guest", "rep").mapInArrow(run, EDGES)
+    order = ("path", "chunk", "lane")
+    return rows.select(*order, "guest", "rep", "text").repartition(n, *order).sortWithinPartitions(*order, "guest", "rep").mapInArrow(run, EDGES)
 
 
 def _big_links(rows: DataFrame, big: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links inside end nodes that no task could hold: see the module's text."""
     parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("shingles") / (WORK / MEMBERS))).cast("int")
     members, _ = staged(rows.join(big.select("path", parts.alias("parts")), "path").select("path", "parts", "rep"), "big-nodes")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    dealt = members.join(docs, "rep").select("path", chunk.cast("int").alias("chunk"), F.lit(0).alias("guest"), "rep", "text")
+    chunk, lane = (F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int") for salt, n in (("chunk", "parts"), ("lane", "lanes")))
 
-    def guests(of: DataFrame) -> DataFrame:
-        everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk")
-        return of.join(docs, "rep").select("path", everywhere, F.lit(1).alias("guest"), "rep", "text")
+    def all_of(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def met(own: DataFrame, guests: DataFrame) -> DataFrame:
+        """Members in their chunk, once a lane; guests in their lane, once a chunk."""
+        held = own.join(docs, "rep").select("path", chunk.alias("chunk"), all_of("lanes").alias("lane"), F.lit(0).alias("guest"), "rep", "text")
+        come = guests.join(docs, "rep").select("path", all_of("parts").alias("chunk"), lane.alias("lane"), F.lit(1).alias("guest"), "rep", "text")
+        return held.unionByName(come)
 
     pivots = members.groupBy("path", "parts").agg(F.min("rep").alias("rep"))
-    first, _ = staged(_chunk_links(dealt.unionByName(guests(pivots)), k, percent, every=True), "pivot-links")
+    one = F.lit(1).alias("lanes")
+    first, _ = staged(_chunk_links(met(members.select("*", one), pivots.select("*", one)), k, percent, every=True), "pivot-links")
     covered = first.select(F.col("a").alias("pivot"), F.col("b").alias("rep")).distinct()
     tied = members.join(pivots.select("path", F.col("rep").alias("pivot")), "path")
-    rest = tied.where("rep <> pivot").join(covered, ["pivot", "rep"], "left_anti").select("path", "parts", "rep")
-    return first.unionByName(_chunk_links(dealt.unionByName(guests(rest)), k, percent))
+    rest, _ = staged(tied.where("rep <> pivot").join(covered, ["pivot", "rep"], "left_anti").select("path", "parts", "rep"), "guests")
+    lanes, _ = staged(rest.groupBy("path").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("lanes")), "lanes")
+    return first.unionByName(_chunk_links(met(members.join(lanes, "path"), rest.join(lanes, "path")), k, percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
