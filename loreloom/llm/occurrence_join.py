@@ -4,12 +4,14 @@ Two sets of Jaccard similarity s or more share at least T = s * n members of the
 n. Documents with the same words in the same order are one class, whose smallest doc_id
 stands for it. Which classes must meet follows from one order of all n-grams: frequent ones
 last (a bounded summary of counts, merged over tasks, gives their class), then by hash. A
-larger set's first n - ceil(s * n) + 1 n-grams hold one of the first n - ceil(2s / (1 + s) * n) + 1
+larger set's first n - ceil(s * n) + m n-grams hold m of the first n - ceil(2s / (1 + s) * n) + m
 of any smaller set it links with, so only these prefixes are exchanged, as numbers.
 
-An n-gram that one class's prefix alone has is dropped. A class's home is the first one
-that is left. Where the prefixes with an n-gram lead to a few homes, their classes visit
-these homes; where they lead to more than ``HOMES``, the n-gram gets a node of its own. Texts
+An n-gram that no other class of a size to link with has in its prefix is dropped, and then
+every class that is left with fewer than m (``LEAD`` percent of its n-grams): what only
+shares a passage goes here. A class's home is the first n-gram that is left. Where the
+prefixes with an n-gram lead to a few homes, their classes visit these homes, if m of
+their n-grams lead there; where they lead to more than ``HOMES``, the n-gram gets a node of its own. Texts
 are joined to nodes of two classes or more, and a node is searched by its inverted lists:
 of a query's lists the longest ones are set aside as DivideSkip does, the short ones are
 merged by a heap that skips what can't reach T, and what remains is probed in the long
@@ -48,6 +50,8 @@ from .staging import chunks, staged, tasks
 PERCENT = 85
 #: Counters of a task's summary, n-grams in the merged one, and the count from which an n-gram is called frequent.
 COUNTERS, FREQUENT, OFTEN = 1 << 14, 1 << 16, 32
+#: Percent of a set by which its prefix is longer than one common n-gram would need, and how often what shares too few is left out.
+LEAD, TURNS = 4, 2
 #: Homes up to which the classes with an n-gram visit each of them.
 HOMES = 8
 #: DivideSkip's factor: how much dearer a probe's halving is than a merged element.
@@ -90,7 +94,8 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def lengths(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """How many first n-grams of a set of n are looked up, and how many of these are found by larger sets."""
-    return n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+    more = n * LEAD // 100 + 1
+    return n + (-percent * n // 100) + more, n + (-2 * percent * n // (100 + percent)) + more
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -218,20 +223,44 @@ def _node_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     return rows.repartition(4 * tasks(docs.sparkSession), "path").sortWithinPartitions("path", "rep").mapInArrow(run, "a long, b long")
 
 
-def _meetings(rows: DataFrame) -> DataFrame:
-    """path (node), rep and n: which classes must meet, from their prefixes (rep, n, prefix, found)."""
+def _together(grams: DataFrame, percent: int) -> DataFrame:
+    """Of rows (rep, n, gram, rank, found) those whose n-gram another class of a size to link with has, by ``at``: n-gram and band of sizes.
+
+    Linked sizes differ by less than the factor of a band, so what larger sets find lies in
+    its own band and the next one; what they look up lies in their own.
+    """
+    band = F.floor(F.log("n") / math.log(100 / (percent - 1)))
+    bands = F.when(F.col("found"), F.array(band, band + 1)).otherwise(F.array(band))
+    rows = grams.withColumn("at", F.explode(F.transform(bands, lambda b: F.xxhash64("gram", b))))
+    met = rows.groupBy("at").agg(F.count("*").alias("c"), F.max("found").alias("f")).where("c > 1 AND f").select("at")
+    return rows.join(met, "at")
+
+
+def _meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """path (node), rep and n: which classes must meet, from their prefixes (rep, n, prefix, found).
+
+    A class that shares fewer n-grams with all others together than it must share with one
+    links with none, and neither do those that it would have to visit for fewer.
+    """
+    least = F.floor(F.col("n") * (percent * LEAD) / 10_000) + 1
     grams = rows.select("rep", "n", "found", F.posexplode("prefix").alias("rank", "gram"))
     grams = grams.select("rep", "n", "gram", "rank", (F.col("rank") < F.col("found")).alias("found"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("c"), F.max("found").alias("f")).where("c > 1 AND f").select("gram")
     grams, _ = staged(grams.join(shared, "gram"), "shared-grams", compression="zstd")
-    home, _ = staged(grams.groupBy("rep").agg(F.min_by("gram", "rank").alias("home"), F.max("n").alias("n")), "homes")
-    placed = grams.join(home.select("rep", "home"), "rep").select("rep", "n", "gram", "found", "home")
-    led = placed.where("found").select("gram", "home").distinct()
-    counts, _ = staged(placed.groupBy("gram").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("gram").join(led, "gram"), "led")
-    many = counts.groupBy("gram").agg(F.count("*").alias("homes"))
-    few = counts.join(many.where(F.col("homes") <= HOMES), "gram").select("gram", F.col("home").alias("to"))
-    visits = placed.join(few, "gram").where("to <> home").select(F.xxhash64(F.lit("home"), "to").alias("path"), "rep", "n").distinct()
-    apart = placed.join(many.where(F.col("homes") > HOMES), "gram").select(F.xxhash64(F.lit("gram"), "gram").alias("path"), "rep", "n")
+    for turn in range(TURNS):
+        rows, _ = staged(_together(grams, percent), f"together-{turn}", compression="zstd")
+        enough, _ = staged(rows.groupBy("rep", "n").agg(F.count_distinct("gram").alias("c")).where(F.col("c") >= least).select("rep").distinct(), f"enough-{turn}")
+        grams = grams.join(enough, "rep")
+    rows = rows.join(enough, "rep")
+    home, _ = staged(rows.groupBy("rep").agg(F.min_by("gram", "rank").alias("home"), F.max("n").alias("n")), "homes")
+    placed = rows.join(home.select("rep", "home"), "rep").select("rep", "n", "at", "found", "home")
+    led = placed.where("found").select("at", "home").distinct()
+    counts, _ = staged(placed.groupBy("at").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("at").join(led, "at"), "led")
+    many = counts.groupBy("at").agg(F.count("*").alias("homes"))
+    few = counts.join(many.where(F.col("homes") <= HOMES), "at").select("at", F.col("home").alias("to"))
+    visits = placed.join(few, "at").where("to <> home").groupBy("to", "rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    visits = visits.select(F.xxhash64(F.lit("home"), "to").alias("path"), "rep", "n")
+    apart = placed.join(many.where(F.col("homes") > HOMES), "at").select(F.xxhash64(F.lit("gram"), "at").alias("path"), "rep", "n")
     return home.select(F.xxhash64(F.lit("home"), "home").alias("path"), "rep", "n").unionByName(visits).unionByName(apart)
 
 
@@ -243,7 +272,7 @@ def similar(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:
     classes = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("copies"))
     classes, _ = staged(classes, "classes")
     rows = sketch.select("place", F.col("n_shingles").alias("n"), "prefix", "found").join(classes.select("place", "rep"), "place")
-    rows, _ = staged(_meetings(rows), "meetings")
+    rows, _ = staged(_meetings(rows, percent), "meetings")
     ends, big = _nodes(rows)
     big, _ = staged(big, "large")
     found = _node_links(rows.join(ends, "path").select("path", "rep"), texts, k, percent)

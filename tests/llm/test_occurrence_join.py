@@ -104,16 +104,17 @@ def test_odd_rows(spark, odd):
     assert found(odd.limit(0)) == []
 
 
-def test_prefixes_of_linked_sets_meet(spark):
-    """Any order: a linked pair's prefixes share an n-gram that the smaller set's found part has."""
+def test_prefixes_of_linked_sets_meet():
+    """Any order: a linked pair's prefixes share as many n-grams as each must have, and the smaller set's found part has them."""
     rng = random.Random(2)
-    for _ in range(400):
-        n = rng.randint(1, 60)
+    for _ in range(2000):
+        n = rng.randint(1, 200)
         a = set(rng.sample(range(1000), n))
-        b = set(rng.sample(sorted(a), rng.randint(max(1, n - 6), n))) | {2000 + i for i in range(rng.randint(0, 6))}
+        b = set(rng.sample(sorted(a), rng.randint(max(1, n - n // 8), n))) | {2000 + i for i in range(rng.randint(0, n // 8))}
         if 100 * len(a & b) < 85 * len(a | b):
             continue
         small, large = sorted((a, b), key=len)
         order = {x: rng.random() for x in a | b}
         (_, f), (s, _) = (tuple(int(x[0]) for x in oj.lengths(np.array([len(x)]), 85)) for x in (small, large))
-        assert set(sorted(small, key=order.get)[:f]) & set(sorted(large, key=order.get)[:s])
+        common = set(sorted(small, key=order.get)[:f]) & set(sorted(large, key=order.get)[:s])
+        assert all(len(common) >= len(x) * 85 * oj.LEAD // 10_000 + 1 for x in (small, large))
