@@ -10,16 +10,17 @@ of any smaller set it links with, so only these prefixes are exchanged, as numbe
 An n-gram that no other class of a size to link with has in its prefix is dropped, and then
 every class that is left with fewer than m (``LEAD`` percent of its n-grams): what only
 shares a passage goes here. A class's home is the first n-gram that is left. Where the
-prefixes with an n-gram lead to a few homes, their classes visit these homes, if m of
-their n-grams lead there; where they lead to more than ``HOMES``, the n-gram gets a node of its own. Texts
+prefixes with an n-gram lead to a few homes, their classes visit these homes as guests, if m
+of their n-grams lead there; where they lead to more than ``HOMES``, the n-gram gets a node of its own. Texts
 are joined to nodes of two classes or more, and a node is searched by its inverted lists:
 of a query's lists the longest ones are set aside as DivideSkip does, the short ones are
 merged by a heap that skips what can't reach T, and what remains is probed in the long
-ones by binary search. (Where the short lists together are long, one sort of them takes the
-heap's place: it merges the same runs.) A query that links to all others in its reach
-covers them, so a group of near copies takes few searches; see ``near_dups``, whose
-covering rule and whose way to split nodes of any size this shares. Before that, nodes
-that are too large are parted by set size, each class meeting the sizes it can link with.
+ones by binary search. (Where the short lists together have over ``HEAP`` members, one sort
+of them takes the heap's place: it merges the same runs.) What links to a query is covered
+by it, so a group of near copies takes few searches. Guests are queries only where they wait
+for a turn, as their own homes compare them with each other. Nodes that are too large are
+split: guests over lanes, or all by set size, and what is too large then is compared by
+``near_dups``'s chunks and lanes.
 
 Everything is exact: no link is lost, no n-gram or candidate dropped for being frequent.
 
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .near_dups import _big_links, _bounds, _groups, _links, _nodes, shingle_sets
+from .near_dups import MEMBERS, WORK, _big_links, _bounds, _groups, _Union, shingle_sets
 from .staging import chunks, staged, tasks
 
 PERCENT = 85
@@ -53,11 +54,15 @@ COUNTERS, FREQUENT, OFTEN = 1 << 14, 1 << 16, 32
 #: Percent of a set by which its prefix is longer than one common n-gram would need, and how often what shares too few is left out.
 LEAD, TURNS = 4, 2
 #: Homes up to which the classes with an n-gram visit each of them.
-HOMES = 8
+HOMES = 32
 #: DivideSkip's factor: how much dearer a probe's halving is than a merged element.
 MU = 0.1
 #: Elements up to which lists are merged by the heap.
-HEAP = 4_096
+HEAP = 512
+#: Long lists that are probed at once.
+PROBED = 64
+#: Bits of the filter that texts pass before they are joined.
+FILTER = 1 << 25
 SALTS = 16
 
 
@@ -157,70 +162,122 @@ def merge_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
 class Lists:
     """Inverted lists of the sets of one node, searched by DivideSkip."""
 
-    def __init__(self, doc: np.ndarray, h: np.ndarray, first: int, last: int, percent: int):
+    def __init__(self, doc: np.ndarray, h: np.ndarray, first: int, last: int):
         a, b = np.searchsorted(doc, [first, last])
-        self.percent, self.starts = percent, np.searchsorted(doc[a:b], np.arange(first, last + 1))
+        self.starts = np.searchsorted(doc[a:b], np.arange(first, last + 1))
         self.size = np.diff(self.starts)
         _, self.local, self.length = np.unique(h[a:b], return_inverse=True, return_counts=True)
         self.begin = np.cumsum(self.length) - self.length
-        self.member = (doc[a:b] - first)[np.argsort(self.local, kind="stable")]
-
-    def list(self, token: int) -> np.ndarray:
-        return self.member[self.begin[token] : self.begin[token] + self.length[token]]
+        order = np.argsort(self.local, kind="stable")
+        self.member = (doc[a:b] - first)[order]
+        #: Numbers of n-gram and member as one, ascending: what a probe searches.
+        self.key = self.local[order] * len(self.size) + self.member
+
+    def _merged(self, lists: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of t of the lists or more, ascending, and of how many."""
+        length = self.length[lists]
+        if (total := int(length.sum())) <= HEAP:
+            met = merge_skip([self.member[a : a + n].tolist() for a, n in zip(self.begin[lists].tolist(), length.tolist(), strict=True)], t)
+            return np.array([x[0] for x in met], np.int64), np.array([x[1] for x in met], np.int64)
+        at = np.arange(total) + np.repeat(self.begin[lists] - (np.cumsum(length) - length), length)
+        found, shared = np.unique(self.member[at], return_counts=True)
+        return found[shared >= t], shared[shared >= t]
 
-    def search(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, p: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Sets that share T members with set p, itself among them, and how many they share."""
         n = int(self.size[p])
         own = self.local[self.starts[p] : self.starts[p + 1]]
-        alone = int((self.length[own] == 1).sum())
-        own, t = own[self.length[own] > 1], -(-self.percent * n // 100)
+        own, t = own[self.length[own] > 1], -(-percent * n // 100)
         if len(own) < t:
             return np.array([p]), np.array([n])
         own = own[np.argsort(self.length[own], kind="stable")]
         long = min(t - 1, int(t / (MU * math.log2(self.length[own[-1]]) + 1)))
-        short, rest = own[: len(own) - long], own[len(own) - long :]
-        if self.length[short].sum() <= HEAP:
-            met = merge_skip([self.list(x).tolist() for x in short.tolist()], t - long)
-            found, shared = np.array([x[0] for x in met], np.int64), np.array([x[1] for x in met], np.int64)
-        else:
-            found, shared = np.unique(np.concatenate([self.list(x) for x in short.tolist()]), return_counts=True)
-            found, shared = found[shared >= t - long], shared[shared >= t - long]
-        for i, x in enumerate(rest.tolist()):
-            keep = shared + len(rest) - i >= t
-            if not keep.all():
-                found, shared = found[keep], shared[keep]
-            if not len(found):
-                break
-            members = self.list(x)
-            at = np.minimum(np.searchsorted(members, found), len(members) - 1)
-            shared = shared + (members[at] == found)
-        shared = np.where(found == p, n, shared) if alone else shared
+        found, shared = self._merged(own[: len(own) - long], t - long)
+        for begin in range(len(own) - long, len(own), PROBED):
+            keep = shared + len(own) - begin >= t
+            found, shared = found[keep], shared[keep]
+            probe = (own[begin : begin + PROBED, None] * len(self.size) + found).ravel()
+            at = np.minimum(np.searchsorted(self.key, probe), len(self.key) - 1)
+            shared = shared + (self.key[at] == probe).reshape(-1, len(found)).sum(0)
+        shared = np.where(found == p, n, shared)
         return found[shared >= t], shared[shared >= t]
 
-    def shared(self, p: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of intersections (0 where they are less than T) and unions of all sets with set p."""
-        both = np.zeros(len(self.size), np.int64)
-        found, shared = self.search(p)
-        both[found] = shared
-        return both, self.size + self.size[p] - both
 
+def _joined(lists: Lists, members: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that together join what links of the first ``members`` sets with all sets connect.
 
-def _node_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) inside the nodes of members (path, rep); texts meet there, ordered by node."""
+    A set that links to p is covered: what links with it lies within twice the linking
+    distance of p, so p covers that as well, or has it wait for a turn. A turn is skipped
+    where all that lies so near to common pivots is joined already.
+    """
+    n = len(lists.size)
+    union, near = _Union(n), _Union(n)
+    covered, waiting, done = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+
+    def turn(p: int, reach: int) -> Iterator[tuple[int, int]]:
+        found, both = lists.search(p, reach)
+        either = lists.size[found] + lists.size[p] - both
+        linked = 100 * both >= percent * either
+        done[p] = True
+        if reach < percent:
+            covered[found[linked]] = True
+            met = found[~linked & (100 * both >= reach * either)]
+            waiting[met] = True
+            for q in found[linked].tolist() + met.tolist():
+                near.join(p, q)
+        yield from ((p, q) for q in found[linked].tolist() if union.join(p, q))
+
+    for p in range(members):
+        if not covered[p] or waiting[p]:
+            yield from turn(p, 2 * percent - 100)
+    groups: dict[int, list[int]] = {}
+    for p in np.flatnonzero(covered | waiting | done).tolist():
+        groups.setdefault(near.find(p), []).append(p)
+    for own in groups.values():
+        for p in own:
+            if waiting[p] and not done[p] and len({union.find(q) for q in own}) > 1:
+                yield from turn(p, percent)
+
+
+def _node_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) inside the nodes of rows (path, guest, rep) but those of two guests; texts meet there, ordered by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            doc, h = shingle_sets([r[2] for r in rows], k)
-            reps, out = [r[1] for r in rows], []
+            doc, h = shingle_sets([r[3] for r in rows], k)
+            reps, out = [r[2] for r in rows], []
             for first, last in _bounds([r[0] for r in rows]):
-                # The covering rule looks as far as twice the linking distance.
-                lists = Lists(doc, h, first, last, 2 * percent - 100)
-                out += [(reps[first + p], reps[first + q]) for p, q in _links(lists, percent)]
+                members = sum(not r[1] for r in rows[first:last])
+                out += [(reps[first + p], reps[first + q]) for p, q in _joined(Lists(doc, h, first, last), members, percent)]
             if out:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    rows = members.join(docs, "rep").select("path", "rep", "text")
-    return rows.repartition(4 * tasks(docs.sparkSession), "path").sortWithinPartitions("path", "rep").mapInArrow(run, "a long, b long")
+    order = ("path", "guest", "rep")
+    rows = rows.join(docs, "rep").select(*order, "text")
+    return rows.repartition(4 * tasks(docs.sparkSession), "path").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+
+
+def _of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The documents (rep, text) but most of those that ``reps`` lacks, so that joining texts moves fewer of them.
+
+    A filter of ``FILTER`` bits, whatever the tables hold: it lets all wanted ones through.
+    """
+    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER))
+    parts = reps.select((place + 1).alias("at")).select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
+    parts, _ = staged(parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter")
+    bit = place.bitwiseAND((1 << 15) - 1)
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+    known = docs.withColumn("bucket", F.bitmap_bucket_number(place + 1)).join(F.broadcast(parts), "bucket")
+    return known.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(7).cast("int"))) > 0).select("rep", "text")
+
+
+def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """path of the nodes that a task can hold among rows (path, guest, rep, n), of equal ones the first; and the larger ones with their sizes."""
+    who = F.sum(F.xxhash64("rep", "guest").cast("decimal(38,0)")).alias("who")
+    node = rows.groupBy("path").agg(F.count("*").alias("all"), F.sum(F.col("guest").cast("long")).alias("guests"), F.sum("n").alias("grams"), who, F.min("rep").alias("low")).where("all > 1 AND all > guests")
+    large = (F.col("all") > MEMBERS) | (F.col("all") * F.col("grams") > WORK)
+    ends = node.where(~large).groupBy("all", "who", "low").agg(F.min("path").alias("path")).select("path")
+    return ends, node.where(large).select("path", "all", "guests", "grams")
 
 
 def _together(grams: DataFrame, percent: int) -> DataFrame:
@@ -237,16 +294,20 @@ def _together(grams: DataFrame, percent: int) -> DataFrame:
 
 
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """path (node), rep and n: which classes must meet, from their prefixes (rep, n, prefix, found).
+    """path (node), guest, rep and n: which classes must meet, from their prefixes (rep, n, prefix, found).
 
     A class that shares fewer n-grams with all others together than it must share with one
     links with none, and neither do those that it would have to visit for fewer.
     """
     least = F.floor(F.col("n") * (percent * LEAD) / 10_000) + 1
     grams = rows.select("rep", "n", "found", F.posexplode("prefix").alias("rank", "gram"))
-    grams = grams.select("rep", "n", "gram", "rank", (F.col("rank") < F.col("found")).alias("found"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("c"), F.max("found").alias("f")).where("c > 1 AND f").select("gram")
-    grams, _ = staged(grams.join(shared, "gram"), "shared-grams", compression="zstd")
+    found = (F.col("rank") < F.col("found")).cast("int")
+    shared = grams.groupBy("gram").agg(F.count("*").alias("c"), F.max(found).alias("f")).where("c > 1 AND f = 1").select("gram")
+    packed = F.shiftleft(F.col("n"), 32) + 2 * F.col("rank") + found  # one number: all of these rows are exchanged
+    grams = grams.select("rep", "gram", packed.alias("of")).join(shared, "gram")
+    rank = F.shiftright(F.col("of").bitwiseAND((1 << 32) - 1), 1)
+    grams = grams.select("rep", "gram", F.shiftright("of", 32).alias("n"), rank.alias("rank"), (F.col("of") % 2 == 1).alias("found"))
+    grams, _ = staged(grams, "shared-grams", compression="zstd")
     for turn in range(TURNS):
         rows, _ = staged(_together(grams, percent), f"together-{turn}", compression="zstd")
         enough, _ = staged(rows.groupBy("rep", "n").agg(F.count_distinct("gram").alias("c")).where(F.col("c") >= least).select("rep").distinct(), f"enough-{turn}")
@@ -259,9 +320,27 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
     many = counts.groupBy("at").agg(F.count("*").alias("homes"))
     few = counts.join(many.where(F.col("homes") <= HOMES), "at").select("at", F.col("home").alias("to"))
     visits = placed.join(few, "at").where("to <> home").groupBy("to", "rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    visits = visits.select(F.xxhash64(F.lit("home"), "to").alias("path"), "rep", "n")
-    apart = placed.join(many.where(F.col("homes") > HOMES), "at").select(F.xxhash64(F.lit("gram"), "at").alias("path"), "rep", "n")
-    return home.select(F.xxhash64(F.lit("home"), "home").alias("path"), "rep", "n").unionByName(visits).unionByName(apart)
+    own, guest = F.lit(False).alias("guest"), F.lit(True).alias("guest")
+    visits = visits.select(F.xxhash64(F.lit("home"), "to").alias("path"), guest, "rep", "n")
+    apart = placed.join(many.where(F.col("homes") > HOMES), "at").select(F.xxhash64(F.lit("gram"), "at").alias("path"), own, "rep", "n")
+    return home.select(F.xxhash64(F.lit("home"), "home").alias("path"), own, "rep", "n").unionByName(visits).unionByName(apart)
+
+
+def _split(rows: DataFrame, big: DataFrame, percent: int) -> DataFrame:
+    """Nodes that are too large, in parts: rows as before.
+
+    Where few classes are at home, these go to every lane and each guest to one. Other nodes
+    are parted by set size: linked sizes differ by less than the factor of a band, so all meet
+    in the upper one's; there are no guests then.
+    """
+    members = F.col("all") - F.col("guests")
+    lanes = F.greatest(F.ceil(2 * F.col("guests") / MEMBERS), F.ceil(F.col("all") * F.col("grams") / WORK))
+    tied = rows.join(big.select("path", (2 * members <= MEMBERS).alias("few"), lanes.alias("lanes")), "path")
+    lane = F.when(F.col("guest"), F.array(F.pmod(F.xxhash64("rep"), F.col("lanes")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))
+    laned = tied.where("few").select(F.explode(F.transform(lane, lambda i: F.xxhash64("path", F.lit("lane"), i))).alias("path"), "guest", "rep", "n")
+    band = F.floor(F.log("n") / math.log(100 / (percent - 1)))
+    bands = F.explode(F.array(*(F.xxhash64("path", F.lit("band"), band + i) for i in (0, 1))))
+    return laned.unionByName(tied.where("NOT few").select(bands.alias("path"), F.lit(False).alias("guest"), "rep", "n"))
 
 
 def similar(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:
@@ -275,17 +354,17 @@ def similar(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:
     rows, _ = staged(_meetings(rows, percent), "meetings")
     ends, big = _nodes(rows)
     big, _ = staged(big, "large")
-    found = _node_links(rows.join(ends, "path").select("path", "rep"), texts, k, percent)
-    if not big.isEmpty():
-        # Linked sizes differ by less than the factor of a band, so they meet in the upper one's.
-        band = F.floor(F.log("n") / math.log(100 / (percent - 1)))
-        parted = rows.join(big.select("path"), "path").select("rep", "n", F.explode(F.array(*(F.xxhash64("path", band + i) for i in (0, 1)))).alias("path"))
-        parted, _ = staged(parted, "bands")
-        ends, big = _nodes(parted)
-        big, _ = staged(big, "large-bands")
-        found = found.unionByName(_node_links(parted.join(ends, "path").select("path", "rep"), texts, k, percent))
+    rows, _ = staged(rows.join(ends, "path").unionByName(_split(rows, big, percent)), "nodes") if not big.isEmpty() else (rows.join(ends, "path"), "")
+    texts = _of(texts, rows.select("rep"))
+    if big.isEmpty():
+        found = _node_links(rows, texts, k, percent)
+    else:
+        ends, big = _nodes(rows)
+        big, _ = staged(big, "large-parts")
+        found = _node_links(rows.join(ends, "path"), texts, k, percent)
         if not big.isEmpty():
-            found = found.unionByName(_big_links(parted.select("path", "rep"), big, texts, k, percent))
+            big = big.select("path", F.col("all").alias("members"), F.col("grams").alias("shingles"))
+            found = found.unionByName(_big_links(rows.select("path", "rep"), big, texts, k, percent))
     found, _ = staged(found, "links")
     parts = components(found).withColumnRenamed("vertex", "rep")
 

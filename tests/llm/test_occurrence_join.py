@@ -56,9 +56,9 @@ def test_search_finds_all_that_share_enough(monkeypatch, heap):
     doc = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)])
     h = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
     for percent in (70, 85):
-        lists = oj.Lists(doc, h, 0, len(sets), percent)
+        lists = oj.Lists(doc, h, 0, len(sets))
         for p, own in enumerate(sets):
-            ids, shared = lists.search(p)
+            ids, shared = lists.search(p, percent)
             expect = {i: len(own & s) for i, s in enumerate(sets) if 100 * len(own & s) >= percent * len(own)}
             got = dict(zip(ids.tolist(), shared.tolist(), strict=True))
             assert got == expect | {p: len(own)}
@@ -87,10 +87,11 @@ def corpus():
     return rows + [(None, "one two three four"), (rows[5][0], rows[5][1])]
 
 
-@pytest.mark.parametrize(("members", "homes", "often"), [(1000, 8, 32), (1000, 0, 2), (5, 8, 32), (3, 1, 4)])
+@pytest.mark.parametrize(("members", "homes", "often"), [(1000, 32, 32), (1000, 0, 2), (6, 32, 32), (3, 1, 4)])
 def test_join_is_the_rule(spark, monkeypatch, members, homes, often):
     """Also where every node is too large for a task, and where every n-gram has a node of its own."""
     monkeypatch.setattr(near_dups, "MEMBERS", members)
+    monkeypatch.setattr(oj, "MEMBERS", members)
     monkeypatch.setattr(oj, "HOMES", homes)
     monkeypatch.setattr(oj, "OFTEN", often)
     rows = corpus()
