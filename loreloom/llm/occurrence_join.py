@@ -62,7 +62,7 @@ HEAP = 512
 #: Long lists that are probed at once.
 PROBED = 64
 #: Bits of the filter that texts pass before they are joined.
-FILTER = 1 << 25
+FILTER = 1 << 23
 SALTS = 16
 
 
@@ -308,6 +308,8 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
     rank = F.shiftright(F.col("of").bitwiseAND((1 << 32) - 1), 1)
     grams = grams.select("rep", "gram", F.shiftright("of", 32).alias("n"), rank.alias("rank"), (F.col("of") % 2 == 1).alias("found"))
     grams, _ = staged(grams, "shared-grams", compression="zstd")
+    enough = grams.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("rep").distinct()
+    grams, _ = staged(grams.join(enough, "rep"), "enough-grams", compression="zstd")
     for turn in range(TURNS):
         rows, _ = staged(_together(grams, percent), f"together-{turn}", compression="zstd")
         enough, _ = staged(rows.groupBy("rep", "n").agg(F.count_distinct("gram").alias("c")).where(F.col("c") >= least).select("rep").distinct(), f"enough-{turn}")
