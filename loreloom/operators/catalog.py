@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import with_meta
-from ..functions.text import basename, body, front_yaml, glob, inline_tags, lines, tag_matches
+from ..functions.text import basename, body, front_yaml, glob, inline_tags, lines, tag_matches, trimmed
 
 DANGEROUS = frozenset({"__proto__", "constructor", "prototype"})
 PRIORITY = {"low": 0, "normal": 1, "high": 2, "urgent": 3}
@@ -54,7 +54,7 @@ def search(notes: DataFrame, query: str, folder: str | None = None, limit: objec
     """path and up to three matching lines (line_no, line cut to 100 characters) of the first notes that contain a text."""
     q = query.lower()
     hits = inside(notes, folder).where(F.lower("content").contains(q)).select("path", "content").orderBy("path").limit(positive(limit, 10))
-    numbered = F.transform(lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("line_no"), F.trim(x).alias("line"), F.lower(x).contains(q).alias("hit")))
+    numbered = F.transform(lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("line_no"), trimmed(x).alias("line"), F.lower(x).contains(q).alias("hit")))
     three = F.slice(F.filter(numbered, lambda x: x["hit"]), 1, 3)
     return hits.select("path", F.explode_outer(three).alias("x")).select("path", "x.line_no", F.substring("x.line", 1, 100).alias("line"))
 
@@ -166,7 +166,7 @@ def templates(notes: DataFrame) -> DataFrame:
     """
     rest = F.substr(F.col("path"), F.lit(len(TEMPLATES) + 1))
     own = with_meta(notes.where(F.col("path").startswith(TEMPLATES) & ~rest.contains("/")))
-    text = F.filter(F.transform(lines(body(F.substr(F.col("content"), F.lit(1)))), F.trim), lambda x: (x != "") & (x != "---") & ~x.startswith("<!--"))
+    text = F.filter(F.transform(lines(body(F.substr(F.col("content"), F.lit(1)))), trimmed), lambda x: (x != "") & (x != "---") & ~x.startswith("<!--"))
     first = F.try_element_at(text, F.lit(1))
     heading = F.regexp_replace(F.regexp_replace(first, r"^#+\s*", ""), "<%[^%]+%>", "{title}")
     line = F.substring(F.when(first.startswith("#"), heading).otherwise(first), 1, SHOWN)
@@ -178,7 +178,7 @@ def templates(notes: DataFrame) -> DataFrame:
 def light_fields(content: Column) -> Column:
     """Front matter as a map of its ``key: value`` lines, with no YAML: enough for flat fields, and native."""
     flat = F.filter(lines(front_yaml(content)), lambda x: x.rlike(r"^\w+:\s*\S"))
-    pair = F.transform(flat, lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1), F.trim(F.regexp_extract(x, r"^\w+:\s*(.+)$", 1))))
+    pair = F.transform(flat, lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1), trimmed(F.regexp_extract(x, r"^\w+:\s*(.+)$", 1))))
     keys = F.transform(pair, lambda p: p["col1"])
     last = F.filter(pair, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), p["col1"]) == 0)  # of a repeated key
     return F.map_from_entries(last)

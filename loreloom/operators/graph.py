@@ -11,32 +11,48 @@ from .catalog import positive
 MAX_DEPTH = 5
 
 
+#: A step's place among those of its note: outgoing before incoming, then by the link's position, then by path.
+STEP = "struct<kind:int,pos:int,path:string>"
+
+
 def adjacency(resolved: DataFrame, direction: str = "both") -> DataFrame:
-    """a, b, ambiguous: steps along (outgoing), against (incoming) or either way of the links, one for each link."""
+    """a, b, ambiguous, step: along (outgoing), against (incoming) or either way of the links."""
+
+    def step(kind: int, pos, path: str):
+        return F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), F.col(path).alias("path")).alias("step")
+
     links = resolved.where(F.col("dst").isNotNull())
-    out = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "ambiguous")
-    back = links.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("ambiguous"))
+    out = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "ambiguous", step(0, F.col("pos"), "dst"))
+    back = links.where("src <> dst").select("src", "dst").distinct().select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("ambiguous"), step(1, F.lit(0), "src"))
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError(f"direction: {direction}")
     steps = {"outgoing": out, "incoming": back}.get(direction)
     return out.unionByName(back) if steps is None else steps
 
 
-def neighborhood(resolved: DataFrame, starts: DataFrame, depth: object = 2, direction: str = "both") -> DataFrame:
+def neighborhood(resolved: DataFrame, starts: DataFrame, depth: object = 2, direction: str = "both", ordered: bool = False) -> DataFrame:
     """path, depth, ambiguous: each note within reach of ``starts`` (path), by its least depth.
 
+    A note is ambiguous if the first step that reaches it is one of an ambiguous link. First
+    is what a walk with a queue meets first: the steps of its level's notes in their order.
+    A note's ``trail`` (with ``ordered``) is that step after its note's trail: five steps at most,
+    so trails order a level without gathering it.
+
     The links are written to shared storage once. Each level joins its frontier with them
     before anything is aggregated (a small one is broadcast by its written size) and drops
     what was seen before; levels are written too, so that plans don't nest.
     """
-    steps = adjacency(cut(resolved.where(F.col("dst").isNotNull()).select("src", "dst", "ambiguous")), direction)
-    seen = starts.select("path", F.lit(0).alias("depth"), F.lit(False).alias("ambiguous")).distinct()
+    steps = adjacency(cut(resolved.where(F.col("dst").isNotNull()).select("src", "pos", "dst", "ambiguous")), direction)
+    none = F.array().cast(f"array<{STEP}>")
+    seen = starts.select("path", F.lit(0).alias("depth"), F.lit(False).alias("ambiguous"), none.alias("trail")).distinct()
     frontier = seen
     for level in range(1, min(positive(depth, 2), MAX_DEPTH) + 1):
-        reached = frontier.select(F.col("path").alias("a")).join(steps, "a").groupBy(F.col("b").alias("path")).agg(F.min("ambiguous").alias("ambiguous"))
-        frontier = cut(reached.join(seen.select("path"), "path", "left_anti").select("path", F.lit(level).alias("depth"), "ambiguous"))
+        trail = F.concat("trail", F.array("step")).alias("trail")
+        first = frontier.select(F.col("path").alias("a"), "trail").join(steps, "a").groupBy(F.col("b").alias("path")).agg(F.min(F.struct(trail, "ambiguous")).alias("first"))
+        reached = first.select("path", F.lit(level).alias("depth"), "first.ambiguous", "first.trail")
+        frontier = cut(reached.join(seen.select("path"), "path", "left_anti"))
         seen = seen.unionByName(frontier)
-    return seen
+    return seen if ordered else seen.drop("trail")
 
 
 def depth_groups(nodes: DataFrame) -> DataFrame:

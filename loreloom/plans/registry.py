@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -360,6 +360,25 @@ def neighborhood_depth_counts(spark, d):
     return graph.depth_groups(_around(spark, d, 3))
 
 
+def _walk(depth: int) -> str:
+    """``walk`` (path, depth, ambiguous, trail): the first step that reaches each note, level by level."""
+    out = """, steps AS (SELECT src AS a, dst AS b, n_candidates > 1 AS ambiguous, {'kind': 0, 'pos': pos, 'path': dst} AS step FROM resolved WHERE dst IS NOT NULL
+  UNION ALL SELECT DISTINCT dst, src, false, {'kind': 1, 'pos': 0, 'path': src} FROM resolved WHERE dst <> src)"""
+    out += f", w0 AS (SELECT {START} AS path, 0 AS depth, false AS ambiguous, []::STRUCT(kind INTEGER, pos BIGINT, path VARCHAR)[] AS trail)"
+    for k in range(1, depth + 1):
+        out += f""", s{k} AS (SELECT s.b, s.ambiguous, list_append(x.trail, s.step) AS trail FROM w{k - 1} x JOIN steps s ON s.a = x.path WHERE x.depth = {k - 1} AND s.b NOT IN (SELECT path FROM w{k - 1}))
+, w{k} AS (SELECT * FROM w{k - 1} UNION ALL SELECT b, {k}, arg_min(ambiguous, trail), min(trail) FROM s{k} GROUP BY b)"""
+    return out + f", walk AS (SELECT * FROM w{depth})"
+
+
+@query(LINKS + _walk(3) + " SELECT path, depth, ambiguous, row_number() OVER (PARTITION BY depth ORDER BY trail) AS place FROM walk")
+def neighborhood_in_order(spark, d):
+    """Whether the first step to each note is ambiguous, and the note's place in its level."""
+    start = spark.createDataFrame([(_path(spark, d, 3),)], "path string")
+    nodes = graph.neighborhood(links.edges(_notes(spark, d)), start, 3, ordered=True)
+    return nodes.select("path", "depth", "ambiguous", F.row_number().over(Window.partitionBy("depth").orderBy("trail")).cast("long").alias("place"))
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 
