@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..functions.frontmatter import parsed, with_meta
 from ..operators import catalog, chunking, events, graph, links, mutate, reading, vector
 from ..sources import derived
+from ..sources.shared import shared_folder
 from ..streaming import refresh
 from . import reports
 
@@ -521,11 +522,26 @@ def short_note_chunks(spark, d):
 @query()
 def index_search(spark, d):
     """From notes through the index's tables to the notes nearest to a text."""
-    files, none = spark.createDataFrame([], refresh.FILES), spark.createDataFrame([], "path string")
-    _, chunks = refresh.upserted(refresh.to_index(_notes(spark, d), files), none, files, spark.createDataFrame([], refresh.CHUNKS), "2025-01-01")
+    chunks = refresh.indexed(_notes(spark, d))
     return vector.search_raw(chunks, [float(x) for x in vector.hash_embedder()(["## Links ### Topics"])[0]], 10).select("path", "score")
 
 
+@query(" SELECT path, mtime_ms, sha256(encode(content)) AS content_hash FROM vault WHERE doc_id % 5 <> 0")
+def index_log(spark, d):
+    """The files of an index after five refreshes: an older state of all notes, changes, deletes, nothing, and a merge."""
+    notes = _notes(spark, d).withColumn("doc", F.regexp_extract("content", r"\n# Doc (\d+)\n", 1).cast("long"))
+    index = refresh.Index(spark, shared_folder(spark, "index"), vector.hash_embedder(8), 16)
+    older = F.when(F.col("doc") % 3 == 0, F.concat("content", F.lit("\n\nolder"))).otherwise(F.col("content"))
+    index.sync(notes.select("path", older.alias("content"), (F.col("mtime_ms") - 1).alias("mtime_ms"), "size").where("doc % 4 <> 1"))
+    none = spark.createDataFrame([], "path string")
+    index.apply(refresh.to_index(notes.where("doc % 4 = 1"), index.files()), none)
+    index.sync(notes.where("doc % 5 <> 0"))
+    index.sync(notes.where("doc % 5 <> 0"))
+    index.compact()
+    changed = notes.select("path", F.col("mtime_ms").alias("now"))
+    return index.files().join(changed, "path").select("path", F.col("now").alias("mtime_ms"), "content_hash")
+
+
 def _hashed(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
 

@@ -1,15 +1,24 @@
 """Keeping an index of chunks up to date with the notes: snapshot differences and a stream of changes.
 
-State tables: files (path, mtime_ms, content_hash, chunk_count, updated_at) and chunks
-(id, file_path, chunk_index, heading, text, content_preview, embedding), which semantic search
-reads as they are. Every refresh writes whole new versions
-beside the old ones and then names the new version, so a reader or a lost executor never
-meets a half-written index, and repeating a batch changes nothing.
+Two tables: files (path, mtime_ms, content_hash, chunk_count, updated_at) and chunks (id,
+file_path, chunk_index, heading, text, content_preview, embedding), which semantic search
+reads as they are. They are kept as a log. Rows lie in buckets by a hash of their path; a
+refresh writes the rows of the notes that changed, and a mark for those that went, to a new
+folder, which has files for the buckets it touches and no others. A version is one small
+manifest: which folders hold for each bucket, and since when. Readers take the folders of
+the last manifest, and of each path the rows of the latest version. A bucket with more than
+``DELTAS`` folders is merged into one.
+
+A manifest is complete before it gets its name, and storage gives a name only once: of two
+writers that want the same version one takes the next, after reading what the other did.
+So no reader, lost executor or repeated batch meets a half-written index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Callable, Iterable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +30,8 @@ from ..operators.vector import Embedder, embedded, hash_embedder
 from ..sources.vault import SCHEMA as NOTES
 
 FILES = "path string, mtime_ms long, content_hash string, chunk_count long, updated_at string"
+#: Folders of a bucket from which it is merged, and versions that a writer tries to take.
+DELTAS, TRIES = 8, 20
 CHUNKS = "id long, file_path string, chunk_index int, heading string, text string, content_preview string, embedding array<float>"
 
 
@@ -41,18 +52,10 @@ def to_index(notes: DataFrame, files: DataFrame, by_time: bool = True) -> DataFr
     return joined.where(F.col("old_hash").isNull() | (F.col("old_hash") != F.col("content_hash"))).drop("then", "old_hash")
 
 
-def upserted(fresh: DataFrame, removed: DataFrame, files: DataFrame, chunks: DataFrame, now: str, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
-    """New versions of both tables: fresh notes (with content_hash) replace their rows, removed paths lose theirs.
-
-    A note without chunks (an empty one) is removed. Only fresh notes are embedded.
-    """
+def indexed(fresh: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """The embedded chunks of notes, in the columns of ``CHUNKS``."""
     made = note_chunks(fresh).withColumnsRenamed({"path": "file_path", "preview": "content_preview"}).withColumn("id", F.xxhash64("file_path", "chunk_index"))
-    made = embedded(made, "text", embedder or hash_embedder())
-    counts = made.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
-    rows = fresh.join(counts, "path").select("path", "mtime_ms", "content_hash", "chunk_count", F.lit(now).alias("updated_at"))
-    gone = fresh.select("path").unionByName(removed.select("path")).distinct()
-    left = chunks.join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
-    return files.join(gone, "path", "left_anti").unionByName(rows), left.unionByName(made.select(*left.columns))
+    return embedded(made, "text", embedder or hash_embedder()).select(*(x.split()[0] for x in CHUNKS.split(", ")))
 
 
 def stats(notes: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -60,44 +63,171 @@ def stats(notes: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("indexed_files"), F.max("updated_at").alias("last_sync")).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("total_chunks")))).crossJoin(F.broadcast(notes.agg(F.count("*").alias("vault_files"))))  # single rows
 
 
-class Index:
-    """An index in a folder of shared storage; ``version`` names the pair of tables that holds."""
+class Conflict(RuntimeError):
+    """Other writers took every version that this one tried to."""
 
-    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None):
-        self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder
 
-    def _versions(self) -> DataFrame:
-        return self.spark.read.schema("version long, done timestamp").json(f"{self.folder}/versions")
+class Index:
+    """An index in a folder of shared storage; any number of writers and readers may use it."""
 
-    def version(self) -> int:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/versions")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return 0
-        return self._versions().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, buckets: int = 64):
+        self.spark, self.folder, self.embedder, self.buckets = spark, folder.rstrip("/"), embedder, buckets
+
+    # --- manifests
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}-{v}") if v else self.spark.createDataFrame([], schema)
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def files(self) -> DataFrame:
-        return self._table("files", FILES)
+    def _store(self):
+        path = self._path("")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def chunks(self) -> DataFrame:
-        return self._table("chunks", CHUNKS)
+    def version(self) -> int:
+        """The number of the last manifest; 0 where there is none."""
+        folder, store = self._path("versions"), self._store()
+        names = [s.getPath().getName() for s in store.listStatus(folder)] if store.exists(folder) else []
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != "."), default=0)
+
+    def _manifest(self, version: int) -> dict:
+        """``live``: for each bucket its folders and their versions, oldest first."""
+        if not version:
+            return {"version": 0, "buckets": self.buckets, "live": {}}
+        return json.loads(self.spark.read.text(f"{self.folder}/versions/{version:012}.json", wholetext=True).first()[0])
+
+    def _take(self, manifest: dict) -> bool:
+        """Give the manifest its version's name, unless another has it."""
+        jvm, store = self.spark._jvm, self._store()
+        name = f"versions/{manifest['version']:012}.json"
+        draft, final = self._path(f"versions/.{uuid.uuid4().hex}"), self._path(name)
+        out = store.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        try:
+            # FileContext's rename never replaces what is there, and is one step on file systems that have one.
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            store.delete(draft, False)
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def _commit(self, change: Callable[[dict], None]) -> int:
+        """Apply a change to the last manifest and store it as the next version."""
+        for _ in range(TRIES):
+            manifest = self._manifest(self.version())
+            manifest |= {"version": manifest["version"] + 1, "at": datetime.now(UTC).isoformat()}
+            change(manifest)
+            if self._take(manifest):
+                return manifest["version"]
+        raise Conflict(self.folder)
+
+    # --- reading
+
+    def _rows(self, table: str, schema: str, manifest: dict, buckets: Iterable[str] | None = None) -> DataFrame:
+        """Rows of a table with the version of their folder, of some buckets or all."""
+        live = {b: f for b, f in manifest["live"].items() if buckets is None or b in buckets}
+        paths = [f"{self.folder}/data/{name}/{table}/bucket={b}" for b, folders in live.items() for _, name, tables in folders if table in tables]
+        if not paths:
+            return self.spark.createDataFrame([], f"{schema}, version long")
+        versions = sorted({(name, v) for folders in live.values() for v, name, _ in folders})  # DELTAS a bucket at most
+        known = F.create_map(*(F.lit(x) for pair in versions for x in pair))
+        name = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]{32})/", 1)
+        return self.spark.read.schema(schema).parquet(*paths).select("*", known[name].cast("long").alias("version"))
+
+    def _latest(self, manifest: dict, buckets: Iterable[str] | None = None) -> DataFrame:
+        """The files' rows that hold, marks of gone ones among them."""
+        rows = self._rows("files", f"{FILES}, gone boolean", manifest, buckets)
+        whole = F.struct(*(c for c in rows.columns if c not in ("path", "version")))
+        return rows.groupBy("path").agg(F.max_by(whole, "version").alias("row"), F.max("version").alias("version")).select("path", "row.*", "version")
+
+    def _held(self, manifest: dict, buckets: Iterable[str] | None = None) -> DataFrame:
+        """The chunks that hold."""
+        last = self._latest(manifest, buckets).where("NOT gone").select(F.col("path").alias("file_path"), "version")
+        return self._rows("chunks", CHUNKS, manifest, buckets).join(last, ["file_path", "version"]).select(*(x.split()[0] for x in CHUNKS.split(", ")))
+
+    def files(self, version: int | None = None) -> DataFrame:
+        return self._latest(self._manifest(self.version() if version is None else version)).where("NOT gone").drop("gone", "version")
+
+    def chunks(self, version: int | None = None) -> DataFrame:
+        return self._held(self._manifest(self.version() if version is None else version))
+
+    # --- writing
+
+    def _written(self, table: str, rows: DataFrame, path: str, name: str, buckets: int) -> list[str]:
+        """Write rows to the buckets they touch and name these."""
+        bucket = F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+        to = f"data/{name}/{table}"
+        rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
+        return [n.removeprefix("bucket=") for n in (s.getPath().getName() for s in self._store().listStatus(self._path(to))) if n.startswith("bucket=")]
 
     def apply(self, fresh: DataFrame, removed: DataFrame) -> int:
-        """Write the next version and then its number."""
-        v = self.version() + 1
-        files, chunks = upserted(fresh, removed, self.files(), self.chunks(), datetime.now(UTC).isoformat(), self.embedder)
-        files.write.mode("overwrite").parquet(f"{self.folder}/files-{v}")
-        chunks.write.mode("overwrite").parquet(f"{self.folder}/chunks-{v}")
-        self.spark.range(1).select(F.lit(v).cast("long").alias("version"), F.current_timestamp().alias("done")).coalesce(1).write.mode("append").json(f"{self.folder}/versions")
-        return v
+        """Index fresh notes (with content_hash) in place of their rows, and drop removed paths; the version that has this.
+
+        A note without chunks is dropped. Only fresh notes are embedded. Where nothing changes, nothing stays written.
+        """
+        name, buckets = uuid.uuid4().hex, self._manifest(self.version())["buckets"]
+        chunked = self._written("chunks", indexed(fresh, self.embedder), "file_path", name, buckets)
+        made = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/data/{name}/chunks") if chunked else self.spark.createDataFrame([], CHUNKS)
+        counts = made.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
+        own = fresh.join(counts, "path", "left").select("path", "mtime_ms", "content_hash", "chunk_count", F.lit(datetime.now(UTC).isoformat()).alias("updated_at"), F.col("chunk_count").isNull().alias("gone"))
+        away = removed.select("path").distinct().join(fresh.select("path"), "path", "left_anti")
+        touched = self._written("files", own.unionByName(away.withColumn("gone", F.lit(True)), allowMissingColumns=True), "path", name, buckets)
+        if not touched:
+            self._store().delete(self._path(f"data/{name}"), True)
+            return self.version()
+
+        def add(manifest: dict) -> None:
+            for b in touched:
+                manifest["live"].setdefault(b, []).append([manifest["version"], name, ["files", *["chunks"] * (b in chunked)]])
+
+        version = self._commit(add)
+        return self.compact(DELTAS) or version
+
+    def compact(self, most: int = 1) -> int | None:
+        """Merge the folders of every bucket that has more than ``most`` of them; the new version, if any.
+
+        What other writers add meanwhile stays after what was merged.
+        """
+        manifest = self._manifest(self.version())
+        read = manifest["version"]
+        old = {b: folders for b, folders in manifest["live"].items() if len(folders) > most}
+        if not old:
+            return None
+        name = uuid.uuid4().hex
+        chunked = self._written("chunks", self._held(manifest, old), "file_path", name, manifest["buckets"])
+        filed = self._written("files", self._latest(manifest, old).where("NOT gone").drop("version"), "path", name, manifest["buckets"])
+
+        def replace(manifest: dict) -> None:
+            for b, folders in old.items():
+                if manifest["live"].get(b, [])[: len(folders)] != folders:
+                    raise Conflict(f"bucket {b} was merged by another")
+                merged = [[read, name, ["files", *["chunks"] * (b in chunked)]]] if b in filed else []
+                manifest["live"][b] = merged + manifest["live"][b][len(folders) :]
+
+        return self._commit(replace)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all but the last ``keep`` versions and the folders that none of them reads; how many folders went.
+
+        For times without writers: a folder that isn't in a manifest yet counts as unread.
+        """
+        last, store, gone = self.version(), self._store(), 0
+        kept = [v for v in range(max(1, last - keep + 1), last + 1)]
+        read = {name for v in kept for folders in self._manifest(v)["live"].values() for _, name, _ in folders}
+        for status in store.listStatus(self._path("data")) if last else []:
+            if status.getPath().getName() not in read:
+                gone += store.delete(status.getPath(), True)
+        for status in store.listStatus(self._path("versions")) if last else []:
+            if status.getPath().getName() < f"{kept[0]:012}":
+                store.delete(status.getPath(), False)
+        return gone
 
     def sync(self, notes: DataFrame) -> int:
-        """Bring the index to a snapshot of all notes; deleted files are found here, as no stream tells of them."""
-        deleted = difference(notes, self.files()).where("change = 'deleted'").select("path")
-        return self.apply(to_index(notes, self.files()), deleted)
+        """Bring the index to a snapshot of all notes: new, changed and deleted ones."""
+        files = self.files()
+        deleted = difference(notes, files).where("change = 'deleted'").select("path")
+        return self.apply(to_index(notes, files), deleted)
 
     def follow(self, changes: DataFrame, checkpoint: str, present: Callable[[], DataFrame] | None = None, **trigger) -> StreamingQuery:
         """Index a stream of notes; the trigger's interval is the debounce, and the latest row of a path counts.

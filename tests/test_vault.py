@@ -314,3 +314,60 @@ def test_tag_patterns():
 
     cases = {"P/*": ("below", "p"), "*x*": ("part", "x"), "X*": ("start", "x"), "*x": ("end", "x"), "x": ("whole", "x"), "*": ("part", ""), "**": ("start", "*"), "*a*b*": ("part", "a*b")}
     assert {p: tag_pattern(p) for p in cases} == cases
+
+
+def _size(folder):
+    return {str(f.relative_to(folder)): f.stat().st_size for f in folder.rglob("*.parquet")}
+
+
+def test_index_is_a_log_of_buckets(spark, tmp_path):
+    """One changed note writes one bucket, nothing changed writes nothing; merging and deleting keep every row."""
+    schema = "path string, content string, mtime_ms long, size long"
+    index = refresh.Index(spark, f"file://{tmp_path}/log", vector.hash_embedder(8), 32)
+    rows = [(f"n/{i}.md", f"note {i} " + "text " * 300, 1, 1) for i in range(2000)]
+    notes = lambda: spark.createDataFrame(rows, schema)
+    assert index.sync(notes()) == 1
+    whole = _size(tmp_path / "log")
+    assert index.sync(notes()) == 1 and _size(tmp_path / "log") == whole
+    rows[7] = ("n/7.md", "new words", 2, 1)
+    assert index.sync(notes()) == 2
+    more = {k: v for k, v in _size(tmp_path / "log").items() if k not in whole}
+    assert len({k.split("bucket=")[1].split("/")[0] for k in more}) == 1 and sum(more.values()) < sum(whole.values()) / 20
+
+    def state():
+        return {r.path: (r.mtime_ms, r.chunk_count) for r in index.files().collect()}, sorted((r.file_path, r.text) for r in index.chunks().collect())
+
+    del rows[9]
+    rows[3] = ("n/3.md", "", 3, 0)
+    assert index.sync(notes()) == 3
+    files, chunks = state()
+    assert len(files) == len(chunks) == 1998 and "n/9.md" not in files and "n/3.md" not in files and files["n/7.md"] == (2, 1)
+    assert len(index.files(1).collect()) == 2000
+    assert index.compact() == 4 and state() == (files, chunks) and index.compact() is None
+    assert index.vacuum() > 0 and state() == (files, chunks) and index.version() == 4
+    for i in range(refresh.DELTAS + 1):
+        rows[0] = ("n/0.md", f"turn {i}", 10 + i, 1)
+        index.sync(notes())
+    live = index._manifest(index.version())["live"]
+    assert max(map(len, live.values())) <= refresh.DELTAS and ("n/0.md", f"# 0\n\nturn {refresh.DELTAS}") in state()[1]
+
+
+def test_two_writers_take_different_versions(spark, tmp_path, monkeypatch):
+    schema = "path string, content string, mtime_ms long, size long, content_hash string"
+    first, second = (refresh.Index(spark, f"file://{tmp_path}/two", vector.hash_embedder(8)) for _ in range(2))
+    none = spark.createDataFrame([], "path string")
+    note = lambda p, t: spark.createDataFrame([(p, t, 1, 1, t)], schema)
+    taking = first._take
+
+    def late(manifest):
+        monkeypatch.setattr(first, "_take", taking)
+        assert second.apply(note("b.md", "second"), none) == manifest["version"] == 1
+        return taking(manifest)
+
+    monkeypatch.setattr(first, "_take", late)
+    assert first.apply(note("a.md", "first"), none) == 2
+    assert paths(first.files()) == paths(second.files()) == ["a.md", "b.md"]
+    monkeypatch.setattr(first, "_take", lambda manifest: False)
+    with pytest.raises(refresh.Conflict):
+        first.apply(note("c.md", "third"), none)
+    assert paths(second.files()) == ["a.md", "b.md"]
