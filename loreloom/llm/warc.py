@@ -5,12 +5,17 @@ are equal and at least ``MIN_REVISIT`` bytes long, those with the smallest page_
 response records; the others are revisit records that name it and hold no payload.
 
 Reading is splittable: a task gets a byte range of a file, looks for the gzip magic,
-takes a candidate as a record only if it decodes to a WARC version line and header lines
-that name a type and a length, and owns the records that start inside its range, reading
+takes a candidate as a record only if it decodes to a WARC version line and header lines of
+any length that name a type and a length, and owns the records that start inside its range, reading
 past the end to finish the last. Archives of other programs are read too: records of every
 type, with whatever identifiers. Inside a record nothing is searched, so a payload that looks like a record is not one,
 unless a range begins in the middle of it and it is stored uncompressed.
 
+Damage is never passed over: where something else than a sound member follows a member, or
+begins a file, reading fails, or gives a row that says where, and goes on at the next sound
+record. A member that decodes to its end but holds no record is left out. A record is held
+whole by the task that reads it, whatever its length.
+
 Defined results: a null payload counts as empty; a null url is left out; payloads
 shorter than the limit are always responses; rows that share the smallest page_id are
 all responses; pages without page_id never count as the smallest, and refer to it if
@@ -37,7 +42,6 @@ MIN_REVISIT = 100
 #: Ways that the pages of one digest are split when they look up its first page.
 SALTS = 16
 SPLIT_BYTES, MAX_TASKS = 8 << 20, 100_000
-MAX_HEAD = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -136,47 +140,79 @@ def _fields(head: bytes) -> dict[str, str] | None:
     return fields if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
 
 
-def _member(view: _Window, at: int) -> tuple[bytes, int] | None:
-    """The record whose gzip member starts at this offset and where it ends; None if there is none."""
+def _member(view: _Window, at: int, whole: bool = True) -> tuple[bytes | None, int] | None:
+    """The record whose gzip member starts at this offset and where it ends; no record for other content, None if nothing sound starts here.
+
+    A header may have any length. Without ``whole`` a sound header is enough.
+    """
     gz, out, begin = zlib.decompressobj(31), bytearray(), at
-    checked = False
+    head, other = -1, False
     try:
         while not gz.eof:
             part = bytes(view.data[begin - view.start :])
-            if not part and not view.more():
-                return None
-            out += gz.decompress(part)
-            begin += len(part)
-            if not checked and len(out) >= 5:
-                end = out.find(b"\r\n\r\n", 0, MAX_HEAD)
-                if not out.startswith(b"WARC/") or (end < 0 and len(out) > MAX_HEAD) or (end >= 0 and _fields(bytes(out[:end])) is None):
+            if not part:
+                if not view.more():
                     return None
-                checked = end >= 0
+                continue
+            seen, begin = len(out), begin + len(part)
+            got = gz.decompress(part)
+            if other:
+                continue
+            out += got
+            if head < 0 and len(out) >= 5:
+                if not out.startswith(b"WARC/"):
+                    other, out = True, bytearray()
+                elif (head := out.find(b"\r\n\r\n", max(0, seen - 3))) >= 0:
+                    if (fields := _fields(bytes(out[:head]))) is None:
+                        return None
+                    if not whole:
+                        return b"", begin
     except zlib.error:
         return None
-    return (bytes(out), begin - len(gz.unused_data)) if checked else None
-
-
-def records_in_range(file, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of the records that start in [begin, end)."""
-    view, at = _Window(file, begin), begin
-    while at < end:
-        found = view.data.find(MAGIC, at - view.start)
-        if found < 0:
-            at = max(at, view.start + len(view.data) - len(MAGIC) + 1)
-            view.drop(min(at, view.start + len(view.data)))
-            if at >= end or not view.more():
+    end = begin - len(gz.unused_data)
+    if other or not out.startswith(b"WARC/"):
+        return None, end
+    return (bytes(out), end) if head >= 0 and len(out) >= head + 4 + int(fields["content-length"]) else None
+
+
+def records_in_range(file, begin: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+    """Offset and content of the records that start in [begin, end), and offsets (without content) from which on bytes are in no member.
+
+    Members follow each other. So behind a member, and at the start of a file, what isn't one
+    is damage, which the range of the member before it tells of, even past its own end.
+    """
+    view, at, follows = _Window(file, begin), begin, begin == 0
+    while follows or at < end:
+        if follows:
+            while at - view.start >= len(view.data):
+                if not view.more():
+                    return
+            got = _member(view, at, whole=at < end)
+            if got is None:
+                yield at, None
+                at, follows = at + 1, False
+            elif at >= end:
                 return
-            continue
-        at = view.start + found
-        if at >= end:
-            return
-        view.drop(at)
-        if (got := _member(view, at)) is None:
-            at += 1
         else:
-            yield at, got[0]
-            at = got[1]
+            found = view.data.find(MAGIC, at - view.start)
+            if found < 0:
+                at = max(at, view.start + len(view.data) - len(MAGIC) + 1)
+                view.drop(min(at, view.start + len(view.data)))
+                if at >= end or not view.more():
+                    return
+                continue
+            at = view.start + found
+            if at >= end:
+                return
+            view.drop(at)
+            got = _member(view, at)
+            if got is None or got[0] is None:
+                at += 1
+                continue
+        if got is not None:
+            if got[0] is not None:
+                yield at, got[0]
+            at, follows = got[1], True
             view.drop(at)
 
 
@@ -199,8 +235,11 @@ def _parse(record: bytes) -> tuple:
     return page("warc-record-id"), fields.get("warc-record-id"), fields.get("warc-target-uri"), kind, page("warc-refers-to"), size, fields.get("warc-payload-digest", "").removeprefix("sha256:") or None, payload
 
 
-def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of archives given by ``file`` and ``bytes``; payload is null for revisits."""
+def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, keep_damaged: bool = False) -> DataFrame:
+    """All records of archives given by ``file`` and ``bytes``; payload is null for revisits.
+
+    Bytes that are in no member are an error, or with ``keep_damaged`` a row of the type ``damaged``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
@@ -215,6 +254,11 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 with store.open_input_file(name) as f:
                     rows, size = [], 0
                     for at, record in records_in_range(f, begin, end):
+                        if record is None:
+                            if not keep_damaged:
+                                raise ValueError(f"{file}: no sound member at byte {at}")
+                            rows.append((None, None, None, "damaged", *[None] * 4, file, at))
+                            continue
                         rows.append((*_parse(record), file, at))
                         size += len(record)
                         if size > 4 << 20:
