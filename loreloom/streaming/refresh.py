@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.chunking import note_chunks
 from ..operators.vector import Embedder, embedded, hash_embedder
@@ -230,24 +232,46 @@ class Index:
         return self.apply(to_index(notes, files), deleted)
 
     def follow(self, changes: DataFrame, checkpoint: str, present: Callable[[], DataFrame] | None = None, **trigger) -> StreamingQuery:
-        """Index a stream of notes; the trigger's interval is the debounce, and the latest row of a path counts.
+        """Index a stream of notes; the latest row of a path in a batch counts, and one without content drops the path.
 
-        A stream doesn't tell of deleted files: with ``present``, which lists the paths there
+        For streams that don't tell of deleted files: with ``present``, which lists the paths there
         are now, each batch also drops those that are gone.
         """
 
         def batch(rows: DataFrame, _: int) -> None:
-            latest = rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime_ms")))).where("n = 1").drop("n")
-            fresh = to_index(latest, self.files(), by_time=False)
-            gone = self.spark.createDataFrame([], "path string")
+            order = F.struct(F.col("content").isNull(), "mtime_ms")  # what is gone has no time; where it came again, the next batch says so
+            last = rows.groupBy("path").agg(F.max_by(F.struct("content", "mtime_ms", "size"), order).alias("row")).select("path", "row.*")
+            files = self.files()
+            fresh = to_index(last.where("content IS NOT NULL"), files, by_time=False)
+            gone = last.where("content IS NULL").select("path").join(files.select("path"), "path", "left_semi")
             if present is not None:
-                gone = self.files().select("path").join(present().select("path"), "path", "left_anti")
-            if not (fresh.isEmpty() and gone.isEmpty()):
-                self.apply(fresh, gone)
+                gone = gone.unionByName(files.select("path").join(present().select("path"), "path", "left_anti"))
+            self.apply(fresh, gone)
 
         return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def settled(changes: DataFrame, wait_ms: int = 2_000) -> DataFrame:
+    """The last row of each path, once no other has come for ``wait_ms``: a timer for every path.
+
+    State holds a path's last row until its timer fires. Rows that come together count in
+    the order of their time; a deleted note's row (no content, no time) is the last of them.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            content, mtime, size = state.get
+            state.remove()
+            yield pd.DataFrame({"path": [key[0]], "content": [content], "mtime_ms": pd.array([mtime], "Int64"), "size": pd.array([size], "Int64")})
+            return
+        rows = [r for b in batches for r in zip(b["content"], b["mtime_ms"], b["size"], strict=True)]
+        content, mtime, size = max(rows, key=lambda r: (r[0] is None, 0 if pd.isna(r[1]) else r[1]))
+        state.update((content, None if pd.isna(mtime) else int(mtime), None if pd.isna(size) else int(size)))
+        state.setTimeoutDuration(wait_ms)
+
+    return changes.groupBy("path").applyInPandasWithState(run, NOTES, "content string, mtime_ms long, size long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def change_stream(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of notes from Parquet files that arrive in a folder (path, content, mtime_ms, size)."""
     return spark.readStream.schema(NOTES).parquet(folder)

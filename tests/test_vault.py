@@ -371,3 +371,72 @@ def test_two_writers_take_different_versions(spark, tmp_path, monkeypatch):
     with pytest.raises(refresh.Conflict):
         first.apply(note("c.md", "third"), none)
     assert paths(second.files()) == ["a.md", "b.md"]
+
+
+def test_conditions_on_paths_reach_the_scan(spark, tmp_path, capsys):
+    """Folders that can't hold what is asked for are never listed; the plan names the conditions."""
+    from loreloom.sources.vault import Files, VaultReader
+
+    for name in ("a/x.md", "a/b/y.md", "a/b/c/d/e/f.md", "ab/z.md", "q/_i.md", ".dot/n.md", "top.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = lambda rows: sorted(paths(rows))
+    notes = read_vault(spark, str(tmp_path))
+    assert found(notes) == ["a/b/c/d/e/f.md", "a/b/y.md", "a/x.md", "ab/z.md", "q/_i.md", "top.md"]
+    below = notes.where(F.col("path").startswith("a/b/"))
+    assert found(below) == ["a/b/c/d/e/f.md", "a/b/y.md"]
+    below.explain("formatted")
+    assert "PushedFilters: [StringStartsWith(path,a/b/)]" in capsys.readouterr().out
+    assert found(notes.where("path IN ('top.md', 'a/x.md', 'no.md') AND content <> 'top.md'")) == ["a/x.md"]
+    assert found(notes.where("path = 'a/b/y.md'")) == ["a/b/y.md"] and found(notes.where("path = 'top.md' AND path = 'a/x.md'")) == []
+    from pyspark.sql.datasource import StringStartsWith
+
+    reader = VaultReader({"path": str(tmp_path)})
+    assert list(reader.pushFilters([StringStartsWith(("path",), "a/")])) == []
+    assert reader.partitions() == [Files(["a/x.md", "a/b/y.md"]), Files([], "a/b/c/d")]
+
+
+def test_watcher_waits_for_a_path_to_settle_and_tells_of_deletes(spark, tmp_path):
+    """Three changes in quick order give one row; a deleted file drops its chunks without a listing of what is left."""
+    import time
+
+    from loreloom.sources.vault import watch_vault
+
+    root = tmp_path / "vault"
+    root.mkdir()
+    index = refresh.Index(spark, f"file://{tmp_path}/windex", vector.hash_embedder(8), 4)
+    seen: list = []
+    changes = refresh.settled(watch_vault(spark, str(root), f"{tmp_path}/listings"), 3_000)
+    (root / "gone.md").write_text("soon gone")
+
+    def batch(rows, n):
+        seen.extend(r.path for r in rows.select("path").collect())
+        follow(rows, n)
+
+    class Caught:
+        """What follow() starts on a stream, to watch its rows on their way."""
+
+        writeStream = property(lambda self: self)
+        foreachBatch = lambda self, f: setattr(self, "f", f) or self
+        option = trigger = lambda self, *a, **k: self
+        start = lambda self: self
+
+    follow = index.follow(Caught(), "").f
+    query = changes.writeStream.foreachBatch(batch).option("checkpointLocation", f"{tmp_path}/wcp").trigger(processingTime="200 milliseconds").start()
+    try:
+        def until(done):
+            end = time.time() + 90
+            while not done():
+                assert time.time() < end and query.isActive, query.exception()
+                time.sleep(0.2)
+
+        until(lambda: seen == ["gone.md"])
+        for i in range(3):
+            (root / "a.md").write_text("words " * (i + 1))
+            time.sleep(0.7)
+        (root / "gone.md").unlink()
+        until(lambda: index.version() and {r.file_path: r.text for r in index.chunks().collect()} == {"a.md": "# a\n\nwords words words"})
+        assert sorted(seen) == ["a.md", "gone.md", "gone.md"]
+    finally:
+        query.stop()
+    assert len(list((tmp_path / "listings").iterdir())) <= 3
