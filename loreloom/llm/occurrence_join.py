@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -104,7 +104,7 @@ def lengths(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """place, doc_id, n_shingles, key (a digest of the words in order), prefix (hashes in the common order), found; no exchange."""
+    """doc_id, n_shingles, key (a digest of the words in order), prefix (hashes in the common order), found; no exchange."""
     grams, classes = frequent(docs, k)
     sent = docs.sparkSession.sparkContext.broadcast((grams, classes))  # FREQUENT entries at most
 
@@ -125,10 +125,10 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 h = h[order][rank < np.repeat(sought, size)]
                 keys = [hashlib.sha256(b" ".join((t or "").encode().lower().split())).digest() for t in texts]
                 prefix = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sought)].astype(np.int32), pa.array(h.view(np.int64)))
-                yield pa.record_batch([batch.column("place"), batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(keys, pa.binary()), prefix, pa.array(found.astype(np.int32))], names=["place", "doc_id", "n_shingles", "key", "prefix", "found"])
+                yield pa.record_batch([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(keys, pa.binary()), prefix, pa.array(found.astype(np.int32))], names=["doc_id", "n_shingles", "key", "prefix", "found"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "place long, doc_id long, n_shingles long, key binary, prefix array<long>, found int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, prefix array<long>, found int")
 
 
 def merge_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
@@ -293,8 +293,10 @@ def _together(grams: DataFrame, percent: int) -> DataFrame:
     return rows.join(met, "at")
 
 
-def _meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """path (node), guest, rep and n: which classes must meet, from their prefixes (rep, n, prefix, found).
+def _meetings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """path (node), guest, rep and n: which classes (rep) must meet, from all documents' prefixes (rep, n, prefix, found).
+
+    Copies go once what only one document has is gone, so that prefixes are exchanged as n-grams alone.
 
     A class that shares fewer n-grams with all others together than it must share with one
     links with none, and neither do those that it would have to visit for fewer.
@@ -307,7 +309,7 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
     grams = grams.select("rep", "gram", packed.alias("of")).join(shared, "gram")
     rank = F.shiftright(F.col("of").bitwiseAND((1 << 32) - 1), 1)
     grams = grams.select("rep", "gram", F.shiftright("of", 32).alias("n"), rank.alias("rank"), (F.col("of") % 2 == 1).alias("found"))
-    grams, _ = staged(grams, "shared-grams", compression="zstd")
+    grams, _ = staged(grams.join(classes.select("rep"), "rep", "left_semi").distinct(), "shared-grams", compression="zstd")
     enough = grams.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("rep").distinct()
     grams, _ = staged(grams.join(enough, "rep"), "enough-grams", compression="zstd")
     for turn in range(TURNS):
@@ -350,10 +352,10 @@ def similar(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     sketch, _ = staged(prefixes(docs, k, percent), "prefixes", compression="zstd")
     some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("copies"))
+    classes = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes, _ = staged(classes, "classes")
-    rows = sketch.select("place", F.col("n_shingles").alias("n"), "prefix", "found").join(classes.select("place", "rep"), "place")
-    rows, _ = staged(_meetings(rows, percent), "meetings")
+    rows = sketch.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "found")
+    rows, _ = staged(_meetings(rows, classes, percent), "meetings")
     ends, big = _nodes(rows)
     big, _ = staged(big, "large")
     rows, _ = staged(rows.join(ends, "path").unionByName(_split(rows, big, percent)), "nodes") if not big.isEmpty() else (rows.join(ends, "path"), "")
@@ -370,12 +372,12 @@ def similar(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:
     found, _ = staged(found, "links")
     parts = components(found).withColumnRenamed("vertex", "rep")
 
-    def salt(place):
-        return F.pmod(F.xxhash64(place), F.lit(SALTS)).cast("int")
+    def salt(doc_id: str) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
 
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    known = classes.join(parts, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), F.explode(F.when(F.col("copies") > 1, every).otherwise(F.array(salt("place")))).alias("salt"))
-    mine = sketch.select("doc_id", "n_shingles", "key", salt("place").alias("salt")).join(known, ["key", "salt"], "left")
+    known = classes.join(parts, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), F.explode(F.when(F.col("copies") > 1, every).otherwise(F.array(salt("rep")))).alias("salt"))
+    mine = sketch.select("doc_id", "n_shingles", "key", salt("doc_id").alias("salt")).join(known, ["key", "salt"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return mine.select("doc_id", "n_shingles", own.alias("component_id"))
 
