@@ -23,7 +23,7 @@ def positive(value: object, fallback: int) -> int:
 
 
 def inside(notes: DataFrame, folder: str | None) -> DataFrame:
-    """Notes below a folder; the prefix reaches the scan."""
+    """Notes below a folder; the vault source takes the prefix over and lists nothing else."""
     return notes.where(F.col("path").startswith(folder.rstrip("/") + "/")) if folder else notes
 
 
