@@ -63,7 +63,7 @@ class Vault:
         return self.notes.where(F.col("path") == self.resolve_path(path))
 
     def _around(self, path: str, depth: object, direction: str = "both") -> DataFrame:
-        return graph.neighborhood(link_ops.edges(self.notes), self._note(path).select("path"), depth, direction)
+        return graph.neighborhood(self.notes, self._note(path).select("path"), depth, direction)
 
     def _vector(self, text: str) -> list[float]:
         return [float(x) for x in self.embedder([text[:8_000]])[0]]

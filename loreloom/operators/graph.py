@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 from .catalog import positive
+from .links import factored, note_name
 
 MAX_DEPTH = 5
-
-
 #: A step's place among those of its note: outgoing before incoming, then by the link's position, then by path.
 STEP = "struct<kind:int,pos:int,path:string>"
 
 
-def adjacency(resolved: DataFrame, direction: str = "both") -> DataFrame:
-    """a, b, ambiguous, step: along (outgoing), against (incoming) or either way of the links."""
+def _steps(frontier: DataFrame, links: DataFrame, names: DataFrame, direction: str) -> DataFrame:
+    """path, trail, ambiguous: one step from the frontier (path, name, trail) along or against factored links.
 
-    def step(kind: int, pos, path: str):
-        return F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), F.col(path).alias("path")).alias("step")
+    Links to one name are reduced to the first of them before its notes are looked up, and
+    notes of one name before the links to it are: no pair of both is ever a row.
+    """
 
-    links = resolved.where(F.col("dst").isNotNull())
-    out = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "ambiguous", step(0, F.col("pos"), "dst"))
-    back = links.where("src <> dst").select("src", "dst").distinct().select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("ambiguous"), step(1, F.lit(0), "src"))
-    if direction not in ("outgoing", "incoming", "both"):
+    def step(path: str, kind: int, pos: str, ambiguous: str) -> list:
+        place = F.struct(F.lit(kind).alias("kind"), F.expr(pos).cast("int").alias("pos"), F.col(path).alias("path"))
+        return [F.col(path).alias("path"), F.concat("trail", F.array(place)).alias("trail"), F.expr(ambiguous).alias("ambiguous")]
+
+    parts = []
+    if direction in ("outgoing", "both"):
+        out = frontier.select(F.col("path").alias("src"), "trail").join(links, "src")
+        first = out.where("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("trail", "pos", (F.col("n_candidates") > 1).alias("ambiguous"))).alias("first"))
+        named = first.select("name", "first.trail", "first.pos", "first.ambiguous").join(names, "name")
+        parts += [out.where("exact IS NOT NULL").select(*step("exact", 0, "pos", "false")), named.select(*step("path", 0, "pos", "ambiguous"))]
+    if direction in ("incoming", "both"):
+        to_path = frontier.select(F.col("path").alias("exact"), "trail").join(links, "exact")
+        to_name = frontier.groupBy("name").agg(F.min("trail").alias("trail")).join(links, "name")
+        parts += [x.select(*step("src", 1, "0", "false")) for x in (to_path, to_name)]
+    if not parts:
         raise ValueError(f"direction: {direction}")
-    steps = {"outgoing": out, "incoming": back}.get(direction)
-    return out.unionByName(back) if steps is None else steps
+    return reduce(DataFrame.unionByName, parts)
 
 
-def neighborhood(resolved: DataFrame, starts: DataFrame, depth: object = 2, direction: str = "both", ordered: bool = False) -> DataFrame:
+def neighborhood(notes: DataFrame, starts: DataFrame, depth: object = 2, direction: str = "both", ordered: bool = False) -> DataFrame:
     """path, depth, ambiguous: each note within reach of ``starts`` (path), by its least depth.
 
     A note is ambiguous if the first step that reaches it is one of an ambiguous link. First
@@ -38,17 +50,18 @@ def neighborhood(resolved: DataFrame, starts: DataFrame, depth: object = 2, dire
     A note's ``trail`` (with ``ordered``) is that step after its note's trail: five steps at most,
     so trails order a level without gathering it.
 
-    The links are written to shared storage once. Each level joins its frontier with them
-    before anything is aggregated (a small one is broadcast by its written size) and drops
+    The factored links are written to shared storage once. Each level joins its frontier with
+    them before anything is aggregated (a small one is broadcast by its written size) and drops
     what was seen before; levels are written too, so that plans don't nest.
     """
-    steps = adjacency(cut(resolved.where(F.col("dst").isNotNull()).select("src", "pos", "dst", "ambiguous")), direction)
+    links = cut(factored(notes).where("n_candidates > 0").select("src", "pos", "exact", "name", "n_candidates"))
+    names = cut(notes.select("path", note_name().alias("name")))
     none = F.array().cast(f"array<{STEP}>")
     seen = starts.select("path", F.lit(0).alias("depth"), F.lit(False).alias("ambiguous"), none.alias("trail")).distinct()
     frontier = seen
     for level in range(1, min(positive(depth, 2), MAX_DEPTH) + 1):
-        trail = F.concat("trail", F.array("step")).alias("trail")
-        first = frontier.select(F.col("path").alias("a"), "trail").join(steps, "a").groupBy(F.col("b").alias("path")).agg(F.min(F.struct(trail, "ambiguous")).alias("first"))
+        steps = _steps(frontier.select("path", note_name().alias("name"), "trail"), links, names, direction)
+        first = steps.groupBy("path").agg(F.min(F.struct("trail", "ambiguous")).alias("first"))
         reached = first.select("path", F.lit(level).alias("depth"), "first.ambiguous", "first.trail")
         frontier = cut(reached.join(seen.select("path"), "path", "left_anti"))
         seen = seen.unionByName(frontier)

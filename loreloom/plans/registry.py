@@ -310,12 +310,12 @@ def weak_notes(spark, d):
 
 @query(LINKS + " SELECT src, pos, raw FROM resolved WHERE dst IS NULL AND NOT contains(raw, '.')")
 def broken_links(spark, d):
-    return links.broken(links.edges(_notes(spark, d))).withColumn("pos", F.col("pos").cast("long"))
+    return links.broken(links.factored(_notes(spark, d))).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(LINKS + " SELECT raw, min(src) AS src, max(n_candidates) AS n_candidates FROM resolved WHERE n_candidates > 1 GROUP BY raw")
 def ambiguous_links(spark, d):
-    return links.ambiguous(links.edges(_notes(spark, d))).withColumn("n_candidates", F.col("n_candidates").cast("long"))
+    return links.ambiguous(links.factored(_notes(spark, d))).withColumn("n_candidates", F.col("n_candidates").cast("long"))
 
 
 @query(LINKS + DEGREES + " SELECT path FROM degree WHERE outgoing = 0 AND incoming = 0 AND starts_with(path, '01-Projects/') ORDER BY path LIMIT 20")
@@ -338,7 +338,7 @@ def link_audit(spark, d):
 
 def _around(spark, d, depth, direction="both"):
     start = spark.createDataFrame([(_path(spark, d, 3),)], "path string")
-    return graph.neighborhood(links.edges(_notes(spark, d)), start, depth, direction)
+    return graph.neighborhood(_notes(spark, d), start, depth, direction)
 
 
 @query(LINKS + _levels(2) + " SELECT * FROM nodes")
@@ -376,7 +376,7 @@ def _walk(depth: int) -> str:
 def neighborhood_in_order(spark, d):
     """Whether the first step to each note is ambiguous, and the note's place in its level."""
     start = spark.createDataFrame([(_path(spark, d, 3),)], "path string")
-    nodes = graph.neighborhood(links.edges(_notes(spark, d)), start, 3, ordered=True)
+    nodes = graph.neighborhood(_notes(spark, d), start, 3, ordered=True)
     return nodes.select("path", "depth", "ambiguous", F.row_number().over(Window.partitionBy("depth").orderBy("trail")).cast("long").alias("place"))
 
 

@@ -117,8 +117,8 @@ def duplicates_by_text(notes: DataFrame, text: str, folder: str | None = None, l
 
 def link_audit(notes: DataFrame, folder: str | None = None) -> DataFrame:
     """check and its number of findings."""
-    resolved = cut(links.edges(notes))  # read, extracted and resolved once
-    degree = links.degrees(notes, folder, resolved)
-    found = {"orphans": links.orphans(degree), "weak": links.weak(degree), "broken": links.broken(resolved), "ambiguous": links.ambiguous(resolved)}
+    every = cut(links.factored(notes))  # read, extracted and resolved once
+    degree = links.degrees(notes, folder, every)
+    found = {"orphans": links.orphans(degree), "weak": links.weak(degree), "broken": links.broken(every), "ambiguous": links.ambiguous(every)}
     rows = [df.agg(F.count("*").alias("findings")).select(F.lit(c).alias("check"), "findings") for c, df in found.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])

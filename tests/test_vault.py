@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from loreloom.operators import catalog, events, graph, links, mutate, vector
 from loreloom.plans import reports
+from loreloom.sources.shared import cut
 from loreloom.sources.vault import read_vault
 from loreloom.streaming import refresh
 
@@ -88,13 +91,13 @@ def test_link_graph(spark, notes):
     assert to("weather") == ["beds/weather.md", "log/weather.md"] and to("away/soil") == to("SOIL") == ["garden/soil.md"] and to("raised#Filling") == ["beds/raised.md"]
     degree = {r.path: (r.outgoing, r.incoming) for r in links.degrees(notes).collect()}
     assert degree["garden/soil.md"] == (3, 2) and degree["garden/compost.md"] == (2, 2) and degree["beds/weather.md"] == (0, 1)
-    assert {r.raw for r in links.broken(resolved).collect()} == {"#Heat", "no such note"}
-    assert [(r.raw, r.n_candidates) for r in links.ambiguous(resolved).collect()] == [("weather", 2)]
+    assert {r.raw for r in links.broken(links.factored(notes)).collect()} == {"#Heat", "no such note"}
+    assert [(r.raw, r.n_candidates) for r in links.ambiguous(links.factored(notes)).collect()] == [("weather", 2)]
     assert paths(links.weak(links.degrees(notes))) == ["beds/weather.md"]
     start = spark.createDataFrame([("beds/raised.md",)], "path string")
-    around = {r.path: r.depth for r in graph.neighborhood(resolved, start, 2).collect()}
+    around = {r.path: r.depth for r in graph.neighborhood(notes, start, 2).collect()}
     assert around == {"beds/raised.md": 0, "garden/soil.md": 1, "garden/compost.md": 2}
-    assert {r.path for r in graph.neighborhood(resolved, start, 9, "outgoing").collect()} == {"beds/raised.md", "garden/soil.md", "garden/compost.md", "beds/weather.md", "log/weather.md"}
+    assert {r.path for r in graph.neighborhood(notes, start, 9, "outgoing").collect()} == {"beds/raised.md", "garden/soil.md", "garden/compost.md", "beds/weather.md", "log/weather.md"}
     assert {"todo/dig.md", "todo/rest.md", "todo/water.md"} <= set(paths(links.orphans(links.degrees(notes))))
 
 
@@ -440,3 +443,66 @@ def test_watcher_waits_for_a_path_to_settle_and_tells_of_deletes(spark, tmp_path
     finally:
         query.stop()
     assert len(list((tmp_path / "listings").iterdir())) <= 3
+
+
+def _most_rows(df):
+    """The greatest number of rows that any operator of a frame's executed plan gave."""
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        metric = plan.metrics().get("numOutputRows")
+        own = metric.get().value() if metric.isDefined() else 0
+        below = plan.children()
+        return max([own, *(walk(below.apply(i)) for i in range(below.size()))])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_links_to_a_hot_name_are_counted_without_their_pairs(spark):
+    m = 1500
+    rows = [(f"d{i}/hot.md", "") for i in range(m)] + [(f"s/{i}.md", f"[[hot]] then [[d{i}/hot]]") for i in range(m)]
+    rows += [("own/hot.md", "[[HOT]]"), ("t.md", "[[t]] [[nowhere]]")]
+    notes = spark.createDataFrame(rows, "path string, content string")
+    every = cut(links.factored(notes))
+    degree = links.degrees(notes, links=every)
+    assert _most_rows(degree) <= 10 * m
+    got = {r.path: (r.outgoing, r.incoming) for r in degree.collect()}
+    assert len(got) == len(rows) and got["d7/hot.md"] == (0, m + 1) and got["own/hot.md"] == (1, m) and got["s/7.md"] == (2, 0) and got["t.md"] == (1, 0)
+    assert [(r.raw, r.src, r.n_candidates) for r in links.ambiguous(every).orderBy("raw").collect()] == [("HOT", "own/hot.md", m + 1), ("hot", "s/0.md", m + 1)]
+    assert [r.raw for r in links.broken(every).collect()] == ["nowhere"]
+    assert links.linking_to(notes, "d7/hot.md").count() == m + 1 and links.linking_to(notes, "e/hot.md").count() == 0
+    start = spark.createDataFrame([("s/3.md",)], "path string")
+    steps = graph._steps(start.select("path", links.note_name().alias("name"), F.array().cast(f"array<{graph.STEP}>").alias("trail")), every, notes.select("path", links.note_name().alias("name")), "both")
+    assert _most_rows(steps) <= 10 * m
+    around = graph.neighborhood(notes, start, 2)
+    assert {(r.depth, r.ambiguous, r["count"]) for r in around.groupBy("depth", "ambiguous").count().collect()} == {(0, False, 1), (1, True, m + 1), (2, False, m - 1)}
+
+
+def test_factored_links_agree_with_a_walk(spark):
+    rng = random.Random(5)
+    names = ["a.md", "b.md", "A.md", "x/a.md", "y/a.md", "x/b.md", "y/c.md", "z/c.md", "e.md", "f.md", "z/g.md"]
+    for _ in range(2):
+        texts = {p: " ".join(f"[[{rng.choice(['a', 'b', 'C', 'x/a', 'y/a.md', 'x/nope', 'e#h', 'f', 'G', 'e', '#h'])}]]" for _ in range(rng.randrange(4))) for p in names}
+        notes = spark.createDataFrame(list(texts.items()), "path string, content string").repartition(3)
+        leads = {p: [] for p in names}
+        for r in links.edges(notes).where("dst IS NOT NULL").collect():
+            leads[r.src].append((r.pos, r.dst, r.ambiguous))
+        into = {p: sorted({q for q in names if q != p and any(d == p for _, d, _ in leads[q])}) for p in names}
+        got = {r.path: (r.outgoing, r.incoming) for r in links.degrees(notes).collect()}
+        assert got == {p: (len({x[0] for x in leads[p]}), len(into[p])) for p in names}
+        for direction in ("outgoing", "incoming", "both"):
+            first, queue = {"a.md": (0, False)}, ["a.md"]
+            for p in queue:
+                steps = [(d, amb) for _, d, amb in sorted(leads[p])] if direction != "incoming" else []
+                steps += [(q, False) for q in into[p]] if direction != "outgoing" else []
+                for q, amb in steps:
+                    if q not in first and first[p][0] < 3:
+                        first[q] = (first[p][0] + 1, amb)
+                        queue.append(q)
+            near = graph.neighborhood(notes, spark.createDataFrame([("a.md",)], "path string"), 3, direction)
+            assert {r.path: (r.depth, r.ambiguous) for r in near.collect()} == first
