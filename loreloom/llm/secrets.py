@@ -3,11 +3,13 @@
 Three patterns give the base spans; two character Markov models add what they miss. One
 model is of random strings, one of ordinary words and identifiers; a candidate, a run of
 ``MIN_RUN`` or more token characters, is a secret where the log-likelihood ratio of its
-adjacent characters is ``MIN_RATIO`` or more.
+adjacent characters is ``MIN_RATIO`` or more and ``MIN_RATE`` or more a pair, as a whole or in a
+part between separators. UUIDs in it, and runs of numbers alone (dates, telephone
+numbers), are ordinary.
 
 Training: random strings are made by rule (hex, base 64 and base 62 of digests); ordinary
-ones are ``IDENTIFIERS`` and the words of at most ``SAMPLE`` documents, taken by the hash
-of their text, with base matches removed and cased as words are, alone and joined as
+ones are ``IDENTIFIERS`` (also where names meet numbers) and the words of at most ``SAMPLE`` documents, taken by the hash
+of their text, with base matches and candidates removed and cased as words are, alone and joined as
 identifiers are. Counting is a Spark
 aggregation; the driver gets one row a pair of characters at most. Scoring looks ratios
 up in a constant array. All documents are scanned, whole.
@@ -15,7 +17,8 @@ up in a constant array. All documents are scanned, whole.
 Defined results: a null text counts as empty; spans are in code points, end exclusive,
 ordered by start, then kind (assign, access, hex, markov); candidates are cut at the edges
 of base spans, and what is left outside them is scored if it still has ``MIN_RUN``
-characters; repeated rows each keep a row; other columns are ignored.
+characters; repeated rows each keep a row; other columns are ignored; an empty table gives
+no rows; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import keyword
 import math
 import sys
 from collections.abc import Iterable
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +45,21 @@ KINDS = (*(k for k, *_ in BASE), "markov")
 MIN_RUN = 12
 RUN = rf"((?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{MIN_RUN},}})"  # looking back first, each run is tried once
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-"
-MIN_RATIO, BACKED = 20.0, 10.0
+#: A secret's least log-likelihood ratio, in all and for each pair of characters.
+MIN_RATIO, MIN_RATE, BACKED = 20.0, 1.2, 10.0
+#: Characters for each separator from which a run is scored as a whole, too: names have more of them than random strings.
+APART = 8
+#: Identifiers made of random digits by a public rule, which are no secrets; and runs of numbers, as in dates, times and telephone numbers.
+UUID, NUMBERS = "(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", "^[0-9TZ_+/-]*$"
 SAMPLE = 500
-#: Ordinary whatever the documents hold: public names, numbers, and rules drawn with one character.
+NAMES = sorted({*sys.stdlib_module_names, *keyword.kwlist, *dir(builtins), *dir(F), *dir(str)})
+#: How names meet numbers in paths, versions and identifiers: two letters before, then these with numbers and two letters.
+FORMS = ("{0}", "_{0}_{1}", "-{2}-{0}/{1}{2}", "/{1}{2}{1}", "{2}{1}_{0}")
+#: Ordinary whatever the documents hold: public names, where names meet numbers, dates, numbers, and rules drawn with one character.
 IDENTIFIERS = [
-    *sorted({*sys.stdlib_module_names, *keyword.kwlist, *dir(builtins), *dir(F), *dir(str)}),
+    *NAMES,
+    *(a[-2:] + FORMS[i % len(FORMS)].format(i % 97, b[:2], i % 10) for i, (a, b) in enumerate(pairwise(NAMES))),
+    *(f"{2000 + i % 40}-{i % 12 + 1:02}-{i % 28 + 1:02}T{i % 24:02}-{i % 60:02}-{i * 7 % 60:02}Z" for i in range(500)),
     *(str(i * 7919) for i in range(500)),
     *(c * (800 if c in "-_/+" else 160) for c in ALPHABET),
 ]
@@ -97,7 +111,7 @@ def labelled_strings(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame,
     plain = F.col("text")
     for _, pattern, *_ in BASE:
         plain = F.regexp_replace(plain, pattern, " ")
-    usual = F.filter(F.regexp_extract_all(plain, F.lit("([A-Za-z0-9]{3,})"), F.lit(1)), lambda x: x.rlike("^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"))
+    usual = F.filter(F.regexp_extract_all(plain, F.lit("([A-Za-z0-9]{3,})"), F.lit(1)), lambda x: (F.length(x) < MIN_RUN) & x.rlike("^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"))
     words = few.select(usual.alias("w")).where(F.size("w") > 1)
     joined = F.transform(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("x"), F.slice("w", 2, F.size("w") - 1).alias("y")), lambda p: F.element_at(F.array(*(F.concat_ws(j, p["x"], p["y"]) for j in "_-/"), F.concat(p["x"], F.initcap(p["y"])), F.upper(F.concat_ws("_", p["x"], p["y"]))), (F.pmod(F.hash(p["x"]), F.lit(5)) + 1).cast("int")))
     names = spark.createDataFrame([(x,) for x in IDENTIFIERS], "s string").coalesce(1)
@@ -137,6 +151,21 @@ def ratio(string: Column, table: Column) -> Column:
     return F.aggregate(pair, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
+def is_secret(run: Column, table: Column) -> Column:
+    """Whether a run, or a part of it between separators, is random enough, in all and for each pair.
+
+    A long ordinary run adds up to MIN_RATIO in time, so the rate counts too. Parts count as a
+    secret may end a long path; a run with many separators counts by its parts alone.
+    """
+
+    def random(s: Column) -> Column:
+        return (F.length(s) >= MIN_RUN) & (ratio(s, table) >= F.greatest(F.lit(MIN_RATIO), MIN_RATE * (F.length(s) - 1)))
+
+    rest = F.regexp_replace(run, UUID, "/")
+    dense = APART * F.length(F.regexp_replace(rest, "[^_+/-]", "")) <= F.length(rest)
+    return ~rest.rlike(NUMBERS) & ((dense & random(rest)) | F.exists(F.split(rest, "[_+/-]"), random))
+
+
 def _outside(run: Column, base: Column) -> Column:
     """The parts of a run between the base spans (ordered) that overlap it, as far as they have MIN_RUN characters."""
     start = F.struct(run["start"].alias("at"), F.array().cast(RUNS).alias("parts"))
@@ -163,10 +192,10 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] =
         rows = rows.withColumn(kind, _matches(F.col("text"), pattern, group, least, rank))
     rows = rows.withColumn("base", F.array_sort(F.concat(*(kind for kind, *_ in BASE))))
     # Runs need places only where one is a secret, or a base span may cut one.
-    secret = F.exists(F.regexp_extract_all("text", F.lit(RUN), F.lit(1)), lambda r: ratio(r, table) >= MIN_RATIO)
+    secret = F.exists(F.regexp_extract_all("text", F.lit(RUN), F.lit(1)), lambda r: is_secret(r, table))
     rows = rows.withColumn("runs", F.when((F.size("base") > 0) | secret, _matches(F.col("text"), RUN, 1, MIN_RUN, len(BASE), texts=True)).otherwise(F.array().cast(RUNS)))
     apart = F.when(F.size("base") > 0, F.flatten(F.transform("runs", lambda r: _outside(r, F.col("base"))))).otherwise(F.col("runs"))
-    added = F.transform(F.filter(apart, lambda r: ratio(r["s"], table) >= MIN_RATIO), lambda r: F.struct(r["start"], r["rank"], r["end"]))
+    added = F.transform(F.filter(apart, lambda r: is_secret(r["s"], table)), lambda r: F.struct(r["start"], r["rank"], r["end"]))
     return rows.withColumn("spans", F.array_sort(F.concat("base", added))).select("doc_id", *keep, "text", "base", "spans", *(kind for kind, *_ in BASE))
 
 

@@ -7,6 +7,7 @@ import pickle
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +20,7 @@ from tokenizers import Tokenizer
 from loreloom.llm import decontaminate, pieces, secrets, token_files
 from loreloom.llm.staging import shared_dir
 
+from ..conftest import DATA
 from .conftest import words
 
 BPE, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -184,6 +186,54 @@ def test_an_index_of_items_is_a_few_times_their_text():
     assert len(pickle.dumps(decontaminate.Index(items))) < 8 * sum(len(t) for _, t in items)
 
 
+def ordinary_strings(rng):
+    """Twenty ordinary strings of each of ten kinds, by kind."""
+    words = "garden water stone bridge market winter signal copper vector window shadow button packet stream border harvest lantern meadow thunder voyage".split()
+
+    def w(n, case=str):
+        return [case(x) for x in rng.choices(words, k=n)]
+
+    def d(n):
+        return "".join(rng.choices("0123456789", k=n))
+
+    kinds = {
+        "uuid": lambda: "-".join("".join(rng.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12)),
+        "time": lambda: f"20{d(2)}-0{rng.randrange(1, 10)}-1{d(1)}T1{d(1)}-{d(2)}-{d(2)}",
+        "phone": lambda: f"+{d(2)}-{d(2)}-{d(7)}",
+        "isbn": lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
+        "path": lambda: f"/{'/'.join(w(3))}64/lib{w(1)[0]}-{d(1)}",
+        "snake": lambda: f"{'_'.join(w(3))}_{d(3)}",
+        "camel": lambda: f"{w(1)[0]}{''.join(w(2, str.title))}{d(1)}",
+        "version": lambda: f"{w(1)[0]}-{w(1)[0]}-{d(1)}_{d(2)}_{d(1)}-{d(2)}ubuntu{d(1)}",
+        "constant": lambda: f"{'_'.join(w(2, str.upper))}_{d(2)}_{w(1, str.upper)[0]}",
+        "joined": lambda: f"{w(1)[0]}{d(1)}{w(1)[0]}-{w(1)[0]}{d(2)}",
+    }
+    return {kind: [make() for _ in range(20)] for kind, make in kinds.items()}
+
+
+def test_ordinary_mixed_strings_are_no_secrets(spark):
+    rng = random.Random(11)
+    strings = [x for made in ordinary_strings(rng).values() for x in made]
+    rows = [(i, f"we saw {x} here") for i, x in enumerate(strings)]
+    rows += [(1000 + i, " ".join(rng.choices("the garden has water and stone near an old bridge with signal lamps".split(), k=30))) for i in range(50)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "base", "spans").collect()
+    marked = [strings[r.doc_id] for r in found if len(r.spans) > len(r.base)]
+    assert len(marked) <= 2, marked
+
+
+def test_random_strings_are_secrets_whatever_their_ends(spark):
+    rng = random.Random(12)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    least = {("base62", 12): 0.9, ("base62", 20): 0.97, ("base64url", 20): 0.9, ("lower and digits", 16): 0.9, ("lower", 20): 0.8}
+    alphabets = {"base62": lower + upper + digits, "base64url": lower + upper + digits + "-_", "lower and digits": lower + digits, "lower": lower}
+    planted = [(kind, n, "".join(rng.choices(alphabets[kind], k=n))) for kind, n in least for _ in range(100)]
+    usual = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 4000").orderBy("doc_id").limit(100).select("text").collect()]
+    rows = [(i, f"{usual[i % len(usual)]} key {x}") for i, (_, _, x) in enumerate(planted)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.transform("spans", lambda s: F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"])).alias("spans")).collect()
+    caught = Counter(planted[r.doc_id][:2] for r in found if any(len(set(s) & set(planted[r.doc_id][2])) > 5 and s in planted[r.doc_id][2] for s in r.spans))
+    assert all(caught[k] >= 100 * v for k, v in least.items()), caught
+
+
 def test_markov_spans_of_planted_strings(spark):
     """Recall by length of random strings without a keyword, and precision among ordinary words and identifiers."""
     rng = random.Random(9)
