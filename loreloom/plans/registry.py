@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.frontmatter import parsed, with_meta
-from ..operators import catalog, chunking, events, graph, links, mutate, reading, vector
+from ..operators import batch, catalog, chunking, events, graph, links, mutate, reading, vector
 from ..sources import derived
 from ..sources.shared import shared_folder
 from ..streaming import refresh
@@ -635,6 +635,59 @@ def triage_hints(spark, d):
     return reports.triage(_notes(spark, d), _touched(spark, d), "2024-01-05")
 
 
+_COMMITS = (
+    ", tok AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 4) AS w FROM benchmark), c AS (SELECT DISTINCT id, unnest(w) AS word FROM tok)"
+    ", n AS (SELECT v.path, list_filter(regexp_extract_all(lower(v.text), '[a-z]+'), lambda x: length(x) >= 4)[1:2] AS w, v.doc_id, v.status, v.priority FROM vault v WHERE type = 'task' AND status IN ('active', 'pending'))"
+    ", nw AS (SELECT doc_id, unnest(w) AS word FROM n)"
+    ", h AS (SELECT nw.doc_id, max('2024-01-' || lpad(CAST(1 + c.id * 7 % 20 AS VARCHAR), 2, '0')) AS last_commit FROM nw JOIN c ON c.word = nw.word GROUP BY nw.doc_id)"
+)
+
+
+@query(_COMMITS + " SELECT '01-Projects/tasks/' || array_to_string(w, '-') || '-' || n.doc_id || '.md' AS path, status, last_commit, CASE WHEN last_commit IS NOT NULL THEN 'git commits' END AS commit_hint, CAST(NULL AS VARCHAR) AS hint FROM n LEFT JOIN h ON h.doc_id = n.doc_id")
+def triage_commits(spark, d):
+    """Open tasks named by words of their texts, with the benchmark's items as messages of commits."""
+    words = F.slice(F.filter(F.regexp_extract_all(F.lower(F.regexp_extract("content", r"(?s)\n## Text\n\n(.*)\n\n## Links\n", 1)), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) >= 4), 1, 2)
+    name = F.concat(F.lit("01-Projects/tasks/"), F.array_join(words, "-"), F.lit("-"), F.regexp_extract("content", r"\n# Doc (\d+)\n", 1), F.lit(".md"))
+    day = F.lpad((1 + F.col("item_id") * 7 % 20).cast("string"), 2, "0")
+    commits = spark.read.parquet(f"{d}/benchmark.parquet").select(F.concat(F.lit("2024-01-"), day).alias("timestamp"), F.col("text").alias("message"))
+    notes = _notes(spark, d).withColumn("path", name)
+    return reports.triage(notes, spark.createDataFrame([], events.SCHEMA), "2024-01-01", commits).select("path", "status", "last_commit", "commit_hint", "hint")
+
+
+_DECIDED = (
+    ", decided AS (SELECT path, doc_id, content, status AS was, CASE doc_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'active' ELSE 'finished' END AS value, type FROM vault WHERE doc_id % 2 = 0"
+    " UNION ALL SELECT path, doc_id, content, status, 'cancelled', type FROM vault WHERE doc_id % 20 = 0"
+    " UNION ALL SELECT 'gone/' || doc_id || '.md', doc_id, NULL, NULL, 'done', NULL FROM vault WHERE doc_id % 50 = 3)"
+    ", said AS (SELECT *, CASE WHEN content IS NULL THEN 'not found' WHEN doc_id % 20 = 0 THEN 'conflict' WHEN value = 'finished' AND type = 'task' THEN 'refused' WHEN value = was THEN 'unchanged' ELSE 'applied' END AS outcome FROM decided)"
+)
+
+
+@query(_DECIDED + " SELECT path, value, outcome, CASE WHEN outcome IN ('applied', 'unchanged') THEN value ELSE was END AS status, outcome IN ('applied', 'unchanged') AND value = 'done' AND NOT contains(content, '**Completed**') AS completed FROM said")
+def batch_status(spark, d):
+    """Statuses of half of all notes set in one pass: decided, decided twice, refused, unchanged, not found."""
+    notes = _notes(spark, d).withColumn("doc", F.regexp_extract("content", r"\n# Doc (\d+)\n", 1).cast("long"))
+    value = F.element_at(F.array(F.lit("done"), F.lit("active"), F.lit("finished")), (1 + F.col("doc") % 3).cast("int"))
+    decided = notes.where("doc % 2 = 0").select("path", value.alias("status"))
+    decided = decided.unionByName(notes.where("doc % 20 = 0").select("path", F.lit("cancelled").alias("status")))
+    decided = decided.unionByName(notes.where("doc % 50 = 3").select(F.concat(F.lit("gone/"), "doc", F.lit(".md")).alias("path"), F.lit("done").alias("status")))
+    changed, outcomes = batch.set_statuses(notes, decided, "2026-01-01")
+    after = with_meta(batch.replaced(notes.select("path", "content"), changed)).select("path", "meta.status", F.col("content").endswith("\n\n**Completed**: 2026-01-01\n").alias("ended"))
+    outcome = F.when(F.col("outcome").contains("is no status"), "refused").otherwise(F.col("outcome"))
+    done = F.coalesce("ended", F.lit(False)) & (F.col("value") == "done")
+    return outcomes.join(after, "path", "left").select("path", "value", outcome.alias("outcome"), "status", done.alias("completed"))
+
+
+@query(" SELECT path, 0::BIGINT AS pos, 'applied' AS outcome, sha256(encode(replace(replace(content, '### Topics', '### Themes'), '## Links' || chr(10), CASE WHEN (length(content) - length(replace(content, '## Links' || chr(10), ''))) / 9 = 1 THEN '## Ways' || chr(10) ELSE '## Links' || chr(10) END))) AS digest FROM vault WHERE doc_id % 3 = 0 UNION ALL SELECT path, 1, CASE WHEN (length(content) - length(replace(content, '## Links' || chr(10), ''))) / 9 = 1 THEN 'applied' ELSE CAST(CAST((length(content) - length(replace(content, '## Links' || chr(10), ''))) / 9 AS BIGINT) AS VARCHAR) || ' matches' END, NULL FROM vault WHERE doc_id % 3 = 0 UNION ALL SELECT path, 2, '0 matches', NULL FROM vault WHERE doc_id % 3 = 0")
+def batch_edit(spark, d):
+    """Three replacements in a third of all notes; the last asks for what the first took away."""
+    notes = _notes(spark, d)
+    third = notes.where(F.regexp_extract("content", r"\n# Doc (\d+)\n", 1).cast("long") % 3 == 0)
+    asked = F.array(*(F.struct(F.lit(i).cast("long").alias("pos"), F.lit(a).alias("old"), F.lit(b).alias("new")) for i, (a, b) in enumerate([("### Topics", "### Themes"), ("## Links\n", "## Ways\n"), ("### Topics", "x")])))
+    changed, said = batch.replace_texts(notes, third.select("path", F.inline(asked)))
+    digests = changed.select("path", F.lit(0).cast("long").alias("pos"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    return said.join(digests, ["path", "pos"], "left")
+
+
 @query(" SELECT 'doc-' || doc_id AS name, '05-Templates/doc-' || doc_id || '.md' AS path, 'Doc ' || doc_id AS description, type FROM vault WHERE type = 'adr'")
 def template_scan(spark, d):
     adr = F.col("content").contains("\ntype: adr\n")

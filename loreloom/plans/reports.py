@@ -20,6 +20,8 @@ PROJECTS = "01-Projects/"
 
 #: Tools that change a note.
 WRITERS = ("vault_update_frontmatter", "vault_edit", "vault_append")
+#: Tasks over which the names that share a word are dealt.
+SALTS = 8
 
 
 def annotated_project(text: str) -> str | None:
@@ -83,17 +85,39 @@ def session_summary(context: DataFrame, files: DataFrame, notes: DataFrame) -> D
     return one.crossJoin(F.broadcast(files.agg(F.count("*").alias("indexed")))).crossJoin(F.broadcast(notes.agg(F.count("*").alias("notes"))))  # single rows
 
 
-def triage(notes: DataFrame, log: DataFrame, since: str = "") -> DataFrame:
+def commit_hints(paths: DataFrame, commits: DataFrame) -> DataFrame:
+    """path and last_commit of the notes of whose names a word appears in a commit's message.
+
+    commits: timestamp, message. A name's words are its runs of letters, digits and ``_`` of four
+    characters or more, without regard to case; a message has those that are runs of its own. The
+    messages of a word are reduced to the latest before anything is joined, and words in very
+    many names are dealt over ``SALTS`` tasks, so neither makes pairs of names and messages.
+    """
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) >= 4)))
+    named = paths.select("path", words(basename(F.col("path"))).alias("word"))
+    said = commits.select("timestamp", words(F.col("message")).alias("word")).groupBy("word").agg(F.max("timestamp").alias("last_commit"))
+    met = said.join(named.select("word").distinct(), "word", "left_semi")
+    salted = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = named.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["word", "salt"]).groupBy("path").agg(F.max("last_commit").alias("last_commit"))
+
+
+def triage(notes: DataFrame, log: DataFrame, since: str = "", commits: DataFrame | None = None) -> DataFrame:
     """Open tasks, active before pending, urgent first, with the changes that the log has of their paths since then.
 
-    path, title, status, priority, rank, changes, last_change, hint (recently updated, or null).
+    path, title, status, priority, rank, changes, last_change, hint (recently updated, or null);
+    with commits (timestamp, message) also last_commit since then and commit_hint (git commits, or null).
     """
     rank = F.coalesce(*(F.when(F.col("priority") == k, v) for k, v in PRIORITY.items()))
     own = log.where(F.col("tool_name").isin(*WRITERS) & (F.col("timestamp") >= since)).select(F.get_json_object("args_json", "$.path").alias("path"), "timestamp")
     changes = own.where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("changes"), F.max("timestamp").alias("last_change"))
     rows = open_tasks(notes).withColumn("rank", rank).join(changes, "path", "left")
+    more = []
+    if commits is not None:
+        rows = rows.join(commit_hints(notes.select("path"), commits.where(F.col("timestamp") >= since)), "path", "left")
+        more = ["last_commit", F.when(F.col("last_commit").isNotNull(), "git commits").alias("commit_hint")]
     hint = F.when(F.col("changes") > 0, "recently updated").alias("hint")
-    return rows.select("path", "title", "status", "priority", "rank", F.coalesce("changes", F.lit(0)).alias("changes"), "last_change", hint).orderBy((F.col("status") == "pending").asc(), F.desc("rank"), "path")
+    return rows.select("path", "title", "status", "priority", "rank", F.coalesce("changes", F.lit(0)).alias("changes"), "last_change", hint, *more).orderBy((F.col("status") == "pending").asc(), F.desc("rank"), "path")
 
 
 def gap_analysis(hits: DataFrame, nodes: DataFrame) -> DataFrame:
