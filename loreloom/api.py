@@ -6,6 +6,11 @@ new frames, which the caller writes. Arguments carry the tools' names and defaul
 
 from __future__ import annotations
 
+import functools
+import inspect
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +30,31 @@ def _only(asked: str, found: list[tuple[str, bool]]) -> str:
     raise ValueError(f"{asked} is ambiguous: {', '.join(f for f, _ in found)}{', ...' if len(found) == SHOWN else ''}")
 
 
+def tool(f: Callable) -> Callable:
+    """A method whose calls a stored log gets before they run. A log that can't be written warns and stops no call."""
+    signature = inspect.signature(f)
+
+    @functools.wraps(f)
+    def call(self: Vault, *args, **kwargs):
+        if isinstance(self.log, events.ActivityLog):
+            given = dict(signature.bind(self, *args, **kwargs).arguments)
+            given |= {k: v for name, p in signature.parameters.items() if p.kind is p.VAR_KEYWORD for k, v in given.pop(name, {}).items()}
+            try:
+                self.log.record(f"vault_{f.__name__}", {k: v for k, v in given.items() if k != "self"})
+            except Exception as e:  # noqa: BLE001
+                warnings.warn(f"activity log: {e}", stacklevel=2)
+        return f(self, *args, **kwargs)
+
+    return call
+
+
 class Vault:
-    """notes: path, content, mtime_ms, size. chunks and log are optional, as is another embedder."""
+    """notes: path, content, mtime_ms, size. chunks and log are optional, as is another embedder.
+
+    A log that is an ActivityLog also gets each call of a tool, apart from ``activity`` itself.
+    """
 
-    def __init__(self, notes: DataFrame, chunks: DataFrame | None = None, log: DataFrame | None = None, embedder: vector.Embedder | None = None):
+    def __init__(self, notes: DataFrame, chunks: DataFrame | None = None, log: DataFrame | events.ActivityLog | None = None, embedder: vector.Embedder | None = None):
         self.notes, self.chunks, self.log, self.embedder = notes, chunks, log, embedder or vector.hash_embedder()
 
     # --- finding notes and folders
@@ -75,32 +101,41 @@ class Vault:
 
     # --- reading
 
+    @tool
     def read(self, path: str, heading=None, tail=None, tail_sections=None, section_level: int = 2, chunk=None, lines=None, force: bool = False) -> DataFrame:
         return reading.read(self._note(path), heading, tail, tail_sections, section_level, chunk, lines, force)
 
+    @tool
     def peek(self, path: str) -> DataFrame:
         return reading.peek(self._note(path))
 
+    @tool
     def search(self, query: str, folder: str | None = None, limit: object = 10) -> DataFrame:
         return catalog.search(self.notes, query, self.resolve_folder(folder), limit)
 
+    @tool
     def list(self, path: str = "", recursive: bool = False, pattern: str | None = None) -> DataFrame:
         return catalog.list_directory(self.notes, path, recursive, pattern)
 
+    @tool
     def recent(self, limit: object = 10, folder: str | None = None) -> DataFrame:
         return catalog.recent(self.notes, limit, self.resolve_folder(folder))
 
+    @tool
     def query(self, folder: str | None = None, limit: object = 50, sort_by: str | None = None, sort_order: str = "asc", **filters) -> DataFrame:
         return catalog.query(self.notes, self.resolve_folder(folder), limit, sort_by, sort_order, **filters)
 
+    @tool
     def tags(self, folder: str | None = None, pattern: str | None = None, include_inline: bool = False) -> DataFrame:
         return catalog.tag_counts(self.notes, self.resolve_folder(folder), pattern, include_inline)
 
     # --- links and graph
 
+    @tool
     def links(self, path: str, direction: str = "both") -> DataFrame:
         return link_ops.note_links(self.notes, self.resolve_path(path), direction)
 
+    @tool
     def neighborhood(self, path: str, depth: object = 2, direction: str = "both", include_semantic: bool = False, semantic_limit: int = 5) -> DataFrame:
         """path, depth, ambiguous, meta; with include_semantic also score, of near notes outside (their depth is null)."""
         nodes = self._around(path, depth, direction)
@@ -119,11 +154,13 @@ class Vault:
         far = vector.unlinked(hits, nodes).orderBy(F.desc("score"), "path").limit(semantic_limit)
         return catalog.with_meta(self.notes.join(F.broadcast(far), "path")).select("path", "score", "preview", "meta")  # a few hits
 
+    @tool
     def link_health(self, folder: str | None = None, checks: tuple[str, ...] = link_ops.CHECKS, limit: int = 20) -> dict[str, DataFrame]:
         return link_ops.health(self.notes, self.resolve_folder(folder), tuple(checks), limit)
 
     # --- meaning
 
+    @tool
     def semantic_search(self, query: str, limit: int = 5, folder: str | None = None, threshold: float | None = None, anchor: str | None = None, graph_weight: float = 0.3) -> DataFrame:
         folder, vec = self.resolve_folder(folder), self._vector(query)
         if anchor is None:
@@ -132,6 +169,7 @@ class Vault:
         hits = vector.search_raw(self._chunks(), vec, 2 * limit, folder, threshold, [path])
         return vector.blend(hits, self._around(path, 3), graph_weight, limit)
 
+    @tool
     def suggest_links(self, content: str | None = None, path: str | None = None, limit: int = 5, folder: str | None = None, threshold: float | None = None, graph_context: bool = False) -> DataFrame:
         if not content and not path:
             raise ValueError("content or path is needed")
@@ -150,15 +188,21 @@ class Vault:
     # --- activity
 
     def activity(self, action: str = "query", **args) -> DataFrame:
-        """Entries that match (query), or what clearing would leave (clear)."""
+        """Entries that match (query), or what clearing leaves (clear); a stored log is cleared, another only shown so."""
         if self.log is None:
             raise RuntimeError("no activity log")
+        if isinstance(self.log, events.ActivityLog):
+            if action != "clear":
+                return self.log.query(**args)
+            self.log.clear(**args)
+            return self.log.read()
         if action == "clear":
             return events.kept_after_clear(self.log, **args)
         return events.query(self.log, **args)
 
     # --- changes; each returns the new notes
 
+    @tool
     def write(self, path: str, template: str, variables: dict | None = None, frontmatter: dict | None = None) -> DataFrame:
         """A note from the template of this name in 05-Templates."""
         row = self.notes.where(F.col("path") == f"05-Templates/{template.removesuffix('.md')}.md").select("content").first()
@@ -167,21 +211,27 @@ class Vault:
         title = path.rsplit("/", 1)[-1].removesuffix(".md")
         return mutate.write(self.notes, path, mutate.rendered(row.content, title, variables, frontmatter))
 
+    @tool
     def append(self, path: str, content: str, heading: str | None = None, position: str | None = None) -> DataFrame:
         return mutate.append(self.notes, path, content, heading, position)
 
+    @tool
     def edit(self, path: str, old_string: str, new_string: str) -> DataFrame:
         return mutate.edit(self.notes, path, old_string, new_string)
 
+    @tool
     def update_frontmatter(self, path: str, fields: dict) -> DataFrame:
         return mutate.update_frontmatter(self.notes, path, fields)
 
+    @tool
     def move(self, old_path: str, new_path: str, update_links: bool = True) -> DataFrame:
         return mutate.move(self.notes, old_path, new_path, update_links)
 
+    @tool
     def trash(self, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         return mutate.trash(self.notes, path)
 
+    @tool
     def add_links(self, path: str, links: list[dict], section: str = "## Related", create_section: bool = True) -> DataFrame:
         rows = [(path, i, x["target"], x.get("annotation")) for i, x in enumerate(links)]
         wanted = self.notes.sparkSession.createDataFrame(rows, "path string, pos int, target string, annotation string")

@@ -467,6 +467,17 @@ def activity_clear_keep(spark, d):
     return events.kept_after_clear(derived.activity(spark, d), tool="view", before="2024-01-15").select("id", "timestamp")
 
 
+@query(_LOG + " SELECT id, \"timestamp\", tool_name FROM log WHERE NOT (tool_name = 'view' AND \"timestamp\" < '2024-01-15') AND \"timestamp\" >= '2024-01-10' AND \"timestamp\" <= '2024-01-20T12' ORDER BY \"timestamp\" DESC, id DESC LIMIT 500")
+def activity_log(spark, d):
+    """The stored log: three appends, a clear, a merge; then the latest entries of ten days."""
+    log, rows = events.ActivityLog(spark, shared_folder(spark, "activity")), derived.activity(spark, d)
+    for i in range(3):
+        log.append(rows.where(F.col("id") % 3 == i))
+    log.clear(tool="view", before="2024-01-15")
+    log.compact()
+    return log.query(500, since="2024-01-10", before="2024-01-20T12").select("id", "timestamp", "tool_name")
+
+
 # --- index, chunks, mutations ------------------------------------------------------------------------
 
 _FILES = ", files AS (SELECT path, CASE WHEN doc_id % 5 = 2 THEN mtime_ms - 1 ELSE mtime_ms END AS mtime_ms FROM vault WHERE doc_id % 7 <> 3 UNION ALL SELECT 'gone/' || doc_id || '.md', 1 FROM vault WHERE doc_id % 9 = 4)"

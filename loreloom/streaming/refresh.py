@@ -9,14 +9,11 @@ manifest: which folders hold for each bucket, and since when. Readers take the f
 the last manifest, and of each path the rows of the latest version. A bucket with more than
 ``DELTAS`` folders is merged into one.
 
-A manifest is complete before it gets its name, and storage gives a name only once: of two
-writers that want the same version one takes the next, after reading what the other did.
-So no reader, lost executor or repeated batch meets a half-written index.
+Manifests are those of ``versions``: two writers never take the same version.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
@@ -30,10 +27,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.chunking import note_chunks
 from ..operators.vector import Embedder, embedded, hash_embedder
 from ..sources.vault import SCHEMA as NOTES
+from .versions import Conflict as Conflict
+from .versions import Versions
 
 FILES = "path string, mtime_ms long, content_hash string, chunk_count long, updated_at string"
-#: Folders of a bucket from which it is merged, and versions that a writer tries to take.
-DELTAS, TRIES = 8, 20
+#: Folders of a bucket from which it is merged.
+DELTAS = 8
 CHUNKS = "id long, file_path string, chunk_index int, heading string, text string, content_preview string, embedding array<float>"
 
 
@@ -65,64 +64,15 @@ def stats(notes: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("indexed_files"), F.max("updated_at").alias("last_sync")).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("total_chunks")))).crossJoin(F.broadcast(notes.agg(F.count("*").alias("vault_files"))))  # single rows
 
 
-class Conflict(RuntimeError):
-    """Other writers took every version that this one tried to."""
-
-
-class Index:
+class Index(Versions):
     """An index in a folder of shared storage; any number of writers and readers may use it."""
 
     def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, buckets: int = 64):
-        self.spark, self.folder, self.embedder, self.buckets = spark, folder.rstrip("/"), embedder, buckets
-
-    # --- manifests
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-
-    def _store(self):
-        path = self._path("")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        """The number of the last manifest; 0 where there is none."""
-        folder, store = self._path("versions"), self._store()
-        names = [s.getPath().getName() for s in store.listStatus(folder)] if store.exists(folder) else []
-        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != "."), default=0)
-
-    def _manifest(self, version: int) -> dict:
-        """``live``: for each bucket its folders and their versions, oldest first."""
-        if not version:
-            return {"version": 0, "buckets": self.buckets, "live": {}}
-        return json.loads(self.spark.read.text(f"{self.folder}/versions/{version:012}.json", wholetext=True).first()[0])
-
-    def _take(self, manifest: dict) -> bool:
-        """Give the manifest its version's name, unless another has it."""
-        jvm, store = self.spark._jvm, self._store()
-        name = f"versions/{manifest['version']:012}.json"
-        draft, final = self._path(f"versions/.{uuid.uuid4().hex}"), self._path(name)
-        out = store.create(draft, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        try:
-            # FileContext's rename never replaces what is there, and is one step on file systems that have one.
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Exception as e:
-            store.delete(draft, False)
-            if "FileAlreadyExists" in str(e):
-                return False
-            raise
-        return True
-
-    def _commit(self, change: Callable[[dict], None]) -> int:
-        """Apply a change to the last manifest and store it as the next version."""
-        for _ in range(TRIES):
-            manifest = self._manifest(self.version())
-            manifest |= {"version": manifest["version"] + 1, "at": datetime.now(UTC).isoformat()}
-            change(manifest)
-            if self._take(manifest):
-                return manifest["version"]
-        raise Conflict(self.folder)
+        super().__init__(spark, folder)
+        self.embedder, self.buckets = embedder, buckets
+
+    def _first(self) -> dict:
+        return {"buckets": self.buckets}
 
     # --- reading
 
@@ -202,29 +152,10 @@ class Index:
 
         def replace(manifest: dict) -> None:
             for b, folders in old.items():
-                if manifest["live"].get(b, [])[: len(folders)] != folders:
-                    raise Conflict(f"bucket {b} was merged by another")
-                merged = [[read, name, ["files", *["chunks"] * (b in chunked)]]] if b in filed else []
-                manifest["live"][b] = merged + manifest["live"][b][len(folders) :]
+                self._merge(manifest, b, folders, [[read, name, ["files", *["chunks"] * (b in chunked)]]] if b in filed else [])
 
         return self._commit(replace)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete all but the last ``keep`` versions and the folders that none of them reads; how many folders went.
-
-        For times without writers: a folder that isn't in a manifest yet counts as unread.
-        """
-        last, store, gone = self.version(), self._store(), 0
-        kept = [v for v in range(max(1, last - keep + 1), last + 1)]
-        read = {name for v in kept for folders in self._manifest(v)["live"].values() for _, name, _ in folders}
-        for status in store.listStatus(self._path("data")) if last else []:
-            if status.getPath().getName() not in read:
-                gone += store.delete(status.getPath(), True)
-        for status in store.listStatus(self._path("versions")) if last else []:
-            if status.getPath().getName() < f"{kept[0]:012}":
-                store.delete(status.getPath(), False)
-        return gone
-
     def sync(self, notes: DataFrame) -> int:
         """Bring the index to a snapshot of all notes: new, changed and deleted ones."""
         files = self.files()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from loreloom.operators import batch, mutate
+from loreloom.api import Vault
+from loreloom.operators import batch, events, mutate
 from loreloom.plans import reports
 
 TASK = "---\ntype: task\nstatus: {0}\ncreated: 2026-01-01\ntags: [a]\n---\nwork\n"
@@ -69,3 +72,50 @@ def test_commit_hints(spark):
     commits = spark.createDataFrame([("2026-01-01", "feat: Cache, finally"), ("2026-01-03", "add LAYER to it"), ("2026-01-02", "fix: rename_repo"), ("2026-01-04", None)], "timestamp string, message string")
     assert [tuple(r) for r in reports.commit_hints(paths, commits).collect()] == [("p/add-cache-layer.md", "2026-01-03")]
     assert reports.commit_hints(paths, commits.limit(0)).count() == 0
+
+
+def test_stored_log_prunes_days_and_keeps_what_others_add(spark, tmp_path):
+    log = events.ActivityLog(spark, f"file://{tmp_path}/log", "s")
+    rows = [(i, f"2024-05-{1 + i % 9:02}T0{i % 7}:00:00.000Z", f"s{i % 2}", "read" if i % 3 else "edit", "{}") for i in range(90)] + [(90, None, "s1", "read", None), (91, "soon", None, "edit", "{}")]
+    frame = lambda some: spark.createDataFrame(some, events.SCHEMA)
+    for i in range(3):
+        log.append(frame(rows[i::3]))
+    assert log.append(frame([])) == 3
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(log.read()) == list(range(92))
+    some = log.read("2024-05-03T03", "2024-05-04")
+    assert {f.split("day=")[1].split("/")[0] for f in some.inputFiles()} == {"2024-05-03", "2024-05-04", "undated"}
+    for args in ({"since": "2024-05-03T03"}, {"before": "2024-05-04"}, {"since": "2024-05-02", "before": "2024-05-02T05"}, {"tool": "edit"}, {"since": "2024"}, {"before": "2024-05"}):
+        assert ids(log.query(500, **args)) == ids(events.query(frame(rows), 500, **args))
+    whole = {str(f) for f in tmp_path.rglob("*.parquet")}
+    left = ids(events.kept_after_clear(frame(rows), tool="edit", before="2024-05-02T03"))
+    assert log.clear(tool="edit", before="2024-05-02T03") == 92 - len(left) and ids(log.read()) == left
+    assert {f.split("day=")[1].split("/")[0] for f in {str(f) for f in tmp_path.rglob("*.parquet")} - whole} <= {"2024-05-01", "2024-05-02"}
+    assert log.compact() and ids(log.read()) == left and log.vacuum() > 0 and ids(log.read()) == left
+    taking = log._take
+
+    def late(manifest):
+        log._take = taking
+        events.ActivityLog(spark, f"file://{tmp_path}/log").append(frame([(99, "2024-05-05", "s", "edit", "{}")]))
+        return taking(manifest)
+
+    log._take = late
+    assert log.clear(tool="edit") > 0 and [r.id for r in log.read().where("tool_name = 'edit'").collect()] == [99]
+    with pytest.raises(ValueError, match="condition"):
+        log.clear()
+    assert log.clear(everything=True) and ids(log.read()) == [] and log.clear(everything=True) == 0
+
+
+def test_tools_are_logged_before_they_run(spark, tasks, tmp_path):
+    log = events.ActivityLog(spark, f"file://{tmp_path}/calls", "me")
+    v = Vault(tasks.withColumn("mtime_ms", F.lit(1)).withColumn("size", F.lit(1)), log=log)
+    v.query(type="task", limit=3)
+    v.search("work", limit=2)
+    with pytest.raises(FileNotFoundError):
+        v.read("none")
+    got = [(r.tool_name, json.loads(r.args_json)) for r in v.activity(session="ME").collect()]
+    assert got == [("vault_read", {"path": "none"}), ("vault_search", {"query": "work", "limit": 2}), ("vault_query", {"type": "task", "limit": 3})]
+    assert {r.tool_name for r in v.activity("clear", tool="vault_read").collect()} == {"vault_search", "vault_query"}
+    log.folder = "nowhere://x"
+    with pytest.warns(UserWarning, match="activity log"):
+        assert v.peek("t/a.md").count() == 1
