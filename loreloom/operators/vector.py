@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,14 +33,58 @@ def hash_embedder(dim: int = 256) -> Embedder:
     return embed
 
 
+class Busy(RuntimeError):
+    """The embedding service asks to come back later."""
+
+
+class Refused(ValueError):
+    """The embedding service can't embed a text of the batch."""
+
+
+def served(call: Callable[[list[str], float], list[tuple[int, list[float]]]], batch: int = 128, tries: int = 3, timeout: float = 30.0, wait: Callable[[float], None] = time.sleep) -> Embedder:
+    """An embedder that asks a service for ``batch`` texts at a time.
+
+    ``call(texts, timeout)`` gives the vectors with the place of their text, in any order. Where it
+    is Busy or takes longer than ``timeout`` seconds (TimeoutError), it is asked again after 1, 2,
+    4, ... seconds, ``tries`` times in all. An answer that leaves a text out, or has one twice, is an error.
+    """
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        for attempt in range(tries):
+            try:
+                found = sorted(call(texts, timeout), key=lambda x: x[0])
+            except (Busy, TimeoutError):
+                if attempt + 1 == tries:
+                    raise
+                wait(2.0**attempt)
+                continue
+            if [i for i, _ in found] != list(range(len(texts))):
+                raise RuntimeError(f"{len(found)} vectors for {len(texts)} texts, or not one for each")
+            return [v for _, v in found]
+        raise ValueError("tries: at least one")
+
+    return lambda texts: np.asarray([v for i in range(0, len(texts), batch) for v in ask(texts[i : i + batch])], float)
+
+
+def _sound(embedder: Embedder, texts: list[str]) -> list[np.ndarray | None]:
+    """The vectors of texts, None for those that the service refuses: a refused batch is halved until these are alone."""
+    try:
+        return [v.astype(np.float32) for v in embedder(texts)]
+    except Refused:
+        if len(texts) == 1:
+            return [None]
+        half = len(texts) // 2
+        return _sound(embedder, texts[:half]) + _sound(embedder, texts[half:])
+
+
 def embedded(rows: DataFrame, text: str, embedder: Embedder, batch: int = 128) -> DataFrame:
-    """The rows with ``embedding``, made by an embedder in batches; a failed batch fails its task, which Spark repeats."""
+    """The rows with ``embedding``, made by an embedder in batches; null for a text that is refused. Any other failure fails the task, which Spark repeats."""
 
     @F.pandas_udf("array<float>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             texts = part.fillna("").tolist()
-            vectors = [v.astype(np.float32) for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])]
+            vectors = [v for i in range(0, len(texts), batch) for v in _sound(embedder, texts[i : i + batch])]
             yield pd.Series(vectors, index=part.index, dtype=object)
 
     return rows.withColumn("embedding", embed(text))

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -67,6 +67,8 @@ def stats(notes: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
 class Index(Versions):
     """An index in a folder of shared storage; any number of writers and readers may use it."""
 
+    TABLE, ROWS = "chunks", CHUNKS
+
     def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, buckets: int = 64):
         super().__init__(spark, folder)
         self.embedder, self.buckets = embedder, buckets
@@ -74,6 +76,21 @@ class Index(Versions):
     def _first(self) -> dict:
         return {"buckets": self.buckets}
 
+    # --- what the table holds of a note
+
+    def _made(self, fresh: DataFrame) -> DataFrame:
+        """The rows of fresh notes."""
+        return indexed(fresh, self.embedder)
+
+    def _counted(self, fresh: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The fresh notes that get into the index, and how many rows each has (path, chunk_count)."""
+        counts = made.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"), F.bool_or(F.col("embedding").isNull()).alias("refused"))
+        return fresh.join(counts.where("refused").select("path"), "path", "left_anti"), counts.drop("refused")
+
+    def _empty(self) -> Column:
+        """Whether a note with this chunk_count is dropped."""
+        return F.col("chunk_count").isNull()
+
     # --- reading
 
     def _rows(self, table: str, schema: str, manifest: dict, buckets: Iterable[str] | None = None) -> DataFrame:
@@ -94,9 +111,9 @@ class Index(Versions):
         return rows.groupBy("path").agg(F.max_by(whole, "version").alias("row"), F.max("version").alias("version")).select("path", "row.*", "version")
 
     def _held(self, manifest: dict, buckets: Iterable[str] | None = None) -> DataFrame:
-        """The chunks that hold."""
+        """The table's rows that hold."""
         last = self._latest(manifest, buckets).where("NOT gone").select(F.col("path").alias("file_path"), "version")
-        return self._rows("chunks", CHUNKS, manifest, buckets).join(last, ["file_path", "version"]).select(*(x.split()[0] for x in CHUNKS.split(", ")))
+        return self._rows(self.TABLE, self.ROWS, manifest, buckets).join(last, ["file_path", "version"]).select(*(x.split()[0] for x in self.ROWS.split(", ")))
 
     def files(self, version: int | None = None) -> DataFrame:
         return self._latest(self._manifest(self.version() if version is None else version)).where("NOT gone").drop("gone", "version")
@@ -110,19 +127,20 @@ class Index(Versions):
         """Write rows to the buckets they touch and name these."""
         bucket = F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
         to = f"data/{name}/{table}"
-        rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
+        rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", rows.columns[0]).write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
         return [n.removeprefix("bucket=") for n in (s.getPath().getName() for s in self._store().listStatus(self._path(to))) if n.startswith("bucket=")]
 
     def apply(self, fresh: DataFrame, removed: DataFrame) -> int:
         """Index fresh notes (with content_hash) in place of their rows, and drop removed paths; the version that has this.
 
-        A note without chunks is dropped. Only fresh notes are embedded. Where nothing changes, nothing stays written.
+        A note without chunks is dropped. Only fresh notes are embedded; one of which the embedder
+        refuses a chunk keeps its rows as they were, and the next refresh tries it again. Where nothing changes, nothing stays written.
         """
         name, buckets = uuid.uuid4().hex, self._manifest(self.version())["buckets"]
-        chunked = self._written("chunks", indexed(fresh, self.embedder), "file_path", name, buckets)
-        made = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/data/{name}/chunks") if chunked else self.spark.createDataFrame([], CHUNKS)
-        counts = made.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
-        own = fresh.join(counts, "path", "left").select("path", "mtime_ms", "content_hash", "chunk_count", F.lit(datetime.now(UTC).isoformat()).alias("updated_at"), F.col("chunk_count").isNull().alias("gone"))
+        chunked = self._written(self.TABLE, self._made(fresh), "file_path", name, buckets)
+        made = self.spark.read.schema(self.ROWS).parquet(f"{self.folder}/data/{name}/{self.TABLE}") if chunked else self.spark.createDataFrame([], self.ROWS)
+        fresh, counts = self._counted(fresh, made)
+        own = fresh.join(counts, "path", "left").select("path", "mtime_ms", "content_hash", "chunk_count", F.lit(datetime.now(UTC).isoformat()).alias("updated_at"), self._empty().alias("gone"))
         away = removed.select("path").distinct().join(fresh.select("path"), "path", "left_anti")
         touched = self._written("files", own.unionByName(away.withColumn("gone", F.lit(True)), allowMissingColumns=True), "path", name, buckets)
         if not touched:
@@ -131,7 +149,7 @@ class Index(Versions):
 
         def add(manifest: dict) -> None:
             for b in touched:
-                manifest["live"].setdefault(b, []).append([manifest["version"], name, ["files", *["chunks"] * (b in chunked)]])
+                manifest["live"].setdefault(b, []).append([manifest["version"], name, ["files", *[self.TABLE] * (b in chunked)]])
 
         version = self._commit(add)
         return self.compact(DELTAS) or version
@@ -147,12 +165,12 @@ class Index(Versions):
         if not old:
             return None
         name = uuid.uuid4().hex
-        chunked = self._written("chunks", self._held(manifest, old), "file_path", name, manifest["buckets"])
+        chunked = self._written(self.TABLE, self._held(manifest, old), "file_path", name, manifest["buckets"])
         filed = self._written("files", self._latest(manifest, old).where("NOT gone").drop("version"), "path", name, manifest["buckets"])
 
         def replace(manifest: dict) -> None:
             for b, folders in old.items():
-                self._merge(manifest, b, folders, [[read, name, ["files", *["chunks"] * (b in chunked)]]] if b in filed else [])
+                self._merge(manifest, b, folders, [[read, name, ["files", *[self.TABLE] * (b in chunked)]]] if b in filed else [])
 
         return self._commit(replace)
 

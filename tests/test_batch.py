@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from loreloom.api import Vault
-from loreloom.operators import batch, events, mutate
+from loreloom.operators import batch, events, mutate, vector
 from loreloom.plans import reports
+from loreloom.streaming import refresh, text_index
 
 TASK = "---\ntype: task\nstatus: {0}\ncreated: 2026-01-01\ntags: [a]\n---\nwork\n"
 
@@ -119,3 +121,67 @@ def test_tools_are_logged_before_they_run(spark, tasks, tmp_path):
     log.folder = "nowhere://x"
     with pytest.warns(UserWarning, match="activity log"):
         assert v.peek("t/a.md").count() == 1
+
+
+def test_service_is_asked_again_and_answers_are_put_in_order():
+    asked, waits = [], []
+
+    def call(texts, timeout):
+        asked.append(len(texts))
+        if len(asked) in (1, 2):
+            raise vector.Busy if len(asked) == 1 else TimeoutError
+        return [(i, [float(len(t))]) for i, t in reversed(list(enumerate(texts)))]
+
+    embed = vector.served(call, batch=3, wait=waits.append)
+    assert embed(["a", "bb", "ccc", "dddd"]).tolist() == [[1], [2], [3], [4]]
+    assert asked == [3, 3, 3, 1] and waits == [1, 2]
+
+    def busy(texts, timeout):
+        raise vector.Busy
+
+    with pytest.raises(vector.Busy):
+        vector.served(busy, wait=waits.append)(["a"])
+    assert waits == [1, 2, 1, 2]
+    with pytest.raises(RuntimeError, match="not one for each"):
+        vector.served(lambda texts, timeout: [(0, [1.0])] * 2)(["a", "b"])
+
+
+def test_one_refused_note_is_skipped_and_tried_again(spark, tmp_path):
+    sound = vector.hash_embedder(8)
+
+    def flaky(word):
+        def call(texts, timeout):
+            if any(word in t for t in texts):
+                raise vector.Refused(word)
+            return list(enumerate(sound(texts).tolist()))[::-1]
+
+        return vector.served(call)
+
+    schema = "path string, content string, mtime_ms long, size long"
+    rows = [(f"n{i}.md", f"note {i}", 1, 1) for i in range(20)]
+    index = refresh.Index(spark, f"file://{tmp_path}/ix", flaky("note 7"), 4)
+    index.sync(spark.createDataFrame(rows, schema))
+    got = {r.file_path: r.embedding for r in index.chunks().collect()}
+    assert set(got) == {r[0] for r in rows} - {"n7.md"}
+    index.embedder = flaky("note x")
+    index.sync(spark.createDataFrame([*rows[:3], ("n3.md", "note x", 2, 1), *rows[4:]], schema))
+    held = {r.file_path: (r.text, r.embedding) for r in index.chunks().collect()}
+    assert set(held) == {r[0] for r in rows} and held["n3.md"][0].endswith("note 3")
+    assert all(held[k][1] == pytest.approx(sound([held[k][0]])[0].tolist(), abs=1e-6) for k in held)
+
+
+def test_text_index_agrees_with_a_scan(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("abcAB \n\U0001f600é") for _ in range(rng.randrange(60)))
+    rows = [(f"f{i % 3}/n{i}.md", text(), 1, 1) for i in range(60)] + [("e.md", "", 1, 0), ("s.md", "ab", 1, 2)]
+    schema = "path string, content string, mtime_ms long, size long"
+    index = text_index.TextIndex(spark, f"file://{tmp_path}/ix", buckets=2)
+    index.sync(spark.createDataFrame(rows, schema))
+    rows[:5] = [(p, c[::-1] + "zzz", 2, 1) for p, c, _, _ in rows[:5]]
+    notes = spark.createDataFrame(rows[:-3] + rows[-2:], schema)
+    assert index.sync(notes) == 2 and index.sync(notes) == 2
+    for q, folder in (("ab ", None), ("A\U0001f600", None), ("zzz", "f1"), ("BÉA", None), ("ab", "f2"), ("\U0001f600éb", None)):
+        want = sorted(p for p, c, _, _ in notes.select("*").collect() if q.lower() in c.lower() and (folder is None or p.startswith(folder + "/")))
+        assert sorted({r.path for r in index.search(notes, q, folder, 100).collect()}) == want
+        near = index.candidates(q, folder)
+        assert near is None or set(want) <= {r.path for r in near.collect()} and near.count() < 50
