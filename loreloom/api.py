@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .functions.text import basename, body
 from .operators import catalog, events, graph, mutate, reading, vector
 from .operators import links as link_ops
+from .streaming.link_index import LinkIndex
+from .streaming.text_index import TextIndex
 
 
 #: Candidates that an error names; the first two decide whether there is only one.
@@ -52,10 +54,12 @@ class Vault:
     """notes: path, content, mtime_ms, size. chunks and log are optional, as is another embedder.
 
     A log that is an ActivityLog also gets each call of a tool, apart from ``activity`` itself.
+    Where there is a LinkIndex or a TextIndex of these notes, neighbourhoods and search read it.
     """
 
-    def __init__(self, notes: DataFrame, chunks: DataFrame | None = None, log: DataFrame | events.ActivityLog | None = None, embedder: vector.Embedder | None = None):
+    def __init__(self, notes: DataFrame, chunks: DataFrame | None = None, log: DataFrame | events.ActivityLog | None = None, embedder: vector.Embedder | None = None, stored_links: LinkIndex | None = None, pieces: TextIndex | None = None):
         self.notes, self.chunks, self.log, self.embedder = notes, chunks, log, embedder or vector.hash_embedder()
+        self.stored_links, self.pieces = stored_links, pieces
 
     # --- finding notes and folders
 
@@ -89,7 +93,8 @@ class Vault:
         return self.notes.where(F.col("path") == self.resolve_path(path))
 
     def _around(self, path: str, depth: object, direction: str = "both") -> DataFrame:
-        return graph.neighborhood(self.notes, self._note(path).select("path"), depth, direction)
+        start = self._note(path).select("path")
+        return self.stored_links.neighborhood(start, depth, direction) if self.stored_links else graph.neighborhood(self.notes, start, depth, direction)
 
     def _vector(self, text: str) -> list[float]:
         return [float(x) for x in self.embedder([text[:8_000]])[0]]
@@ -111,7 +116,8 @@ class Vault:
 
     @tool
     def search(self, query: str, folder: str | None = None, limit: object = 10) -> DataFrame:
-        return catalog.search(self.notes, query, self.resolve_folder(folder), limit)
+        look = self.pieces.search if self.pieces else catalog.search
+        return look(self.notes, query, self.resolve_folder(folder), limit)
 
     @tool
     def list(self, path: str = "", recursive: bool = False, pattern: str | None = None) -> DataFrame:

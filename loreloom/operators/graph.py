@@ -42,7 +42,28 @@ def _steps(frontier: DataFrame, links: DataFrame, names: DataFrame, direction: s
     return reduce(DataFrame.unionByName, parts)
 
 
-def neighborhood(notes: DataFrame, starts: DataFrame, depth: object = 2, direction: str = "both", ordered: bool = False) -> DataFrame:
+def _touched(frontier: DataFrame, links: DataFrame, names: DataFrame, direction: str) -> DataFrame:
+    """Factored links that leave the frontier (path, name) or may lead to it, of stored links (with ``target``, the name they ask for).
+
+    A link leads only to notes with the name that it asks for, so only these are looked at.
+    """
+    parts = []
+    if direction in ("outgoing", "both"):
+        parts.append(links.join(frontier.select(F.col("path").alias("src")).distinct(), "src", "left_semi").select(*links.columns))
+    if direction in ("incoming", "both"):
+        parts.append(links.join(frontier.select(F.col("name").alias("target")).distinct(), "target", "left_semi").select(*links.columns))
+    if not parts:
+        raise ValueError(f"direction: {direction}")
+    own = cut(reduce(DataFrame.unionByName, parts).dropDuplicates(["src", "pos"]))
+    near = names.join(own.select(F.col("target").alias("name")).distinct(), "name", "left_semi")
+    return cut(_factored(near, own))
+
+
+def _factored(notes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    return factored(notes, links=links).where("n_candidates > 0").select("src", "pos", "exact", "name", "n_candidates")
+
+
+def neighborhood(notes: DataFrame, starts: DataFrame, depth: object = 2, direction: str = "both", ordered: bool = False, stored: DataFrame | None = None) -> DataFrame:
     """path, depth, ambiguous: each note within reach of ``starts`` (path), by its least depth.
 
     A note is ambiguous if the first step that reaches it is one of an ambiguous link. First
@@ -53,14 +74,18 @@ def neighborhood(notes: DataFrame, starts: DataFrame, depth: object = 2, directi
     The factored links are written to shared storage once. Each level joins its frontier with
     them before anything is aggregated (a small one is broadcast by its written size) and drops
     what was seen before; levels are written too, so that plans don't nest.
+
+    With ``stored``, the links of a LinkIndex, no content is read (notes: path) and each level resolves
+    only the links that leave its frontier or may lead to it.
     """
-    links = cut(factored(notes).where("n_candidates > 0").select("src", "pos", "exact", "name", "n_candidates"))
+    links = cut(_factored(notes)) if stored is None else None
     names = cut(notes.select("path", note_name().alias("name")))
     none = F.array().cast(f"array<{STEP}>")
     seen = starts.select("path", F.lit(0).alias("depth"), F.lit(False).alias("ambiguous"), none.alias("trail")).distinct()
     frontier = seen
     for level in range(1, min(positive(depth, 2), MAX_DEPTH) + 1):
-        steps = _steps(frontier.select("path", note_name().alias("name"), "trail"), links, names, direction)
+        at = frontier.select("path", note_name().alias("name"), "trail")
+        steps = _steps(at, _touched(at, stored, names, direction) if links is None else links, names, direction)
         first = steps.groupBy("path").agg(F.min(F.struct("trail", "ambiguous")).alias("first"))
         reached = first.select("path", F.lit(level).alias("depth"), "first.ambiguous", "first.trail")
         frontier = cut(reached.join(seen.select("path"), "path", "left_anti"))

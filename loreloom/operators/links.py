@@ -30,16 +30,17 @@ def note_name(path: str = "path") -> Column:
     return F.lower(basename(F.col(path)))
 
 
-def factored(notes: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+def factored(notes: DataFrame, scope: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """src, pos, raw, cleaned, exact, name, n_candidates: one row a link, however many notes it leads to.
 
     A link leads to the note ``exact``, or else to all notes with ``name``, or nowhere (both null,
     no candidate). What counts links or notes works on these rows; m links to a name of n
     notes never become m * n rows unless their paths are asked for (``resolve``). Both joins have one
     row a key on their right, so a key that many links share is split at runtime on the left;
-    links without a key have values of their own.
+    links without a key have values of their own. ``links`` are those of ``outgoing``, where they are stored.
     """
-    links = outgoing(notes if scope is None else scope).withColumn("want", _want())
+    found = outgoing(notes if scope is None else scope) if links is None else links
+    links = found.select("src", "pos", "raw", "cleaned", _want().alias("want"))
     rows = links.join(notes.select(F.col("path").alias("want"), F.col("path").alias("exact")), "want", "left").drop("want")
     rows = rows.withColumn("key", F.when(F.col("exact").isNull() & (F.col("cleaned") != ""), note_name("cleaned")).otherwise(_own()))
     names = notes.select(note_name().alias("name")).groupBy("name").agg(F.count("*").cast("int").alias("same_name"))

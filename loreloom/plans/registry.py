@@ -17,7 +17,7 @@ from ..functions.frontmatter import parsed, with_meta
 from ..operators import batch, catalog, chunking, events, graph, links, mutate, reading, vector
 from ..sources import derived
 from ..sources.shared import shared_folder
-from ..streaming import refresh, text_index
+from ..streaming import link_index, refresh, text_index
 from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,6 +395,18 @@ def neighborhood_in_order(spark, d):
     return nodes.select("path", "depth", "ambiguous", F.row_number().over(Window.partitionBy("depth").orderBy("trail")).cast("long").alias("place"))
 
 
+@query(LINKS + _walk(3) + " SELECT path, depth, ambiguous, row_number() OVER (PARTITION BY depth ORDER BY trail) AS place FROM walk")
+def neighborhood_stored(spark, d):
+    """The same from stored links, after a refresh with other links and one that mends them."""
+    notes = _notes(spark, d)
+    index = link_index.LinkIndex(spark, shared_folder(spark, "links"), buckets=16)
+    other = F.when(F.col("mtime_ms") % 3000 == 0, F.concat("content", F.lit("[[doc-3]]"))).otherwise(F.col("content"))
+    index.sync(notes.select("path", other.alias("content"), (F.col("mtime_ms") - 1).alias("mtime_ms"), "size"))
+    index.sync(notes)
+    nodes = index.neighborhood(spark.createDataFrame([(_path(spark, d, 3),)], "path string"), 3, ordered=True)
+    return nodes.select("path", "depth", "ambiguous", F.row_number().over(Window.partitionBy("depth").orderBy("trail")).cast("long").alias("place"))
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 

@@ -200,6 +200,16 @@ class Index(Versions):
         return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class PartIndex(Index):
+    """An index of parts of notes that aren't embedded; it also holds notes without any."""
+
+    def _counted(self, fresh: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return fresh, made.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
+
+    def _empty(self) -> Column:
+        return F.lit(False)
+
+
 def settled(changes: DataFrame, wait_ms: int = 2_000) -> DataFrame:
     """The last row of each path, once no other has come for ``wait_ms``: a timer for every path.
 

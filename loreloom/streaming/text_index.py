@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bound
 from ..operators import catalog
-from .refresh import Index
+from .refresh import PartIndex
 
 GRAM = 3
 #: Candidates up to which their paths are a condition on the notes, which a source of files takes over; more are joined.
@@ -36,20 +36,14 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.coalesce(own, F.array().cast("array<bigint>")))
 
 
-class TextIndex(Index):
-    """An index of the pieces of all notes, also of those without any."""
+class TextIndex(PartIndex):
+    """An index of the pieces of all notes."""
 
     TABLE, ROWS = "grams", "gram long, file_path string"
 
     def _made(self, fresh: DataFrame) -> DataFrame:
         return fresh.select(F.explode(grams(F.col("content"))).alias("gram"), F.col("path").alias("file_path"))
 
-    def _counted(self, fresh: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return fresh, made.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
-
-    def _empty(self) -> Column:
-        return F.lit(False)
-
     def candidates(self, query: str, folder: str | None = None) -> DataFrame | None:
         """path of the indexed notes that have every piece of the text; None where it has none."""
         text = query.lower()

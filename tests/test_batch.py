@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreloom.api import Vault
-from loreloom.operators import batch, events, mutate, vector
+from loreloom.operators import batch, events, graph, mutate, vector
 from loreloom.plans import reports
-from loreloom.streaming import refresh, text_index
+from loreloom.streaming import link_index, refresh, text_index
 
 TASK = "---\ntype: task\nstatus: {0}\ncreated: 2026-01-01\ntags: [a]\n---\nwork\n"
 
@@ -185,3 +185,29 @@ def test_text_index_agrees_with_a_scan(spark, tmp_path):
         assert sorted({r.path for r in index.search(notes, q, folder, 100).collect()}) == want
         near = index.candidates(q, folder)
         assert near is None or set(want) <= {r.path for r in near.collect()} and near.count() < 50
+
+
+def test_stored_links_give_the_same_neighbourhoods_without_contents(spark, tmp_path):
+    rng = random.Random(9)
+    names = [f"{'abc'[i % 3]}/{'n' if i % 4 else 'N'}{i // 3}.md" for i in range(24)]
+
+    def text():
+        ends = [rng.choice(names).removesuffix(".md") for _ in range(rng.randrange(3))]
+        return " ".join(f"[[{rng.choice([e, e.split('/')[1], e.split('/')[1].upper(), e + '.md', e + '#h', 'no', ' '])}]]" for e in ends)
+
+    rows = [(p, text(), 1, 1) for p in names]
+    schema = "path string, content string, mtime_ms long, size long"
+    index = link_index.LinkIndex(spark, f"file://{tmp_path}/ix", buckets=2)
+    index.sync(spark.createDataFrame(rows[:-4], schema))
+    rows[0] = (names[0], f"[[n1]] [[{names[5]}]]", 2, 1)
+    notes = spark.createDataFrame([r for r in rows if r[0] != names[3]], schema)
+    index.sync(notes)
+    start = notes.where(F.col("path") == names[0]).select("path")
+    for direction, depth in (("both", 3), ("outgoing", 4), ("incoming", 4)):
+        want = graph.neighborhood(notes, start, depth, direction, ordered=True)
+        got = index.neighborhood(start, depth, direction, ordered=True)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    v = Vault(notes, stored_links=index)
+    assert {(r.path, r.depth) for r in v.neighborhood(names[0]).collect()} == {(r.path, r.depth) for r in graph.neighborhood(notes, start).collect()}
+    with pytest.raises(ValueError, match="direction"):
+        index.neighborhood(start, 1, "up")

@@ -17,7 +17,7 @@ from loreloom.sources import derived
 
 from .conftest import DATA
 
-SOME = ["indexed_text_search", "activity_log", "triage_commits", "batch_status", "batch_edit", "neighborhood_in_order", "index_log", "search_lines_top3", "tags_pattern_forms", "health_folder_checks", "append_before_heading", "append_plain", "project_context", "project_context_texts", "session_summary", "short_note_chunks", "triage_hints", "template_scan", "light_frontmatter", "folder_size", "duplicate_check_by_text", "link_audit", "query_sort_priority_desc", "query_created_before", "tags_pattern", "peek_metrics", "link_resolution", "degree", "neighborhood_out", "neighborhood_both", "orphans", "weak_notes", "broken_links", "ambiguous_links", "files_linking_to", "anchor_blend", "activity_filtered", "index_diff", "move_rewrite", "add_links_decisions", "update_frontmatter"]
+SOME = ["neighborhood_stored", "indexed_text_search", "activity_log", "triage_commits", "batch_status", "batch_edit", "neighborhood_in_order", "index_log", "search_lines_top3", "tags_pattern_forms", "health_folder_checks", "append_before_heading", "append_plain", "project_context", "project_context_texts", "session_summary", "short_note_chunks", "triage_hints", "template_scan", "light_frontmatter", "folder_size", "duplicate_check_by_text", "link_audit", "query_sort_priority_desc", "query_created_before", "tags_pattern", "peek_metrics", "link_resolution", "degree", "neighborhood_out", "neighborhood_both", "orphans", "weak_notes", "broken_links", "ambiguous_links", "files_linking_to", "anchor_blend", "activity_filtered", "index_diff", "move_rewrite", "add_links_decisions", "update_frontmatter"]
 
 
 @pytest.fixture(scope="module")
