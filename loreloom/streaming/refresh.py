@@ -124,10 +124,10 @@ class Index(Versions):
     # --- writing
 
     def _written(self, table: str, rows: DataFrame, path: str, name: str, buckets: int) -> list[str]:
-        """Write rows to the buckets they touch and name these."""
+        """Write rows to the buckets they touch and name these; a bucket with very many rows is split over tasks."""
         bucket = F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
         to = f"data/{name}/{table}"
-        rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", rows.columns[0]).write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
+        rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", rows.columns[0]).write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
         return [n.removeprefix("bucket=") for n in (s.getPath().getName() for s in self._store().listStatus(self._path(to))) if n.startswith("bucket=")]
 
     def apply(self, fresh: DataFrame, removed: DataFrame) -> int:
