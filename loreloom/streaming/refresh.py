@@ -82,6 +82,10 @@ class Index(Versions):
         """The rows of fresh notes."""
         return indexed(fresh, self.embedder)
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Rows as they are stored, of those that are exchanged."""
+        return rows
+
     def _counted(self, fresh: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The fresh notes that get into the index, and how many rows each has (path, chunk_count)."""
         counts = made.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"), F.bool_or(F.col("embedding").isNull()).alias("refused"))
@@ -127,7 +131,8 @@ class Index(Versions):
         """Write rows to the buckets they touch and name these; a bucket with very many rows is split over tasks."""
         bucket = F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
         to = f"data/{name}/{table}"
-        rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", rows.columns[0]).write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
+        placed = self._spread(rows.withColumn("bucket", bucket).hint("rebalance", "bucket"))
+        placed.sortWithinPartitions("bucket", placed.columns[0]).write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
         return [n.removeprefix("bucket=") for n in (s.getPath().getName() for s in self._store().listStatus(self._path(to))) if n.startswith("bucket=")]
 
     def apply(self, fresh: DataFrame, removed: DataFrame) -> int:

@@ -5,8 +5,8 @@ postings say for each such piece, by its hash, which notes have it; those with a
 the text are candidates, and the search proper looks at no others. So results are those of a
 search of all notes, whatever the hashes do.
 
-A note has a row for each of its distinct pieces: few for prose, and at most its length. Rows of
-a bucket are sorted by piece, so that a reader skips most row groups of a file.
+A note has a row for each of its distinct pieces: few for prose, and at most its length. A note
+is exchanged as one row and its pieces become rows where they are written. Rows of a bucket are sorted by piece, so that a reader skips most row groups of a file.
 """
 
 from __future__ import annotations
@@ -30,19 +30,22 @@ def grams(text: Column) -> Column:
 
     def pieces(c: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(c) - (GRAM - 1))
-        return F.transform(starts, lambda i: F.xxhash64(F.concat(*(F.element_at(c, i + k) for k in range(GRAM)))))
+        return F.transform(starts, lambda i: F.hash(*(F.element_at(c, i + k) for k in range(GRAM))))
 
     own = bound(F.split(F.lower(text), ""), lambda c: F.when(F.size(c) >= GRAM, pieces(c)))
-    return F.array_distinct(F.coalesce(own, F.array().cast("array<bigint>")))
+    return F.array_distinct(F.coalesce(own, F.array().cast("array<int>")))
 
 
 class TextIndex(PartIndex):
     """An index of the pieces of all notes."""
 
-    TABLE, ROWS = "grams", "gram long, file_path string"
+    TABLE, ROWS = "grams", "gram int, file_path string"
 
     def _made(self, fresh: DataFrame) -> DataFrame:
-        return fresh.select(F.explode(grams(F.col("content"))).alias("gram"), F.col("path").alias("file_path"))
+        return fresh.select(F.col("path").alias("file_path"), grams(F.col("content")).alias("grams"))
+
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode("grams").alias("gram"), "file_path", "bucket") if "grams" in rows.columns else rows
 
     def candidates(self, query: str, folder: str | None = None) -> DataFrame | None:
         """path of the indexed notes that have every piece of the text; None where it has none."""
@@ -61,7 +64,7 @@ class TextIndex(PartIndex):
 
     def _hashes(self, pieces: Iterable[str]) -> list[int]:
         """The hashes of a text's pieces, as the table has them."""
-        row = self.spark.range(1).select(F.array_distinct(F.array(*(F.xxhash64(F.lit(p)) for p in pieces)))).first()
+        row = self.spark.range(1).select(F.array_distinct(F.array(*(F.hash(*map(F.lit, p)) for p in pieces)))).first()
         return row[0]
 
     def search(self, notes: DataFrame, query: str, folder: str | None = None, limit: object = 10) -> DataFrame:
