@@ -11,12 +11,12 @@ An n-gram that no other class of a size to link with has in its prefix is droppe
 every class that is left with fewer than m (``LEAD`` percent of its n-grams): what only
 shares a passage goes here. A class's home is the first n-gram that is left. Where the
 prefixes with an n-gram lead to a few homes, their classes visit these homes as guests, if m
-of their n-grams lead there; where they lead to more than ``HOMES``, the n-gram gets a node of its own. Texts
-are joined to nodes of two classes or more, and a node is searched by its inverted lists:
+of their n-grams lead there; where they lead to more than ``HOMES``, the n-gram gets a node of
+its own, or one with n-grams that nearly the same classes have. Texts are joined to nodes of two classes or more, and a node is searched by its inverted lists:
 of a query's lists the longest ones are set aside as DivideSkip does, the short ones are
 merged by a heap that skips what can't reach T, and what remains is probed in the long
-ones by binary search. (Where the short lists together have over ``HEAP`` members, one sort
-of them takes the heap's place: it merges the same runs.) What links to a query is covered
+ones by binary search. (Where the short lists together have over ``HEAP`` members, one count
+of these takes the heap's place: it merges the same lists.) What links to a query is covered
 by it, so a group of near copies takes few searches. Guests are queries only where they wait
 for a turn, as their own homes compare them with each other. Nodes that are too large are
 split: guests over lanes, or all by set size, and what is too large then is compared by
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -55,8 +55,8 @@ COUNTERS, FREQUENT, OFTEN = 1 << 14, 1 << 16, 32
 LEAD, TURNS = 4, 2
 #: Homes up to which the classes with an n-gram visit each of them.
 HOMES = 32
-#: DivideSkip's factor: how much dearer a probe's halving is than a merged element.
-MU = 0.1
+#: DivideSkip's factor: how much dearer a probe's halving is than a merged element. A node of 664 near copies took 3.0 s at 0.1, 1.3 at 1, 0.9 at 10.
+MU = 1.0
 #: Elements up to which lists are merged by the heap.
 HEAP = 512
 #: Long lists that are probed at once.
@@ -180,8 +180,9 @@ class Lists:
             met = merge_skip([self.member[a : a + n].tolist() for a, n in zip(self.begin[lists].tolist(), length.tolist(), strict=True)], t)
             return np.array([x[0] for x in met], np.int64), np.array([x[1] for x in met], np.int64)
         at = np.arange(total) + np.repeat(self.begin[lists] - (np.cumsum(length) - length), length)
-        found, shared = np.unique(self.member[at], return_counts=True)
-        return found[shared >= t], shared[shared >= t]
+        shared = np.bincount(self.member[at], minlength=len(self.size))
+        found = np.flatnonzero(shared >= t)
+        return found, shared[found]
 
     def search(self, p: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Sets that share T members with set p, itself among them, and how many they share."""
@@ -280,17 +281,15 @@ def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends, node.where(large).select("path", "all", "guests", "grams")
 
 
-def _together(grams: DataFrame, percent: int) -> DataFrame:
-    """Of rows (rep, n, gram, rank, found) those whose n-gram another class of a size to link with has, by ``at``: n-gram and band of sizes.
+def _banded(grams: DataFrame, percent: int) -> DataFrame:
+    """Rows (rep, n, gram, rank, found), once for each ``band`` of sizes in which others may share the n-gram.
 
     Linked sizes differ by less than the factor of a band, so what larger sets find lies in
     its own band and the next one; what they look up lies in their own.
     """
     band = F.floor(F.log("n") / math.log(100 / (percent - 1)))
     bands = F.when(F.col("found"), F.array(band, band + 1)).otherwise(F.array(band))
-    rows = grams.withColumn("at", F.explode(F.transform(bands, lambda b: F.xxhash64("gram", b))))
-    met = rows.groupBy("at").agg(F.count("*").alias("c"), F.max("found").alias("f")).where("c > 1 AND f").select("at")
-    return rows.join(met, "at")
+    return grams.withColumn("band", F.explode(bands))
 
 
 def _meetings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -300,33 +299,41 @@ def _meetings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     A class that shares fewer n-grams with all others together than it must share with one
     links with none, and neither do those that it would have to visit for fewer.
+
+    The n-grams of a text that has many near copies would give as many nodes of nearly the same
+    classes. Nodes of n-grams whose class of least hash is the same are one: two of them are
+    with a probability that is the similarity of their classes, so few remain of those, while
+    nodes that have little in common stay apart.
     """
     least = F.floor(F.col("n") * (percent * LEAD) / 10_000) + 1
     grams = rows.select("rep", "n", "found", F.posexplode("prefix").alias("rank", "gram"))
     found = (F.col("rank") < F.col("found")).cast("int")
     shared = grams.groupBy("gram").agg(F.count("*").alias("c"), F.max(found).alias("f")).where("c > 1 AND f = 1").select("gram")
     packed = F.shiftleft(F.col("n"), 32) + 2 * F.col("rank") + found  # one number: all of these rows are exchanged
-    grams = grams.select("rep", "gram", packed.alias("of")).join(shared, "gram")
+    grams = grams.select("rep", "gram", packed.alias("of")).join(shared, "gram").repartition("rep")
     rank = F.shiftright(F.col("of").bitwiseAND((1 << 32) - 1), 1)
     grams = grams.select("rep", "gram", F.shiftright("of", 32).alias("n"), rank.alias("rank"), (F.col("of") % 2 == 1).alias("found"))
-    grams, _ = staged(grams.join(classes.select("rep"), "rep", "left_semi").distinct(), "shared-grams", compression="zstd")
-    enough = grams.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("rep").distinct()
-    grams, _ = staged(grams.join(enough, "rep"), "enough-grams", compression="zstd")
+    at = ("gram", "band")
+    by_class, by_gram = Window.partitionBy("rep"), Window.partitionBy("rep", "gram").orderBy("band")
+    grams = grams.join(classes.select("rep"), "rep", "left_semi").distinct().withColumn("c", F.count("*").over(by_class))
+    grams, _ = staged(grams.where(F.col("c") >= least).drop("c"), "shared-grams", compression="zstd")
+    rows = _banded(grams, percent)
     for turn in range(TURNS):
-        rows, _ = staged(_together(grams, percent), f"together-{turn}", compression="zstd")
-        enough, _ = staged(rows.groupBy("rep", "n").agg(F.count_distinct("gram").alias("c")).where(F.col("c") >= least).select("rep").distinct(), f"enough-{turn}")
-        grams = grams.join(enough, "rep")
-    rows = rows.join(enough, "rep")
-    home, _ = staged(rows.groupBy("rep").agg(F.min_by("gram", "rank").alias("home"), F.max("n").alias("n")), "homes")
-    placed = rows.join(home.select("rep", "home"), "rep").select("rep", "n", "at", "found", "home")
-    led = placed.where("found").select("at", "home").distinct()
-    counts, _ = staged(placed.groupBy("at").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("at").join(led, "at"), "led")
-    many = counts.groupBy("at").agg(F.count("*").alias("homes"))
-    few = counts.join(many.where(F.col("homes") <= HOMES), "at").select("at", F.col("home").alias("to"))
-    visits = placed.join(few, "at").where("to <> home").groupBy("to", "rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+        met = rows.groupBy(*at).agg(F.count("*").alias("c"), F.max("found").alias("f")).where("c > 1 AND f").select(*at)
+        rows = rows.join(met, [*at]).repartition("rep").withColumn("nth", F.row_number().over(by_gram))
+        rows = rows.withColumn("c", F.sum((F.col("nth") == 1).cast("int")).over(by_class)).withColumn("home", F.min(F.struct("rank", "gram")).over(by_class)["gram"])
+        rows, _ = staged(rows.where(F.col("c") >= least).drop("nth", "c"), f"together-{turn}", compression="zstd")
+    led = rows.groupBy(*at, "home").agg(F.max(F.col("found").cast("int")).alias("f"), F.min(F.xxhash64("rep")).alias("low"))
+    many = led.groupBy(*at).agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.sum("f").alias("homes"), F.min("low").alias("low"))
+    placed = rows.select("rep", "n", *at, "found", "home").join(many.where("lo <> hi").select(*at, "homes", "low"), [*at])
+    placed, _ = staged(placed, "placed", compression="zstd")
+    few = placed.where(F.col("homes") <= HOMES)
+    led = few.where("found").select(*at, F.col("home").alias("to")).distinct()
+    visits = few.join(led, [*at]).where("to <> home").groupBy("to", "rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
     own, guest = F.lit(False).alias("guest"), F.lit(True).alias("guest")
     visits = visits.select(F.xxhash64(F.lit("home"), "to").alias("path"), guest, "rep", "n")
-    apart = placed.join(many.where(F.col("homes") > HOMES), "at").select(F.xxhash64(F.lit("gram"), "at").alias("path"), own, "rep", "n")
+    apart = placed.where(F.col("homes") > HOMES).select(F.xxhash64(F.lit("gram"), "low").alias("path"), own, "rep", "n").distinct()
+    home = rows.groupBy("rep").agg(F.min("home").alias("home"), F.max("n").alias("n"))
     return home.select(F.xxhash64(F.lit("home"), "home").alias("path"), own, "rep", "n").unionByName(visits).unionByName(apart)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loreloom.llm import near_dups, occurrence_join as oj
 
@@ -119,3 +120,20 @@ def test_prefixes_of_linked_sets_meet():
         (_, f), (s, _) = (tuple(int(x[0]) for x in oj.lengths(np.array([len(x)]), 85)) for x in (small, large))
         common = set(sorted(small, key=order.get)[:f]) & set(sorted(large, key=order.get)[:s])
         assert all(len(common) >= len(x) * 85 * oj.LEAD // 10_000 + 1 for x in (small, large))
+
+
+def test_near_copies_of_one_text_meet_in_few_nodes(spark, monkeypatch):
+    """Each of its n-grams is in nearly the same classes: not a node each, and no link is lost."""
+    monkeypatch.setattr(oj, "HOMES", 4)
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):
+        edited = [f"w{at}" for at in range(200)]
+        for at in rng.sample(range(200), rng.randint(2, 6)):
+            edited[at] = f"x{at}-{rng.randint(0, 1)}"
+        rows.append((i, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = oj.prefixes(docs, 4, 85).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "found")
+    met = Counter(r.path for r in oj._meetings(sketch, sketch.select("rep"), 85).collect())
+    assert sum(n for n in met.values() if n > 1) < 10 * len(rows)
+    assert found(docs) == expected(rows)
