@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Each write inside drops its shuffle files as it ends; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANED, "false")
+    spark.conf.set(_CLEANED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANED, before)
+
+
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """The frame written to and read from shared storage, so that its lineage ends there."""
     path = shared_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
+    with brief_shuffles(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,6 +26,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.chunking import note_chunks
 from ..operators.vector import Embedder, embedded, hash_embedder
+from ..sources.shared import brief_shuffles
 from ..sources.vault import SCHEMA as NOTES
 from .versions import Conflict as Conflict
 from .versions import Versions
@@ -82,9 +83,9 @@ class Index(Versions):
         """The rows of fresh notes."""
         return indexed(fresh, self.embedder)
 
-    def _spread(self, rows: DataFrame) -> DataFrame:
-        """Rows as they are stored, of those that are exchanged."""
-        return rows
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """The table's rows as they are stored, those of a bucket together."""
+        return rows.hint("rebalance", "bucket")
 
     def _counted(self, fresh: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The fresh notes that get into the index, and how many rows each has (path, chunk_count)."""
@@ -102,7 +103,7 @@ class Index(Versions):
         live = {b: f for b, f in manifest["live"].items() if buckets is None or b in buckets}
         paths = [f"{self.folder}/data/{name}/{table}/bucket={b}" for b, folders in live.items() for _, name, tables in folders if table in tables]
         if not paths:
-            return self.spark.createDataFrame([], f"{schema}, version long")
+            return self.spark.createDataFrame([], f"{schema}, version long").where(F.lit(False))  # the planner sees that it is empty
         versions = sorted({(name, v) for folders in live.values() for v, name, _ in folders})  # DELTAS a bucket at most
         known = F.create_map(*(F.lit(x) for pair in versions for x in pair))
         name = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]{32})/", 1)
@@ -114,9 +115,14 @@ class Index(Versions):
         whole = F.struct(*(c for c in rows.columns if c not in ("path", "version")))
         return rows.groupBy("path").agg(F.max_by(whole, "version").alias("row"), F.max("version").alias("version")).select("path", "row.*", "version")
 
+    def _last(self, manifest: dict, buckets: Iterable[str] | None = None) -> DataFrame:
+        """file_path and version of the notes that are there."""
+        rows = self._rows("files", f"{FILES}, gone boolean", manifest, buckets).groupBy(F.col("path").alias("file_path"))
+        return rows.agg(F.max_by("gone", "version").alias("gone"), F.max("version").alias("version")).where("NOT gone").drop("gone")
+
     def _held(self, manifest: dict, buckets: Iterable[str] | None = None) -> DataFrame:
         """The table's rows that hold."""
-        last = self._latest(manifest, buckets).where("NOT gone").select(F.col("path").alias("file_path"), "version")
+        last = self._last(manifest, buckets)
         return self._rows(self.TABLE, self.ROWS, manifest, buckets).join(last, ["file_path", "version"]).select(*(x.split()[0] for x in self.ROWS.split(", ")))
 
     def files(self, version: int | None = None) -> DataFrame:
@@ -130,9 +136,10 @@ class Index(Versions):
     def _written(self, table: str, rows: DataFrame, path: str, name: str, buckets: int) -> list[str]:
         """Write rows to the buckets they touch and name these; a bucket with very many rows is split over tasks."""
         bucket = F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
-        to = f"data/{name}/{table}"
-        placed = self._spread(rows.withColumn("bucket", bucket).hint("rebalance", "bucket"))
-        placed.sortWithinPartitions("bucket", placed.columns[0]).write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
+        to, own = f"data/{name}/{table}", rows.withColumn("bucket", bucket)
+        placed = self._placed(own) if table == self.TABLE else own.hint("rebalance", "bucket")
+        with brief_shuffles(self.spark):
+            placed.sortWithinPartitions("bucket", placed.columns[0]).write.partitionBy("bucket").parquet(f"{self.folder}/{to}")
         return [n.removeprefix("bucket=") for n in (s.getPath().getName() for s in self._store().listStatus(self._path(to))) if n.startswith("bucket=")]
 
     def apply(self, fresh: DataFrame, removed: DataFrame) -> int:

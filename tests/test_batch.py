@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import json
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loreloom.api import Vault
 from loreloom.operators import batch, events, graph, mutate, vector
 from loreloom.plans import reports
+from loreloom.sources import shared
 from loreloom.streaming import link_index, refresh, text_index
 
 TASK = "---\ntype: task\nstatus: {0}\ncreated: 2026-01-01\ntags: [a]\n---\nwork\n"
@@ -187,6 +192,66 @@ def test_text_index_agrees_with_a_scan(spark, tmp_path):
         assert near is None or set(want) <= {r.path for r in near.collect()} and near.count() < 50
 
 
+def test_numbers_and_packed_pairs_come_back():
+    values = [0, 1, 127, 128, 16_383, 16_384, 2**21, 2**28 - 1, 2**28, 2**32 - 1]
+    assert text_index.read_numbers(text_index.numbers(np.array(values)).tobytes()).tolist() == values
+    assert text_index.numbers(np.array([], np.int64)).size == 0 == text_index.read_numbers(b"").size
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc\U0001f600é") for _ in range(rng.randrange(3, 90))) for _ in range(400)]
+    own = text_index.keys(texts)
+    hashed = lambda t: set(text_index.hashes(np.array([ord(c) for c in t])).tolist())
+    assert own.tolist() == sorted((h << 32) | i for i, t in enumerate(texts) for h in hashed(t))
+    assert text_index.unpacked(*text_index.packed(own)).tolist() == own.tolist()
+
+
+def test_text_index_has_rows_for_lists_not_for_pieces_and_merges_what_holds(spark, tmp_path, monkeypatch):
+    """One row for each piece of a block: a row for each piece of each note was sorted and written before."""
+    schema = "path string, content string, mtime_ms long, size long"
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(200))
+    held = {f"n{i:03}.md": text() for i in range(300)} | {"s.md": "ab", "o.md": None}
+    pieces = lambda t: len({t.lower()[i : i + 3] for i in range(len(t) - 2)})
+    frame = lambda at: spark.createDataFrame([(p, c, at, 1) for p, c in held.items()], schema)
+    index = text_index.TextIndex(spark, f"file://{tmp_path}/ix", buckets=2)
+    index.sync(frame(1))
+    every = sum(pieces(c) for c in held.values() if c)
+    assert index._rows(index.TABLE, index.ROWS, index._manifest(index.version())).count() < every / 10
+    assert {r.path: r.chunk_count for r in index.files().collect()} == {p: pieces(c) if c and len(c) > 2 else None for p, c in held.items()}
+    for i in range(1, 4):
+        held |= {f"n{k:03}.md": text() + f" only {i}" for k in range(i, 300, 50)}
+        held.pop(f"n{i + 100:03}.md")
+        index.sync(frame(i + 1))
+    before = sorted(map(tuple, index.chunks().collect()))
+    assert len(before) == len(set(before)) == sum(pieces(c) for c in held.values() if c)
+    index.compact()
+    assert sorted(map(tuple, index.chunks().collect())) == before
+    notes = frame(9)
+    want = {q: sorted(p for p, c in held.items() if c and q in c) for q in ("only 3", words[0], words[1] + " ", " ")}
+    for listed in (1_000, 3):
+        monkeypatch.setattr(text_index, "LISTED", listed)
+        for q, paths in want.items():
+            for limit in (2, 500):
+                assert sorted({r.path for r in index.search(notes, q, None, limit).collect()}) == paths[:limit]
+
+
+def test_writes_of_an_index_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """Those of all writes of a query lay on the disk together before."""
+    notes = spark.range(3_000).selectExpr("concat(id, '.md') path", "repeat(md5(string(id)), 9) content", "id mtime_ms", "id size").repartition(3)
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    blocks = lambda: {p for d in manager.localDirsString() for p in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    def left(name):
+        old, setting = blocks(), spark.conf.get(shared._CLEANED, "false")
+        text_index.TextIndex(spark, f"file://{tmp_path}/{name}", buckets=2).sync(notes)
+        assert spark.conf.get(shared._CLEANED, "false") == setting
+        return len(blocks() - old)
+
+    assert left("a") == 0
+    monkeypatch.setattr(refresh, "brief_shuffles", contextlib.nullcontext)
+    assert left("b") > 0
+
+
 def test_stored_links_give_the_same_neighbourhoods_without_contents(spark, tmp_path):
     rng = random.Random(9)
     names = [f"{'abc'[i % 3]}/{'n' if i % 4 else 'N'}{i // 3}.md" for i in range(24)]
